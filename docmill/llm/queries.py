@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm import splitting, stuffing, tokenids
+from docmill.llm import consensus, leakage, neardup, splitting, stuffing, tokenids
 from docmill.session import read_table
 
 
@@ -19,6 +19,46 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_oversized(read_table(spark, folder, "hits"), "hit_id", "text", "heading")
 
 
+#: Jaccard similarity of two rows' words from which they are near-duplicates in this project's data.
+ALIKE = 0.7
+
+
+def _alike(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return neardup.near_duplicates(read_table(spark, folder, "rtm"), "rtm_id", ["statement", "acceptance_criteria"], ALIKE)
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """All pairs of near-duplicate rows of rtm."""
+    return neardup.pairs(*_alike(spark, folder)).select(F.col("key_a").alias("rtm_id_a"), F.col("key_b").alias("rtm_id_b"))
+
+
+def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row of rtm with its class of equal word sets, its group and its class's number of links."""
+    members, links = _alike(spark, folder)
+    return neardup.groups(links, members).withColumnRenamed("key", "rtm_id")
+
+
+def _consensus(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    item = ["req_id", "attribute"]
+    sources = {"rule_set": F.col("rule_score"), "llm_model": F.col("llm_score"), "adjudicator": consensus.verdict(F.col("human_adjudication"))}
+    return consensus.consensus(consensus.votes(read_table(spark, folder, "validation_29148"), "score_id", item, sources), item)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Items whose agreed verdict is "not met"."""
+    return p4_verdicts(spark, folder).where("verdict = 0").select("req_id", "attribute")
+
+
+def p4_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict and agreement of every item."""
+    return _consensus(spark, folder)[0]
+
+
+def p4_annotators(spark: SparkSession, folder: str) -> DataFrame:
+    """Reliability of every rule set, model and adjudicator."""
+    return _consensus(spark, folder)[1].join(read_table(spark, folder, "annotators").select(F.col("annotator_id").alias("annotator"), "kind").distinct(), "annotator", "left")
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
     return tokenids.token_ids(read_table(spark, folder, "documents"), "doc_id", "text")
@@ -29,6 +69,16 @@ def p6_text(spark: SparkSession, folder: str) -> DataFrame:
     return tokenids.token_text(p6_ids(spark, folder), "doc_id", "ids")
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that repeat at least half of an evaluation text."""
+    return p7_leaks(spark, folder).select("doc_id", "item_id")
+
+
+def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with the share of the item's words and the number of parts."""
+    return leakage.leaked_items(read_table(spark, folder, "documents"), "doc_id", "text", read_table(spark, folder, "eval_items"), "item_id", "text")
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents of keywords, links or tags instead of sentences."""
     return stuffing.page_fillers(read_table(spark, folder, "documents"), "doc_id", "text").where("stuffed").select("doc_id")
@@ -43,4 +93,4 @@ def p8_shapes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p6_ids, p6_text, p8_found, p8_shapes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p4_found, p4_verdicts, p4_annotators, p6_ids, p6_text, p7_found, p7_leaks, p8_found, p8_shapes)}

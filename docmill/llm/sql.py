@@ -4,5 +4,14 @@ SQL = {
     "p1_found": r"""
         SELECT DISTINCT hit_id FROM hits WHERE len(regexp_extract_all(text, '[^ \t\r\n]+')) > 800
     """,
+    "p2_found": """
+        WITH t AS (
+            SELECT rtm_id, list_distinct(regexp_extract_all(lower(coalesce(statement, '') || ' ' || coalesce(acceptance_criteria, '')), '[a-z0-9]+')) AS w
+            FROM (SELECT DISTINCT rtm_id, statement, acceptance_criteria FROM rtm)
+        )
+        SELECT a.rtm_id AS rtm_id_a, b.rtm_id AS rtm_id_b FROM t a JOIN t b
+          ON a.rtm_id < b.rtm_id AND len(a.w) > 0 AND len(a.w) >= 0.7 * len(b.w) AND len(b.w) >= 0.7 * len(a.w)
+        WHERE len(list_intersect(a.w, b.w)) >= 0.7 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))
+    """,
     "p6_text": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
