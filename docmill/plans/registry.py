@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from docmill.plans import integrity
+from docmill.plans import corpus, integrity
 
-MODULES = (integrity,)
-FLAGSHIP = "p5_found"
+MODULES = (integrity, corpus)
+FLAGSHIP = "evidence"
 
 
 def queries() -> dict:
