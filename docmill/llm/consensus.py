@@ -52,48 +52,47 @@ def votes(df: DataFrame, row_id: str, item: list[str], sources: dict[str, Column
 
 @dataclass
 class Model:
-    """Annotators' expected log matrices (annotator, truth, label), the log odds of the truth, and the types."""
+    """Annotators' codes (sorted), expected log matrices (annotator, truth, label), log odds of the truth, and types."""
 
+    codes: np.ndarray
     logs: np.ndarray
     prior: np.ndarray
     matrix: np.ndarray
     kind: np.ndarray
 
-    def truth(self, batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, ...]:
-        """Chance of a 1 for each row's item, and the flat codes, labels, weights and rows of its votes."""
-        votes = batch.column(at)
-        rows = np.repeat(np.arange(len(votes)), np.diff(votes.offsets.to_numpy()))
-        flat = votes.flatten()
-        code, label, weight = (flat.field(k).to_numpy() for k in ("code", "label", "weight"))
-        score = np.zeros((len(votes), 2)) + self.prior
-        for t in (0, 1):
-            score[:, t] += np.bincount(rows, self.logs[code, t, label] * weight, len(votes))
-        return 1 / (1 + np.exp(np.clip(score[:, 0] - score[:, 1], -500, 500))), code, label, weight, rows
+
+def _flat(votes: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, annotator's code and share of 1 of each vote."""
+    flat = votes.flatten()
+    rows = np.repeat(np.arange(len(votes)), np.diff(votes.offsets.to_numpy()))
+    return rows, flat.field("code").to_numpy(), flat.field("one").to_numpy().astype(np.float64)
+
+
+def _truth(model: Model, rows: np.ndarray, at: np.ndarray, one: np.ndarray, n: int) -> np.ndarray:
+    """Chance of a 1 for each of n items."""
+    odds = np.full(n, model.prior[1] - model.prior[0])
+    gain = model.logs[:, 1] - model.logs[:, 0]
+    odds += np.bincount(rows, gain[at, 0] * (1 - one) + gain[at, 1] * one, n)
+    return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
 
 
 def _statistics(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator[pa.RecordBatch]:
-    sums: np.ndarray | None = None
+    sums: dict[int, np.ndarray] = {}
     items = np.zeros(2)
     for batch in batches:
+        rows, code, one = _flat(batch.column(0))
+        n = batch.num_rows
+        known, at = np.unique(code, return_inverse=True)
         if model is None:  # at first every vote counts alike
-            votes = batch.column(0)
-            rows = np.repeat(np.arange(len(votes)), np.diff(votes.offsets.to_numpy()))
-            flat = votes.flatten()
-            code, label, weight = (flat.field(k).to_numpy() for k in ("code", "label", "weight"))
-            yes = (np.bincount(rows, label * weight, len(votes)) + 0.5) / (np.bincount(rows, weight, len(votes)) + 1)
+            yes = (np.bincount(rows, one, n) + 0.5) / (np.bincount(rows, minlength=n) + 1)
         else:
-            yes, code, label, weight, rows = model.truth(batch, 0)
-        size = int(code.max(initial=-1)) + 1
-        if sums is None or size > len(sums) // 4:
-            grown = np.zeros(size * 4)
-            grown[: 0 if sums is None else len(sums)] = 0 if sums is None else sums
-            sums = grown
-        for t, chance in ((0, 1 - yes), (1, yes)):
-            sums += np.bincount(code * 4 + t * 2 + label, chance[rows] * weight, len(sums))
-            items[t] += chance.sum()
-    at = np.flatnonzero(sums) if sums is not None else np.empty(0, np.int64)
-    index, n = [*at.tolist(), -2, -1], [*(sums[at].tolist() if len(at) else []), *items.tolist()]
-    yield pa.RecordBatch.from_arrays([pa.array(index, pa.int64()), pa.array(n, pa.float64())], names=["i", "n"])
+            yes = _truth(model, rows, np.searchsorted(model.codes, known)[at], one, n)
+        parts = [np.bincount(at, c[rows] * w, len(known)) for c in (1 - yes, yes) for w in (1 - one, one)]
+        for k, c in enumerate(known.tolist()):
+            sums[c] = sums.get(c, 0) + np.array([x[k] for x in parts])
+        items += (n - yes.sum(), yes.sum())
+    rows = [(c, *v.tolist()) for c, v in sums.items()] + [(None, *items.tolist(), 0.0, 0.0)]
+    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.float64()) for k in range(1, 5))], names=["code", "a", "b", "c", "d"])
 
 
 def _digamma(x: np.ndarray) -> np.ndarray:
@@ -112,7 +111,7 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
     return shift + (x - 0.5) * np.log(x) - x + 0.9189385332046727 + 1 / (12 * x) - 1 / (360 * x**3)
 
 
-def _update(counts: np.ndarray, items: np.ndarray, types: np.ndarray) -> tuple[Model, np.ndarray]:
+def _update(codes: np.ndarray, counts: np.ndarray, items: np.ndarray, types: np.ndarray) -> tuple[Model, np.ndarray]:
     """The model after one step from expected counts (annotator, truth, label); and each annotator's chances of types."""
     base = np.array([[PRIOR[0], PRIOR[1]], [PRIOR[1], PRIOR[0]]])
     size = counts.sum(axis=2, keepdims=True)
@@ -129,7 +128,7 @@ def _update(counts: np.ndarray, items: np.ndarray, types: np.ndarray) -> tuple[M
     own = WEIGHT * np.einsum("km,mtl->ktl", types, shared) + counts
     logs = _digamma(own) - _digamma(own.sum(axis=2, keepdims=True))
     prior = np.log((items + 1) / (items.sum() + 2))
-    return Model(logs, prior, own / own.sum(axis=2, keepdims=True), types.argmax(axis=1)), types
+    return Model(codes, logs, prior, own / own.sum(axis=2, keepdims=True), types.argmax(axis=1)), types
 
 
 def _start(counts: np.ndarray) -> np.ndarray:
@@ -149,52 +148,48 @@ def consensus(labels: DataFrame, item: list[str]) -> tuple[DataFrame, DataFrame]
     """
     spark = labels.sparkSession
     whole = labels.groupBy(*item, "annotator").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("n1"), F.sum("n").alias("n"))
-    whole = cut(whole)
-    names = [r[0] for r in whole.select("annotator").distinct().orderBy("annotator").limit(MOST_ANNOTATORS + 1).collect()]
-    if len(names) > MOST_ANNOTATORS:
-        raise ValueError(f"more than {MOST_ANNOTATORS} annotators")
-    codes = spark.createDataFrame([(a, k) for k, a in enumerate(names)], "annotator string, code int")
-    vote = lambda label, n: F.when(n > 0, F.struct("code", F.lit(label).alias("label"), (n / F.col("n")).cast("double").alias("weight")))
-    coded = whole.join(F.broadcast(codes), "annotator").select(*item, "n", F.filter(F.array(vote(0, F.col("n") - F.col("n1")), vote(1, F.col("n1"))), lambda v: v.isNotNull()).alias("v"))
-    lists = cut(coded.groupBy(*item).agg(F.flatten(F.collect_list("v")).alias("votes"), F.sum("n").alias("n_labels"), F.count(F.lit(1)).alias("n_annotators")))
+    vote = F.struct(F.xxhash64("annotator").alias("code"), (F.col("n1") / F.col("n")).cast("float").alias("one"))
+    lists = cut(whole.groupBy(*item).agg(F.collect_list(vote).alias("votes"), F.sum("n").alias("n_labels")))
     only = lists.select("votes")
 
-    def counted(model: Model | None) -> tuple[np.ndarray, np.ndarray]:
-        found = only.mapInArrow(lambda it: _statistics(it, model), "i long, n double").groupBy("i").agg(F.sum("n").alias("n")).collect()
-        counts, items = np.zeros(len(names) * 4), np.zeros(2)
-        for r in found:
-            if r["i"] < 0:
-                items[r["i"] + 2] = r["n"]
-            else:
-                counts[r["i"]] = r["n"]
-        return counts.reshape(-1, 2, 2), items
-
-    counts, items = counted(None)
-    model, types = _update(counts, items, _start(counts)) if names else (Model(np.zeros((0, 2, 2)), np.zeros(2), np.zeros((0, 2, 2)), np.zeros(0, int)), None)
-    for _ in range(ITERATIONS if names else 0):
-        counts, items = counted(model)
-        last = model.matrix
-        model, types = _update(counts, items, types)
-        if np.abs(model.matrix - last).max() < CHANGE:
-            break
+    def counted(model: Model | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sums = only.mapInArrow(lambda it: _statistics(it, model), "code long, a double, b double, c double, d double").groupBy("code").agg(*[F.sum(c).alias(c) for c in "abcd"])
+        found = sums.limit(MOST_ANNOTATORS + 2).collect()
+        if len(found) > MOST_ANNOTATORS + 1:
+            raise ValueError(f"more than {MOST_ANNOTATORS} annotators")
+        items = np.array(next(((r["a"], r["b"]) for r in found if r["code"] is None), (0.0, 0.0)))
+        named = sorted((r["code"], r["a"], r["b"], r["c"], r["d"]) for r in found if r["code"] is not None)
+        return np.array([r[0] for r in named], np.int64), np.array([r[1:] for r in named], float).reshape(-1, 2, 2), items
+
+    codes, counts, items = counted(None)
+    model = Model(codes, np.zeros((0, 2, 2)), np.zeros(2), np.zeros((0, 2, 2)), np.zeros(0, int))
+    if len(codes):
+        model, types = _update(codes, counts, items, _start(counts))
+        for _ in range(ITERATIONS):
+            _, counts, items = counted(model)
+            last = model.matrix
+            model, types = _update(codes, counts, items, types)
+            if np.abs(model.matrix - last).max() < CHANGE:
+                break
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yes, _, label, weight, rows = model.truth(batch, len(item))
-            ones, every = np.bincount(rows, label * weight, len(yes)), np.bincount(rows, weight, len(yes))
-            both = np.bincount(rows, weight * weight, len(yes))
-            same = ones**2 + (every - ones) ** 2 - both
+            rows, code, one = _flat(batch.column(len(item)))
+            n = batch.num_rows
+            yes = _truth(model, rows, np.searchsorted(model.codes, code), one, n)
+            every, ones = np.bincount(rows, minlength=n).astype(float), np.bincount(rows, one, n)
+            alone = np.bincount(rows, one**2 + (1 - one) ** 2, n)
             pairs = every**2 - every
-            agree = pa.array(np.where(pairs > 1e-9, np.clip(same / np.maximum(pairs, 1e-9), 0, 1), np.nan), pa.float64(), mask=pairs <= 1e-9)
+            agree = pa.array((ones**2 + (every - ones) ** 2 - alone) / np.maximum(pairs, 1), pa.float64(), mask=pairs < 1)
             cols = [batch.column(k) for k in range(len(item))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array((yes >= 0.5).astype(np.int32)), pa.array(yes), agree, batch.column(len(item) + 1), batch.column(len(item) + 2)], names=[*item, "verdict", "p_met", "agreement", "n_annotators", "n_labels"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array((yes >= 0.5).astype(np.int32)), pa.array(yes), agree, pa.array(every.astype(np.int64)), batch.column(len(item) + 1)], names=[*item, "verdict", "p_met", "agreement", "n_annotators", "n_labels"])
 
     kinds = ", ".join(f"`{c}` {lists.schema[c].dataType.simpleString()}" for c in item)
-    verdicts = lists.select(*item, "votes", "n_annotators", "n_labels").mapInArrow(judge, f"{kinds}, verdict int, p_met double, agreement double, n_annotators long, n_labels long")
-    sure = [(a, int(model.kind[k]), float(model.matrix[k, 1, 1]), float(model.matrix[k, 0, 0])) for k, a in enumerate(names)]
-    worth = spark.createDataFrame(sure, "annotator string, annotator_type int, sensitivity double, specificity double")
-    size = whole.groupBy("annotator").agg(F.count(F.lit(1)).alias("n_items"), F.sum("n").alias("n_labels"))
-    annotators = size.join(F.broadcast(worth), "annotator").select(
+    verdicts = lists.select(*item, "votes", "n_labels").mapInArrow(judge, f"{kinds}, verdict int, p_met double, agreement double, n_annotators long, n_labels long")
+    sure = [(int(c), int(model.kind[k]), float(model.matrix[k, 1, 1]), float(model.matrix[k, 0, 0])) for k, c in enumerate(codes)]
+    worth = spark.createDataFrame(sure, "code long, annotator_type int, sensitivity double, specificity double")
+    size = whole.groupBy("annotator").agg(F.count(F.lit(1)).alias("n_items"), F.sum("n").alias("n_labels")).withColumn("code", F.xxhash64("annotator"))
+    annotators = size.join(F.broadcast(worth), "code").select(  # at most MOST_ANNOTATORS rows
         "annotator", "annotator_type", half_even(F.col("sensitivity"), 4).alias("sensitivity"), half_even(F.col("specificity"), 4).alias("specificity"),
         half_even((F.col("sensitivity") + F.col("specificity")) / 2, 4).alias("reliability"), "n_items", "n_labels",
     )
