@@ -2,7 +2,9 @@
 
 Method: chosen-path join. Every run splits the sets at random: a set follows each of its tokens with a chance such that
 a pair at the threshold is expected to share at least one; buckets that are small enough are compared by brute force,
-larger ones are split again on further tokens. Runs are repeated until the estimated recall reaches the target.
+larger ones are split again on further tokens. Within buckets, sketches of one bit for each of many minwise hashes
+are compared; pairs whose sketches agree are checked on their tokens. Runs are repeated until the estimated recall
+reaches the target.
 """
 
 from __future__ import annotations
@@ -17,13 +19,17 @@ from pyspark.sql import functions as F
 from docmill.session import cut, half_even
 
 #: Buckets up to this many sets are compared by brute force.
-BUCKET = 48
+BUCKET = 512
 #: Expected tokens that a pair at the threshold shares at each split; above 1, so that pairs survive many splits.
 BRANCHING = 1.5
 #: Runs of a round, rounds at most, and the recall at which no further round is made.
-RUNS, ROUNDS, RECALL = 10, 6, 0.99999
+RUNS, ROUNDS, RECALL = 6, 8, 0.99999
 #: Splits after which what is left of a bucket is compared in blocks.
 DEPTH = 12
+#: A split is made for all sets at once as long as more than this share of them lies in buckets that are too large.
+CROWDED = 0.3
+#: Bits of a sketch, and how many standard deviations a pair at the threshold may fall short in it.
+BITS, SLACK = 512, 4.5
 #: Tokens are sampled with this resolution.
 SCALE = 1 << 30
 
@@ -53,62 +59,86 @@ def _children(threshold: float, level: int) -> Column:
     return F.filter("tokens", lambda t: F.pmod(F.xxhash64(F.col("node"), t, F.lit(level)), F.lit(SCALE)) < chance)
 
 
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds to each set the lowest bits of BITS minwise hashes of its tokens."""
+    rng = np.random.default_rng(11)
+    odd = rng.integers(0, 1 << 63, BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    plus = rng.integers(0, 1 << 63, BITS, dtype=np.uint64)
+    for batch in batches:
+        out = []
+        for tokens in batch.column(1):
+            h = tokens.values.to_numpy().astype(np.uint64)[:, None] * odd + plus
+            least = (h ^ (h >> np.uint64(31))).min(axis=0)
+            out.append(np.packbits(((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)).astype(np.uint8)).tobytes())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=["class_id", "tokens", "n_tokens", "sketch"])
+
+
 def _compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Pairs at or above the threshold within each bucket; a bucket of two parts gives only pairs between them."""
+    """Pairs within each bucket whose sizes and sketches allow the threshold; in a bucket of two parts only pairs between them."""
+    expected = (1 + threshold) / 2
+    enough = 2 * BITS * (expected - SLACK * (expected * (1 - expected) / BITS) ** 0.5) - BITS
     for batch in batches:
-        left, right, shared, total = [], [], [], []
+        left, right = [], []
         for bucket in batch.column(0):
             rows = bucket.values
-            ids = rows.field("class_id")
-            tokens = rows.field("tokens")
-            sizes = np.diff(tokens.offsets.to_numpy())
-            flat = tokens.flatten().to_numpy()
-            part = rows.field("part").to_numpy()
-            _, word = np.unique(flat, return_inverse=True)
-            grid = np.zeros((len(sizes), word.max() + 1), np.float32)
-            grid[np.repeat(np.arange(len(sizes)), sizes), word] = 1
-            both = grid @ grid.T
-            union = sizes[:, None] + sizes[None, :] - both
-            i, j = np.nonzero(np.triu(both >= threshold * union - 1e-6, 1))
+            n = len(rows)
+            ids, part, size = (rows.field(c).to_numpy() for c in ("class_id", "part", "n_tokens"))
+            bits = np.unpackbits(np.frombuffer(b"".join(rows.field("sketch").to_pylist()), np.uint8).reshape(n, -1), axis=1).astype(np.float32) * 2 - 1
+            i, j = np.nonzero(np.triu(bits @ bits.T >= enough, 1))
+            keep = (np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-6) & (ids[i] != ids[j])
             if part.any():
-                keep = part[i] != part[j]
-                i, j = i[keep], j[keep]
-            left += ids.take(pa.array(i)).to_pylist()
-            right += ids.take(pa.array(j)).to_pylist()
-            shared += both[i, j].astype(int).tolist()
-            total += union[i, j].astype(int).tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.array(shared, pa.int32()), pa.array(total, pa.int32())], names=["a", "b", "n_shared", "n_union"])
-
-
-def _round(sets: DataFrame, threshold: float, seed: int, bucket: int, depth: int) -> DataFrame:
-    """Pairs found by RUNS runs: a, b, n_shared, n_union, one row for each time a pair was found in a run."""
-    rows = sets.withColumn("run", F.explode(F.sequence(F.lit(seed * RUNS), F.lit((seed + 1) * RUNS - 1))))
-    rows = rows.select("class_id", "run", F.xxhash64("run").alias("node"), "tokens", "n_tokens")
-    for level in (0, 1):  # the first splits need no sizes: their nodes are large
-        rows = rows.select("class_id", "run", "tokens", "n_tokens", F.explode(_children(threshold, level)).alias("t"), "node").withColumn("node", F.xxhash64("node", "t")).drop("t")
-    front = cut(rows.select("class_id", "run", "node"))
-    small = None
-    for level in range(2, depth + 1):
+                keep &= part[i] != part[j]
+            left.append(np.minimum(ids[i], ids[j])[keep])
+            right.append(np.maximum(ids[i], ids[j])[keep])
+        pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1) if left else np.empty((2, 0), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], names=["a", "b"])
+
+
+def _nodes(sets: DataFrame, threshold: float, seed: int, levels: int) -> DataFrame:
+    """class_id and node of every set after so many splits of each of the seed's runs; a narrow pass."""
+    rows = sets.select("class_id", "tokens", "n_tokens", F.explode(F.sequence(F.lit(seed * RUNS), F.lit((seed + 1) * RUNS - 1))).alias("run"))
+    rows = rows.withColumn("node", F.xxhash64("run"))
+    for level in range(levels):
+        rows = rows.select("class_id", "tokens", "n_tokens", F.explode(_children(threshold, level)).alias("t"), "node").withColumn("node", F.xxhash64("node", "t"))
+    return rows.select("class_id", "node")
+
+
+def _round(sets: DataFrame, threshold: float, seed: int, bucket: int, depth: int, first: int) -> tuple[DataFrame, int]:
+    """Candidate pairs a, b of a round, and the number of splits that were made for all sets."""
+    while True:
+        front = cut(_nodes(sets, threshold, seed, first))
         sizes = front.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        r = sizes.agg(F.sum("n").alias("all"), F.sum(F.when(F.col("n") > bucket, F.col("n"))).alias("large")).first()
+        if first >= depth or (r["large"] or 0) <= CROWDED * (r["all"] or 0):
+            break
+        first += 1
+    small = None
+    for level in range(first, depth + 1):
         sized = front.join(sizes, "node")
-        done = sized.where(F.col("n") <= bucket).select("class_id", "run", "node", F.lit(0).alias("part"))
+        done = sized.where(F.col("n") <= bucket).select("class_id", "node", F.lit(0).alias("part"))
         small = done if small is None else small.unionByName(done)
-        large = sized.where(F.col("n") > bucket).drop("n").join(sets, "class_id")
-        split = large.select("class_id", "run", F.explode(_children(threshold, level)).alias("t"), "node").withColumn("node", F.xxhash64("node", "t")).drop("t")
-        front = cut(split)
+        large = sized.where(F.col("n") > bucket).drop("n").join(sets.select("class_id", "tokens", "n_tokens"), "class_id")
+        front = cut(large.select("class_id", F.explode(_children(threshold, level)).alias("t"), "node").select("class_id", F.xxhash64("node", "t").alias("node")))
         if front.isEmpty():
             break
+        sizes = front.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     else:  # what can't be split is compared in blocks, each block with itself and with every other one
-        sizes = front.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / (bucket // 2)).cast("int"))
-        blocks = front.join(sizes, "node").withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
+        counted = sizes.withColumn("blocks", F.ceil(F.col("n") / (bucket // 2)).cast("int"))
+        blocks = front.join(counted, "node").withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
         grid = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         grid = grid.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-        rest = grid.select("class_id", "run", F.xxhash64("node", "low", "high").alias("node"), F.when(F.col("low") == F.col("high"), 0).when(F.col("block") == F.col("low"), 1).otherwise(2).alias("part"))
-        small = rest if small is None else small.unionByName(rest)
-    filled = small.join(sets.select("class_id", "tokens"), "class_id")
-    buckets = filled.groupBy("node", "run").agg(F.collect_list(F.struct("class_id", "tokens", "part")).alias("bucket"))
-    pairs = buckets.select("bucket").mapInArrow(lambda it: _compare(it, threshold), "a long, b long, n_shared int, n_union int")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n_shared", "n_union")
+        rest = grid.select("class_id", F.xxhash64("node", "low", "high").alias("node"), F.when(F.col("low") == F.col("high"), 0).when(F.col("block") == F.col("low"), 1).otherwise(2).alias("part"))
+        small = small.unionByName(rest)
+    filled = small.join(sets.select("class_id", "n_tokens", "sketch"), "class_id")
+    buckets = filled.groupBy("node").agg(F.collect_list(F.struct("class_id", "n_tokens", "sketch", "part")).alias("bucket"))
+    return buckets.select("bucket").mapInArrow(lambda it: _compare(it, threshold), "a long, b long").distinct(), first
+
+
+def _verified(candidates: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Those of the candidates whose tokens reach the threshold, with n_shared and n_union."""
+    a, b = (sets.select(F.col("class_id").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab")
+    met = candidates.join(a, "a").join(b, "b").select("a", "b", F.size(F.array_intersect("ta", "tb")).alias("n_shared"), (F.size("ta") + F.size("tb")).alias("both"))
+    return met.select("a", "b", "n_shared", (F.col("both") - F.col("n_shared")).alias("n_union")).where(F.col("n_shared") >= F.col("n_union") * threshold - 1e-6)
 
 
 def similar_classes(sets: DataFrame, threshold: float, recall: float = RECALL, rounds: int = ROUNDS, bucket: int = BUCKET, depth: int = DEPTH) -> DataFrame:
@@ -117,18 +147,17 @@ def similar_classes(sets: DataFrame, threshold: float, recall: float = RECALL, r
     Rounds of RUNS runs are repeated until a round brings so few new pairs that the recall is estimated to reach the
     target: what a round missed of the pairs known before it estimates the chance that any pair escapes a round.
     """
-    sets = cut(sets)
-    known = None
-    escape = 1.0
+    sets = cut(sets.select("class_id", "tokens", "n_tokens").mapInArrow(_sketches, "class_id long, tokens array<long>, n_tokens int, sketch binary"))
+    known, before, escape, first = None, 0, 1.0, 2
     for seed in range(rounds):
-        found = cut(_round(sets, threshold, seed, bucket, depth).distinct())
+        candidates, first = _round(sets, threshold, seed, bucket, depth, first)
         if known is None:
-            known = found
+            known = cut(_verified(candidates, sets, threshold))
             before = known.count()
-            if before == 0 and seed > 0:
-                break
             continue
-        again, fresh = found.join(known, ["a", "b"], "left_semi").count(), cut(found.join(known, ["a", "b"], "left_anti"))
+        found = cut(candidates)
+        again = found.join(known, ["a", "b"], "left_semi").count()
+        fresh = cut(_verified(found.join(known, ["a", "b"], "left_anti"), sets, threshold))
         new = fresh.count()
         escape *= max(1 - again / before, 1 / (before + 1)) if before else 1.0
         known = known.unionByName(fresh)
