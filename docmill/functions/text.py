@@ -83,7 +83,7 @@ def paragraphs(text: Column) -> Column:
 
 def luhn(digits: Column) -> Column:
     """FN-M1: Luhn check of a string of digits; false for any other text."""
-    return F.luhn_check(digits)
+    return F.call_function("luhn_check", digits)
 
 
 def weighted_check(digits: Column) -> Column:
@@ -94,7 +94,7 @@ def weighted_check(digits: Column) -> Column:
 
 def prefixed_luhn(digits: Column, prefix: str = "80840") -> Column:
     """FN-M3: Luhn check of ten digits after an issuer's prefix; false for any other text."""
-    return F.coalesce(digits.rlike("^[0-9]{10}$") & F.luhn_check(F.concat(F.lit(prefix), digits)), F.lit(False))
+    return F.coalesce(digits.rlike("^[0-9]{10}$") & F.call_function("luhn_check", F.concat(F.lit(prefix), digits)), F.lit(False))
 
 
 def hits_of(text: Column, phrases: list[str]) -> Column:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -16,15 +19,29 @@ from docmill.functions import text as T
 CORPUS_BLOCK, QUERY_BLOCK = 20_000, 5_000
 
 
+@lru_cache(1 << 18)
+def _bucket(word: str, size: int) -> int:
+    return int(hashlib.md5(word.encode()).hexdigest(), 16) % size
+
+
 def hashed_vector(text: Column, size: int = 256) -> Column:
     """VEC-1: unit vector of word counts over md5 buckets, words being runs of at least three letters a-z.
 
-    Texts without a word give a vector of zeros.
+    Null texts and texts without a word give a vector of zeros. An Arrow function, as a vector built by nested
+    higher-order functions would be evaluated once for each of its places.
     """
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z]{3,}"), F.lit(0))
-    buckets = F.array_sort(F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w.cast("binary")), 25, 8), 16, 10).cast("long"), F.lit(size)).cast("int")))
-    norm = F.sqrt(F.aggregate(F.array_distinct(buckets), F.lit(0.0), lambda s, b: s + F.pow(F.size(F.filter(buckets, lambda x: x == b)), F.lit(2.0))))
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda b: F.coalesce(F.try_divide(F.size(F.filter(buckets, lambda x: x == b)).cast("double"), norm), F.lit(0.0)))
+
+    @F.pandas_udf("array<double>")
+    def vectors(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            counts = np.bincount([_bucket(w, size) for w in re.findall("[a-z]{3,}", (t or "").lower())] or [0], minlength=size).astype(float)
+            if not t or not counts.any() or not re.search("[a-z]{3}", t.lower()):
+                counts[:] = 0
+            out.append(counts / (np.linalg.norm(counts) or 1.0))
+        return pd.Series(out)
+
+    return vectors(text.cast("string"))
 
 
 def hashed_terms(text: Column, size: int = 256) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docmill.plans import corpus, integrity
+from docmill.plans import audits, corpus, integrity
 
-MODULES = (integrity, corpus)
+MODULES = (integrity, corpus, audits)
 FLAGSHIP = "evidence"
 
 
