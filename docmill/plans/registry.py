@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docmill.plans import audits, corpus, integrity
+from docmill.plans import audits, corpus, integrity, rollups
 
-MODULES = (integrity, corpus, audits)
+MODULES = (integrity, corpus, audits, rollups)
 FLAGSHIP = "evidence"
 
 
