@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docmill.plans import audits, corpus, integrity, rollups
+from docmill.plans import audits, corpus, integrity, rollups, streams
 
-MODULES = (integrity, corpus, audits, rollups)
+MODULES = (integrity, corpus, audits, rollups, streams)
 FLAGSHIP = "evidence"
 
 
