@@ -1,8 +1,9 @@
 """Problem 2: near-duplicate records.
 
 Method: chosen-path join. Every run splits the sets at random: a set follows each of its tokens with a chance such that
-a pair at the threshold is expected to share at least one; buckets that are small enough are compared by brute force,
-larger ones are split again on further tokens. Within buckets, sketches of one bit for each of many minwise hashes
+a pair at the threshold is expected to share at least one. A path ends when the frequencies of its tokens let its
+bucket be expected small enough for brute force; a bucket that turns out too large is split again on further tokens.
+Within buckets, sketches of one bit for each of many minwise hashes
 are compared; pairs whose sketches agree are checked on their tokens. Runs are repeated until the estimated recall
 reaches the target.
 """
@@ -18,20 +19,18 @@ from pyspark.sql import functions as F
 
 from docmill.session import cut, half_even
 
-#: Buckets up to this many sets are compared by brute force.
-BUCKET = 512
+#: A path ends when this many sets are expected in its bucket; buckets up to BUCKET sets are compared by brute force.
+EXPECTED, BUCKET = 48, 768
 #: Expected tokens that a pair at the threshold shares at each split; above 1, so that pairs survive many splits.
 BRANCHING = 1.5
 #: Runs of a round, rounds at most, and the recall at which no further round is made.
-RUNS, ROUNDS, RECALL = 6, 8, 0.99999
-#: Splits after which what is left of a bucket is compared in blocks.
-DEPTH = 12
-#: A split is made for all sets at once as long as more than this share of them lies in buckets that are too large.
-CROWDED = 0.3
+RUNS, ROUNDS, RECALL = 5, 8, 0.99999
+#: Splits of a path at most, and further splits of a bucket after which what is left of it is compared in blocks.
+DEPTH, AGAIN = 10, 8
+#: Tokens that a smaller share of the sets holds count as this frequent; so the table of frequent ones is bounded.
+RARE = 1 / 2000
 #: Bits of a sketch, and how many standard deviations a pair at the threshold may fall short in it.
 BITS, SLACK = 512, 4.5
-#: Tokens are sampled with this resolution.
-SCALE = 1 << 30
 
 
 def word_set(*columns: Column) -> Column:
@@ -53,10 +52,81 @@ def classes(df: DataFrame, key: str, tokens: Column) -> tuple[DataFrame, DataFra
     return members, sets
 
 
-def _children(threshold: float, level: int) -> Column:
-    """The tokens by which a set follows a node: each with chance BRANCHING / (threshold x size of the set)."""
-    chance = F.least(F.lit(SCALE), (F.lit(SCALE * BRANCHING / threshold) / F.col("n_tokens")).cast("long"))
-    return F.filter("tokens", lambda t: F.pmod(F.xxhash64(F.col("node"), t, F.lit(level)), F.lit(SCALE)) < chance)
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each number."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class _Sets:
+    """The sets of a batch: tokens in one array, where each set begins, its size and chance of following a token."""
+
+    def __init__(self, tokens: pa.ListArray, threshold: float) -> None:
+        self.start = tokens.offsets.to_numpy().astype(np.int64)
+        self.flat = tokens.values.to_numpy().view(np.uint64)
+        self.size = np.diff(self.start)
+        self.chance = np.minimum(1.0, BRANCHING / threshold / np.maximum(self.size, 1))
+
+    def split(self, owner: np.ndarray, node: np.ndarray, used: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """For paths (of sets `owner`, at `node`): which path goes on, and by which place of the token array."""
+        size = self.size[owner]
+        path = np.repeat(np.arange(len(owner)), size)
+        at = np.arange(len(path)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.start[owner], size)
+        token = self.flat[at]
+        draw = (_mix(node[path] ^ _mix(token)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+        keep = draw < self.chance[owner][path]
+        for u in used:
+            keep &= token != u[path]
+        return path[keep], at[keep]
+
+
+def _step(node: np.ndarray, token: np.ndarray) -> np.ndarray:
+    return _mix(node * np.uint64(3) + token)
+
+
+def _paths(batches: Iterator[pa.RecordBatch], threshold: float, runs: range, known: np.ndarray, logs: np.ndarray, goal: float) -> Iterator[pa.RecordBatch]:
+    """The buckets of each set in each run: node and the batch's other columns. Sets are handled some at a time."""
+    rare = np.log(RARE)
+    for whole in batches:
+        for first in range(0, whole.num_rows, 1000):
+            batch = whole.slice(first, 1000)
+            tokens = batch.column(1)
+            sets = _Sets(tokens, threshold)
+            if len(known):
+                place = np.minimum(np.searchsorted(known, sets.flat), len(known) - 1)
+                log = np.where(known[place] == sets.flat, logs[place], rare)
+            else:
+                log = np.full(len(sets.flat), rare)
+            rows, nodes = [], []
+            for run in runs:
+                owner = np.arange(batch.num_rows)
+                node = np.full(len(owner), _mix(np.array([run + 1], np.uint64))[0])
+                chance, used = np.zeros(len(owner)), []
+                for _ in range(DEPTH):
+                    path, at = sets.split(owner, node, used)
+                    owner, node, chance = owner[path], _step(node[path], sets.flat[at]), chance[path] + log[at]
+                    used = [u[path] for u in used] + [sets.flat[at]]
+                    done = chance <= goal
+                    rows.append(owner[done])
+                    nodes.append(node[done])
+                    owner, node, chance, used = owner[~done], node[~done], chance[~done], [u[~done] for u in used]
+                    if not len(owner):
+                        break
+                rows.append(owner)
+                nodes.append(node)
+            at = pa.array(np.concatenate(rows))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes).view(np.int64)), *(batch.column(k).take(at) for k in (0, 2, 3))], names=["node", "class_id", "n_tokens", "sketch"])
+
+
+def _further(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """One more split of the sets of buckets that are too large."""
+    for batch in batches:
+        sets = _Sets(batch.column(2), threshold)
+        node = batch.column(0).to_numpy().view(np.uint64)
+        path, at = sets.split(np.arange(len(node)), node, [])
+        rows = pa.array(path)
+        yield pa.RecordBatch.from_arrays([pa.array(_step(node[path], sets.flat[at]).view(np.int64)), *(batch.column(k).take(rows) for k in (1, 3, 4))], names=["node", "class_id", "n_tokens", "sketch"])
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,44 +164,34 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], names=["a", "b"])
 
 
-def _nodes(sets: DataFrame, threshold: float, seed: int, levels: int) -> DataFrame:
-    """class_id and node of every set after so many splits of each of the seed's runs; a narrow pass."""
-    rows = sets.select("class_id", "tokens", "n_tokens", F.explode(F.sequence(F.lit(seed * RUNS), F.lit((seed + 1) * RUNS - 1))).alias("run"))
-    rows = rows.withColumn("node", F.xxhash64("run"))
-    for level in range(levels):
-        rows = rows.select("class_id", "tokens", "n_tokens", F.explode(_children(threshold, level)).alias("t"), "node").withColumn("node", F.xxhash64("node", "t"))
-    return rows.select("class_id", "node")
+FRONT = "node long, class_id long, n_tokens int, sketch binary"
 
 
-def _round(sets: DataFrame, threshold: float, seed: int, bucket: int, depth: int, first: int) -> tuple[DataFrame, int]:
-    """Candidate pairs a, b of a round, and the number of splits that were made for all sets."""
-    while True:
-        front = cut(_nodes(sets, threshold, seed, first))
-        sizes = front.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        r = sizes.agg(F.sum("n").alias("all"), F.sum(F.when(F.col("n") > bucket, F.col("n"))).alias("large")).first()
-        if first >= depth or (r["large"] or 0) <= CROWDED * (r["all"] or 0):
-            break
-        first += 1
-    small = None
-    for level in range(first, depth + 1):
-        sized = front.join(sizes, "node")
-        done = sized.where(F.col("n") <= bucket).select("class_id", "node", F.lit(0).alias("part"))
-        small = done if small is None else small.unionByName(done)
-        large = sized.where(F.col("n") > bucket).drop("n").join(sets.select("class_id", "tokens", "n_tokens"), "class_id")
-        front = cut(large.select("class_id", F.explode(_children(threshold, level)).alias("t"), "node").select("class_id", F.xxhash64("node", "t").alias("node")))
-        if front.isEmpty():
+def _round(sets: DataFrame, threshold: float, seed: int, known: np.ndarray, logs: np.ndarray, goal: float, bucket: int, again: int) -> DataFrame:
+    """Candidate pairs a, b of a round of runs."""
+    runs = range(seed * RUNS, (seed + 1) * RUNS)
+    front = sets.mapInArrow(lambda it: _paths(it, threshold, runs, known, logs, goal), FRONT)
+    parts = []
+    for turn in range(again + 1):
+        large = cut(front.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket))
+        if large.isEmpty():
+            parts.append(front.withColumn("part", F.lit(0)))
             break
-        sizes = front.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    else:  # what can't be split is compared in blocks, each block with itself and with every other one
-        counted = sizes.withColumn("blocks", F.ceil(F.col("n") / (bucket // 2)).cast("int"))
-        blocks = front.join(counted, "node").withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
-        grid = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        grid = grid.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-        rest = grid.select("class_id", F.xxhash64("node", "low", "high").alias("node"), F.when(F.col("low") == F.col("high"), 0).when(F.col("block") == F.col("low"), 1).otherwise(2).alias("part"))
-        small = small.unionByName(rest)
-    filled = small.join(sets.select("class_id", "n_tokens", "sketch"), "class_id")
-    buckets = filled.groupBy("node").agg(F.collect_list(F.struct("class_id", "n_tokens", "sketch", "part")).alias("bucket"))
-    return buckets.select("bucket").mapInArrow(lambda it: _compare(it, threshold), "a long, b long").distinct(), first
+        parts.append(front.join(large.select("node"), "node", "left_anti").withColumn("part", F.lit(0)))
+        rest = front.join(large, "node")
+        if turn == again:  # what can't be split is compared in blocks, each with itself and with every other one
+            rest = rest.withColumn("blocks", F.ceil(F.col("n") / (bucket // 2)).cast("int")).withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
+            rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+            part = F.when(F.col("low") == F.col("high"), 0).when(F.col("block") == F.col("low"), 1).otherwise(2)
+            parts.append(rest.select(F.xxhash64("node", "low", "high").alias("node"), "class_id", "n_tokens", "sketch", part.alias("part")))
+        else:
+            more = rest.select("node", "class_id").join(sets, "class_id").select("node", "class_id", "tokens", "n_tokens", "sketch")
+            front = cut(more.mapInArrow(lambda it: _further(it, threshold), FRONT))
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    buckets = rows.groupBy("node").agg(F.collect_list(F.struct("class_id", "n_tokens", "sketch", "part")).alias("bucket")).where("size(bucket) > 1")
+    return buckets.select("bucket").mapInArrow(lambda it: _compare(it, threshold), "a long, b long").distinct()
 
 
 def _verified(candidates: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -141,25 +201,30 @@ def _verified(candidates: DataFrame, sets: DataFrame, threshold: float) -> DataF
     return met.select("a", "b", "n_shared", (F.col("both") - F.col("n_shared")).alias("n_union")).where(F.col("n_shared") >= F.col("n_union") * threshold - 1e-6)
 
 
-def similar_classes(sets: DataFrame, threshold: float, recall: float = RECALL, rounds: int = ROUNDS, bucket: int = BUCKET, depth: int = DEPTH) -> DataFrame:
+def similar_classes(sets: DataFrame, threshold: float, recall: float = RECALL, rounds: int = ROUNDS, bucket: int = BUCKET, again: int = AGAIN, expected: int = EXPECTED) -> DataFrame:
     """a, b, n_shared, n_union of every two classes whose Jaccard similarity is at least the threshold (a < b).
 
     Rounds of RUNS runs are repeated until a round brings so few new pairs that the recall is estimated to reach the
     target: what a round missed of the pairs known before it estimates the chance that any pair escapes a round.
     """
     sets = cut(sets.select("class_id", "tokens", "n_tokens").mapInArrow(_sketches, "class_id long, tokens array<long>, n_tokens int, sketch binary"))
-    known, before, escape, first = None, 0, 1.0, 2
+    n = sets.count()
+    often = sets.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > n * RARE).collect()  # at most the mean size of a set / RARE
+    table = sorted((r["t"] & 0xFFFFFFFFFFFFFFFF, r["n"]) for r in often)
+    tokens, logs = np.array([t for t, _ in table], np.uint64), np.log(np.array([c for _, c in table], float) / max(n, 1))
+    goal = -np.log(max(1.0, n / expected)) - 1e-9
+    known, before, escape = None, 0, 1.0
     for seed in range(rounds):
-        candidates, first = _round(sets, threshold, seed, bucket, depth, first)
+        candidates = _round(sets, threshold, seed, tokens, logs, goal, bucket, again)
         if known is None:
             known = cut(_verified(candidates, sets, threshold))
             before = known.count()
             continue
         found = cut(candidates)
-        again = found.join(known, ["a", "b"], "left_semi").count()
+        seen = found.join(known, ["a", "b"], "left_semi").count()
         fresh = cut(_verified(found.join(known, ["a", "b"], "left_anti"), sets, threshold))
         new = fresh.count()
-        escape *= max(1 - again / before, 1 / (before + 1)) if before else 1.0
+        escape *= max(1 - seen / before, 1 / (before + 1)) if before else 1.0
         known = known.unionByName(fresh)
         before += new
         if new == 0 or escape <= 1 - recall:
