@@ -48,7 +48,8 @@ def suitability(df: DataFrame, key: str, factors: str, profiles: dict[str, dict[
     for order, (name, wanted) in enumerate(profiles.items()):
         total, weight = F.lit(0.0), F.lit(0.0)
         for factor, (direction, w) in wanted.items():
-            v = F.least(F.greatest(F.try_element_at(F.col(factors), F.lit(factor)), F.lit(float(low))), F.lit(float(high)))
+            raw = F.try_element_at(F.col(factors), F.lit(factor))
+            v = F.when(raw.isNotNull(), F.least(F.greatest(raw, F.lit(float(low))), F.lit(float(high))))
             fit = (v - low) / (high - low) if direction > 0 else (F.lit(float(high)) - v) / (high - low)
             total, weight = total + F.coalesce(fit * w, F.lit(0.0)), weight + F.when(v.isNotNull(), w).otherwise(0.0)
         fits.append(F.struct(F.lit(order).alias("ord"), F.lit(name).alias("profile"), F.bround(F.when(weight > 0, 100 * total / weight).otherwise(0.0), 1).alias("pct")))
