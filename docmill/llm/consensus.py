@@ -36,18 +36,18 @@ def verdict(wording: Column) -> Column:
 
 
 def votes(df: DataFrame, row_id: str, item: list[str], sources: dict[str, Column]) -> DataFrame:
-    """One row per item, annotator and label: the item's columns, annotator, label (0 or 1), n.
+    """One row per item and annotator: the item's columns, annotator, n1 (labels 1) and n (labels).
 
     sources maps an annotator's column to the label it gave. A row delivered several times counts once. Labels that
     are null or neither 0 nor 1 don't count; an unnamed annotator's labels are those of the annotator "?". Items with
-    a null key are left out.
+    a null key are left out. Labels are summed before they are shuffled, so an item that holds a large share of all
+    rows is no hot spot.
     """
-    labels = F.array(*[F.struct(F.coalesce(F.nullif(F.trim(F.col(a)), F.lit("")), F.lit("?")).alias("annotator"), c.cast("int").alias("label")) for a, c in sources.items()])
-    rows = df.select(F.col(row_id).alias("_row"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(item)], labels.alias("labels"))
-    rows = rows.where(" and ".join(f"_{k} is not null" for k in range(len(item)))).dropDuplicates(["_row"])
     keys = [f"_{k}" for k in range(len(item))]
-    said = rows.select(*keys, F.explode("labels").alias("x")).select(*keys, "x.annotator", "x.label").where("label in (0, 1)")
-    return said.groupBy(*keys, "annotator", "label").agg(F.count(F.lit(1)).alias("n")).withColumnsRenamed(dict(zip(keys, item)))
+    flat = [x for k, (a, c) in enumerate(sources.items()) for x in (F.coalesce(F.nullif(F.trim(F.col(a)), F.lit("")), F.lit("?")).alias(f"a{k}"), c.cast("int").cast("tinyint").alias(f"l{k}"))]
+    rows = df.select(F.col(row_id).alias("_row"), *[F.col(c).alias(k) for c, k in zip(item, keys)], *flat).where(" and ".join(f"{k} is not null" for k in keys)).dropDuplicates(["_row"])
+    said = rows.select(*keys, F.explode(F.array(*[F.struct(F.col(f"a{k}").alias("annotator"), F.col(f"l{k}").alias("label")) for k in range(len(sources))])).alias("x")).where("x.label in (0, 1)")
+    return said.groupBy(*keys, F.col("x.annotator").alias("annotator")).agg(F.sum("x.label").alias("n1"), F.count(F.lit(1)).alias("n")).withColumnsRenamed(dict(zip(keys, item)))
 
 
 @dataclass
@@ -61,11 +61,10 @@ class Model:
     kind: np.ndarray
 
 
-def _flat(votes: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _flat(codes: pa.ListArray, ones: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, annotator's code and share of 1 of each vote."""
-    flat = votes.flatten()
-    rows = np.repeat(np.arange(len(votes)), np.diff(votes.offsets.to_numpy()))
-    return rows, flat.field("code").to_numpy(), flat.field("one").to_numpy().astype(np.float64)
+    rows = np.repeat(np.arange(len(codes)), np.diff(codes.offsets.to_numpy()))
+    return rows, codes.flatten().to_numpy(), ones.flatten().to_numpy().astype(np.float64)
 
 
 def _truth(model: Model, rows: np.ndarray, at: np.ndarray, one: np.ndarray, n: int) -> np.ndarray:
@@ -80,7 +79,7 @@ def _statistics(batches: Iterator[pa.RecordBatch], model: Model | None) -> Itera
     sums: dict[int, np.ndarray] = {}
     items = np.zeros(2)
     for batch in batches:
-        rows, code, one = _flat(batch.column(0))
+        rows, code, one = _flat(batch.column(0), batch.column(1))
         n = batch.num_rows
         known, at = np.unique(code, return_inverse=True)
         if model is None:  # at first every vote counts alike
@@ -147,10 +146,10 @@ def consensus(labels: DataFrame, item: list[str]) -> tuple[DataFrame, DataFrame]
     has one vote on an item, shared among the labels it gave there.
     """
     spark = labels.sparkSession
-    whole = labels.groupBy(*item, "annotator").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("n1"), F.sum("n").alias("n"))
     vote = F.struct(F.xxhash64("annotator").alias("code"), (F.col("n1") / F.col("n")).cast("float").alias("one"))
-    lists = cut(whole.groupBy(*item).agg(F.collect_list(vote).alias("votes"), F.sum("n").alias("n_labels")))
-    only = lists.select("votes")
+    gathered = labels.groupBy(*item).agg(F.collect_list(vote).alias("v"), F.sum("n").alias("n_labels"))  # an item has at most one vote of each annotator
+    lists = cut(gathered.select(*item, F.transform("v", lambda x: x["code"]).alias("codes"), F.transform("v", lambda x: x["one"]).alias("ones"), "n_labels"))
+    only = lists.select("codes", "ones")
 
     def counted(model: Model | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         sums = only.mapInArrow(lambda it: _statistics(it, model), "code long, a double, b double, c double, d double").groupBy("code").agg(*[F.sum(c).alias(c) for c in "abcd"])
@@ -174,7 +173,7 @@ def consensus(labels: DataFrame, item: list[str]) -> tuple[DataFrame, DataFrame]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, code, one = _flat(batch.column(len(item)))
+            rows, code, one = _flat(batch.column(len(item)), batch.column(len(item) + 1))
             n = batch.num_rows
             yes = _truth(model, rows, np.searchsorted(model.codes, code), one, n)
             every, ones = np.bincount(rows, minlength=n).astype(float), np.bincount(rows, one, n)
@@ -182,13 +181,13 @@ def consensus(labels: DataFrame, item: list[str]) -> tuple[DataFrame, DataFrame]
             pairs = every**2 - every
             agree = pa.array((ones**2 + (every - ones) ** 2 - alone) / np.maximum(pairs, 1), pa.float64(), mask=pairs < 1)
             cols = [batch.column(k) for k in range(len(item))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array((yes >= 0.5).astype(np.int32)), pa.array(yes), agree, pa.array(every.astype(np.int64)), batch.column(len(item) + 1)], names=[*item, "verdict", "p_met", "agreement", "n_annotators", "n_labels"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array((yes >= 0.5).astype(np.int32)), pa.array(yes), agree, pa.array(every.astype(np.int64)), batch.column(len(item) + 2)], names=[*item, "verdict", "p_met", "agreement", "n_annotators", "n_labels"])
 
     kinds = ", ".join(f"`{c}` {lists.schema[c].dataType.simpleString()}" for c in item)
-    verdicts = lists.select(*item, "votes", "n_labels").mapInArrow(judge, f"{kinds}, verdict int, p_met double, agreement double, n_annotators long, n_labels long")
+    verdicts = lists.select(*item, "codes", "ones", "n_labels").mapInArrow(judge, f"{kinds}, verdict int, p_met double, agreement double, n_annotators long, n_labels long")
     sure = [(int(c), int(model.kind[k]), float(model.matrix[k, 1, 1]), float(model.matrix[k, 0, 0])) for k, c in enumerate(codes)]
     worth = spark.createDataFrame(sure, "code long, annotator_type int, sensitivity double, specificity double")
-    size = whole.groupBy("annotator").agg(F.count(F.lit(1)).alias("n_items"), F.sum("n").alias("n_labels")).withColumn("code", F.xxhash64("annotator"))
+    size = labels.groupBy("annotator").agg(F.count(F.lit(1)).alias("n_items"), F.sum("n").alias("n_labels")).withColumn("code", F.xxhash64("annotator"))
     annotators = size.join(F.broadcast(worth), "code").select(  # at most MOST_ANNOTATORS rows
         "annotator", "annotator_type", half_even(F.col("sensitivity"), 4).alias("sensitivity"), half_even(F.col("specificity"), 4).alias("specificity"),
         half_even((F.col("sensitivity") + F.col("specificity")) / 2, 4).alias("reliability"), "n_items", "n_labels",
