@@ -267,16 +267,17 @@ def near_duplicates(df: DataFrame, key: str, columns: list[str], threshold: floa
     return members, similar_classes(sets, threshold)
 
 
-def pairs(members: DataFrame, links: DataFrame, salts: int = 32) -> DataFrame:
+def pairs(members: DataFrame, links: DataFrame, part: int = 500) -> DataFrame:
     """key_a < key_b and similarity of all pairs of rows: rows of linked classes, and rows of one class.
 
-    The expansion is salted, so that a class holding a third of all rows is spread over `salts` tasks a side.
+    A class of more than `part` rows is dealt out in parts of about that size, and each part meets the other class by
+    itself; so no task makes all pairs of a class that holds a large share of the rows.
     """
-    left = members.select(F.col("key").alias("key_a"), F.col("class_id").alias("a"), F.pmod(F.xxhash64("key"), F.lit(salts)).alias("salt"))
-    right = members.select(F.col("key").alias("key_b"), F.col("class_id").alias("b"))
-    one = members.select(F.col("class_id").alias("a")).distinct().select("a", F.col("a").alias("b"), F.lit(1.0).alias("similarity"))
+    sizes = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / part).cast("int"))
+    one = sizes.where("n > 1").select(F.col("class_id").alias("a"), F.col("class_id").alias("b"), F.lit(1.0).alias("similarity"))
     two = links.select("a", "b", (F.col("n_shared") / F.col("n_union")).alias("similarity"))
-    all_links = two.unionByName(one).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    met = all_links.join(left, ["a", "salt"]).join(right, "b")
-    met = met.where((F.col("a") < F.col("b")) | (F.col("key_a") < F.col("key_b")))
+    dealt = two.unionByName(one).join(sizes.select(F.col("class_id").alias("a"), "parts"), "a").withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    right = dealt.join(members.select(F.col("class_id").alias("b"), F.col("key").alias("key_b")), "b")
+    left = members.join(sizes.select("class_id", "parts"), "class_id").select(F.col("class_id").alias("a"), F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("p"), F.col("key").alias("key_a"))
+    met = right.join(left, ["a", "p"]).where((F.col("a") < F.col("b")) | (F.col("key_a") < F.col("key_b")))
     return met.select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b"), half_even(F.col("similarity"), 6).alias("similarity"))
