@@ -41,7 +41,9 @@ def citation_rows(df: DataFrame, key: str, text: Column) -> DataFrame:
     known = F.array(*[F.lit(r) for r in V.RESOURCES])
     context = F.col("said") | F.exists("c", lambda x: (x["kind"] == "fhir_resource") & F.array_contains(known, x["entity"]))
     same = lambda x: F.when(x["kind"] == "fhir_resource", x["entity"]).otherwise(F.lower(x["entity"]))
-    first = F.filter("c", lambda x: ~F.exists(F.filter("c", lambda y: (y["kind"] == x["kind"]) & (y["pos"] < x["pos"])), lambda y: same(y) == same(x)))
+    rows = rows.withColumn("s", F.array_sort(F.transform("c", lambda x: F.struct(x["kind"].alias("kind"), same(x).alias("same"), x["pos"].alias("pos"), x["entity"].alias("entity"), x["lookup"].alias("lookup")))))
+    last = lambda i: F.get(F.col("s"), i - 1)
+    first = F.filter("s", lambda x, i: (i == 0) | (last(i)["kind"] != x["kind"]) | (last(i)["same"] != x["same"]))
     return rows.select("k", context.alias("context"), F.explode(first).alias("x")).select(F.col("k").alias(key), "context", "x.kind", "x.entity", "x.lookup")
 
 

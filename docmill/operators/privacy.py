@@ -7,11 +7,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docmill.functions import text as T
 from docmill.functions import values as V
+from docmill.session import running_numbers
 
 PATTERNS = [(kind, re.compile(p), g) for kind, p, g in V.PERSONAL]
 SPAN = "array<struct<start:int,neg_size:int,ord:int,kind:string,stop:int,value:string>>"
@@ -60,11 +60,11 @@ def personal_spans(df: DataFrame, key: str, text: str) -> DataFrame:
 def vault(spans: DataFrame, key: str) -> DataFrame:
     """SEC-4 and WIN-4: kind, value, token: one stable token for each value, numbered by kind in order of first appearance.
 
-    Order is that of the key and the place in its text. The numbering is a window over each kind's distinct values.
+    Order is that of the key and the place in its text. A kind may have any number of values (see running_numbers).
     """
     first = spans.select(F.col(key).alias("k"), F.explode("spans").alias("s")).groupBy("s.kind", "s.value").agg(F.min(F.struct("k", "s.start")).alias("first"))
-    n = F.row_number().over(W.partitionBy("kind").orderBy("first", "value"))
-    return first.select("kind", "value", F.concat(F.lit("["), F.col("kind"), F.lit("_"), n.cast("string"), F.lit("]")).alias("token"))
+    numbered = running_numbers(first, "kind", ["first", "value"], "n")
+    return numbered.select("kind", "value", F.concat(F.lit("["), F.col("kind"), F.lit("_"), F.col("n").cast("string"), F.lit("]")).alias("token"))
 
 
 def masked(spans: DataFrame, key: str, tokens: DataFrame) -> DataFrame:

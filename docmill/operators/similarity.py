@@ -39,13 +39,14 @@ def first_near_duplicate(df: DataFrame, key: str, text: str, tokens: str, thresh
     Texts are taken as classes of exact copies: links are found between classes, never between all copies.
     """
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("x"), F.array_sort(tokens).alias("t"))
-    texts = rows.where("x is not null").groupBy("x", "t").agg(F.min("k").alias("rep"))
-    sets = texts.groupBy("t").agg(F.min("rep").alias("set_id"), F.collect_list(F.struct("rep", "x")).alias("members"))
-    sets = cut(sets)
-    links = jaccard_links(sets, "set_id", "t", threshold)
+    texts = cut(rows.where("x is not null and size(t) > 0").groupBy("x", "t").agg(F.min("k").alias("rep")).withColumn("set", F.struct(F.xxhash64("t"), F.hash("t"), F.size("t"))))
+    sets = cut(texts.groupBy("set").agg(F.min_by(F.struct("rep", "t"), "rep").alias("m")).select("set", F.col("m.rep").alias("lead"), F.col("m.t").alias("t")))
+    # of texts with equal tokens only the smallest key and the one after it are needed
+    after = texts.join(sets.select("set", "lead"), "set").where("rep <> lead").groupBy("set").agg(F.min("rep").alias("after"))
+    links = jaccard_links(sets, "lead", "t", threshold)
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both.join(sets.select(F.col("set_id").alias("b"), F.array_min(F.col("members.rep")).alias("rep")), "b").groupBy("a").agg(F.min("rep").alias("other"))
-    one = sets.select("set_id", "t", F.explode("members").alias("m"), F.array_sort("members.rep").alias("reps")).select("set_id", "t", "m.x", "m.rep", "reps")
-    own = F.when(F.size("t") > 0, F.get(F.filter("reps", lambda r: r != F.col("rep")), F.lit(0)))
-    found = one.join(near.withColumnRenamed("a", "set_id"), "set_id", "left").select("x", F.least(own, "other").alias("other"))
-    return rows.join(found, "x", "left").select(F.col("k").alias(key), "other")
+    near = both.groupBy("a").agg(F.min("b").alias("near"))  # a set's smallest key is its name
+    known = sets.select("set", "lead").join(after, "set", "left").join(near.withColumnRenamed("a", "lead"), "lead", "left")
+    own = F.when(F.col("rep") == F.col("lead"), F.col("after")).otherwise(F.col("lead"))
+    found = texts.select("set", "x", "rep").join(known, "set").select("x", F.least(own, "near").alias("other"))
+    return rows.select("k", "x").join(found, "x", "left").select(F.col("k").alias(key), "other")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docmill.session import running_numbers
+
 
 def last_write(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """WIN-6, JOIN-17: each key's last row in the given order; an aggregate, so a hot key combines before the shuffle."""
@@ -35,7 +37,7 @@ def assign_ids(df: DataFrame, kind: str, order: list[str], taken: DataFrame, tak
     """
     pattern = rf"^([A-Z]+)-{prefix}-(\d+)$"
     top = taken.select(F.regexp_extract(taken_id, pattern, 1).alias("_kind"), F.regexp_extract(taken_id, pattern, 2).try_cast("int").alias("_n")).where("_kind <> ''").groupBy("_kind").agg(F.max("_n").alias("_top"))
-    rows = df.withColumns({"_kind": F.col(kind), "_i": F.row_number().over(W.partitionBy(kind).orderBy(*order))})
+    rows = running_numbers(df, kind, order, "_i").withColumn("_kind", F.col(kind))
     number = F.col("_i") + F.coalesce("_top", F.lit(0))
     return rows.join(top, "_kind", "left").withColumn("new_id", F.concat_ws("-", "_kind", F.lit(prefix), F.format_string(f"%0{width}d", number))).drop("_kind", "_i", "_top")
 
