@@ -14,6 +14,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,6 +45,7 @@ def _trim(text: str) -> str:
     return TRIM.sub("", text)
 
 
+@lru_cache(1 << 16)
 def _unquote(text: str) -> str:
     """A value without enclosing quotes or brackets; doubled and escaped quotes inside once."""
     text = _trim(text)
@@ -110,6 +112,7 @@ def atoms(cell: str | None) -> list[list[tuple[str, str]]]:
     return found
 
 
+@lru_cache(1 << 16)
 def form(value: str) -> str:
     """The form of a value."""
     for pattern, to in FORM:
@@ -190,7 +193,8 @@ def unpack(df: DataFrame, key: str, fields: list[str], rounds: int = ROUNDS) ->
     nothing, give no rows; empty members aren't counted; repeated values stay. Rows with a null key are left out.
     """
     cells = df.select(F.col(key).alias("_key"), *[F.col(f).cast("string").alias(f"_{k}") for k, f in enumerate(fields)]).where(F.col("_key").isNotNull())
-    cells = cells.dropDuplicates(["_key"])
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = cells.repartition(tasks, "_key").dropDuplicates(["_key"])  # one shuffle, which isn't coalesced: what follows is work, not data
     pairs = ", ".join(f"'{f}', _{k}" for k, f in enumerate(fields))
     long = cells.selectExpr("_key", f"stack({len(fields)}, {pairs}) as (field, cell)").where("cell is not null")
     long = cut(long)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docmill.functions import text as T
 from docmill.functions import values as V
 from docmill.operators import audit, confidence as conf, conflicts, privacy, quality, retrieval, similarity
-from docmill.session import lookup_join, read_table
+from docmill.session import cut, lookup_join, read_table
 
 CHUNK_ID = r"D\d{2}#S[^#\s]+#c\d{2,}"
 _ROLES = ["rtm_id", "req_id", "statement", "acceptance_criteria", "verification_method", "evidence_chunks", "stakeholder_statements", "regulations", "origin", "confidence"]
@@ -100,7 +100,7 @@ def entity_extract(spark: SparkSession, folder: str) -> DataFrame:
 
 def citation_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     """HAL-2, HAL-3, HAL-4, HAL-7."""
-    rows = _cited(spark, folder)
+    rows = cut(_cited(spark, folder))  # a few citations a row, read by the search and by the join
     v = audit.citation_verdicts(rows, audit.corpus_presence(rows, chunks(spark, folder), "chunk_id", "text"), ["430", "440", "450"])
     return v.select("rtm_id", "kind", "entity", "verdict", audit.severity(F.col("verdict"), F.lit(False)).alias("severity"))
 

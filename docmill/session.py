@@ -65,7 +65,7 @@ def lookup_join(facts: DataFrame, dim: DataFrame, key: str, share: int = HOT_SHA
     Rows of hot keys meet the dim rows of those keys by broadcast (at most `share` rows, see hot_keys); all others
     meet by a shuffled join in which no key is hot.
     """
-    hot = hot_keys(facts, key, share)
+    hot = cut(hot_keys(facts, key, share))  # counted once, used three times
     marked = facts.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
     hot_dim = dim.join(F.broadcast(hot), key, "left_semi")
     heated = marked.where("_hot").drop("_hot").join(F.broadcast(hot_dim), key, "left")
