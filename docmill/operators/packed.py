@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docmill.session import cut
@@ -179,10 +180,10 @@ def _estimate(column: DataFrame, models: dict[str, dict[str, float]] | None) ->
 
     counts = cut(column.mapInArrow(count, "field string, k string, n long").groupBy("field", "k").agg(F.sum("n").alias("n")).withColumn("kind", F.substring("k", 1, 1)))
     totals = {(r["field"], r["kind"]): r["all"] for r in counts.groupBy("field", "kind").agg(F.sum("n").alias("all")).collect()}
+    best = F.row_number().over(W.partitionBy("field", "kind").orderBy(F.desc("n"), "k"))  # limited in each task before the shuffle
     found: dict[str, dict[str, float]] = {}
-    for f, kind in totals:
-        top = counts.where((F.col("field") == f) & (F.col("kind") == kind)).orderBy(F.desc("n"), "k").limit(MODEL_SIZE)
-        found.setdefault(f, {}).update((r["k"], r["n"] / totals[f, kind]) for r in top.collect())
+    for r in counts.withColumn("place", best).where(F.col("place") <= MODEL_SIZE).collect():
+        found.setdefault(r["field"], {})[r["k"]] = r["n"] / totals[r["field"], r["kind"]]
     return found
 
 
