@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,7 @@ HOT_SHARE = 256
 
 def local_session(cores: int = 8, partitions: int = 8) -> SparkSession:
     """A local session for tests, benches and examples."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("docmill")
         .config("spark.sql.shuffle.partitions", partitions)
@@ -25,10 +26,21 @@ def local_session(cores: int = 8, partitions: int = 8) -> SparkSession:
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
+    share_code(spark)
+    return spark
+
+
+def share_code(spark: SparkSession) -> None:
+    """Lets Python workers on this machine import the package wherever the driver's program was started."""
+    root, known = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), spark.sparkContext.environment
+    paths = [p for p in known.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        known["PYTHONPATH"] = os.pathsep.join([*paths, root])
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The Parquet table `name` of a data folder."""
+    share_code(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
