@@ -7,6 +7,7 @@ cosine are candidates; the longest common subsequence of words decides.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 import zlib
@@ -30,8 +31,6 @@ NEAR, SHARE = 0.62, 0.5
 GAP = 3
 #: Items are searched in blocks of so many; more items than this are refused, as they are held on the driver.
 ITEM_BLOCK, MOST_ITEMS = 4000, 200_000
-#: Partial sums meet in so many tasks before the last one.
-MEET = 16
 WORD = re.compile(r"[^\W_]+")
 #: Marks that are no part of a word's form: joiners, soft hyphens, direction marks, and apostrophes.
 HIDDEN = re.compile("['’ʼ`\xad​-‏⁠‪-‮﻿̀-ͯ]")
@@ -112,7 +111,7 @@ def _sum_into(target: np.ndarray, index: np.ndarray, values: np.ndarray, owner:
     target[index[starts]] += np.add.reduceat(values[owner], starts, axis=0)
 
 
-def _sketch_of(batches: Iterator[pa.RecordBatch], idf: np.ndarray, seed: int) -> Iterator[pa.RecordBatch]:
+def _sketch_of(batches: Iterator[pa.RecordBatch], idf: np.ndarray, seed: int, meet: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     weighted = np.zeros((BUCKETS + 1, SKETCH), np.float32)
@@ -126,7 +125,7 @@ def _sketch_of(batches: Iterator[pa.RecordBatch], idf: np.ndarray, seed: int) ->
             projected = weighted[rows].sum(axis=1) * norm[:, None]
             _sum_into(total, rows.ravel(), projected, np.repeat(np.arange(len(rows)), rows.shape[1]))
     total = total[:BUCKETS] * idf[:, None]
-    yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % MEET], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["part", "total"])
+    yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % meet], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["part", "total"])
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,8 +299,9 @@ def latent_space(words: DataFrame, seed: int = 7) -> Space:
         df[r["bucket"]] = r["n"]
     n, df = df[BUCKETS], df[:BUCKETS]
     idf = np.where(df > 0, np.log((1 + n) / (1 + df)) + 1e-3, 0).astype(np.float32)
-    sums = words.mapInArrow(lambda it: _sketch_of(it, idf, seed), "part int, total binary").repartition(MEET, "part").mapInArrow(_add, "part int, total binary")
-    rows = sums.coalesce(1).mapInArrow(_add, "part int, total binary").collect()
+    meet = math.isqrt(words.rdd.getNumPartitions()) + 1  # so that neither step of the sum reads more than about that many parts
+    sums = words.mapInArrow(lambda it: _sketch_of(it, idf, seed, meet), "part int, total binary").repartition(meet, "part").mapInArrow(_add, "part int, total binary")
+    rows = sums.repartition(1).mapInArrow(_add, "part int, total binary").collect()
     weights = np.zeros((BUCKETS + 1, DIMENSIONS), np.float32)
     if rows and n:
         weights[:BUCKETS] = _basis(np.frombuffer(rows[0]["total"], np.float32).reshape(BUCKETS, SKETCH), seed) * idf[:, None]
