@@ -162,12 +162,18 @@ def negation_conflicts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def conflict_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    """CFL-3, JOIN-6: for the requirements whose id is divisible by 20, their ten nearest among all from 0.55."""
+    """For the requirements whose id is divisible by 20, their ten nearest among all from 0.55; conflict_pairs has CFL-3 over all pairs."""
     r = requirements(spark, folder).select("rtm_id", "statement").withColumn("v", retrieval.hashed_vector(F.col("statement")))
     q = r.where("rtm_id % 20 = 0").select(F.col("rtm_id").alias("a"), F.col("v").alias("qv"))
     return retrieval.block_topk(r.withColumnRenamed("rtm_id", "b"), "b", "v", q, "a", "qv", 11, least=0.55).where("a <> b").select("a", "b", "score")
 
 
+def conflict_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """CFL-3, JOIN-6, SRT-3: of all pairs of rows of rtm that are candidates of a conflict, the 24 to look at first."""
+    found = conflicts.candidate_pairs(requirements(spark, folder), "rtm_id", "statement", "acceptance_criteria", F.col("sources"), most=24)
+    return conflicts.ranked_pairs(found, F.col("signalled"), F.col("duplicate"), "score", ["a", "b"])
+
+
 def conflict_report(spark: SparkSession, folder: str) -> DataFrame:
     """SRT-3: the 24 recorded conflicts to look at first."""
     c = read_table(spark, folder, "conflicts").dropDuplicates(["conflict_id"])
@@ -216,7 +222,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         near_duplicate_first, unknown_chunk_ids, rule_scores_long, rule_pass_rate, keyword_categories, undefined_terms, score_agreement, adjudication_report, entity_extract, citation_verdicts,
-        severity_matrix, quote_audit, confidence, review_first, quantity_map, conflict_signals, negation_conflicts, conflict_candidates, conflict_report, pii_spans, pii_masked, pii_leak_check,
+        severity_matrix, quote_audit, confidence, review_first, quantity_map, conflict_signals, negation_conflicts, conflict_candidates, conflict_pairs, conflict_report, pii_spans, pii_masked, pii_leak_check,
         injection_scan, quarantined, spotlight,
     )
 }
@@ -289,6 +295,20 @@ _CONF = f"""
                    array_to_string(list_filter([CASE WHEN bad THEN 'unknown citation' END, CASE WHEN disputed THEN 'unresolved conflict' END], lambda t: t IS NOT NULL), '; ') AS reasons FROM f)
 """
 _UNIT = "map {" + ", ".join(f"{_quote(k)}: {_quote(v)}" for k, v in V.UNITS.items()) + "}"
+_PAIRS = f"""
+    WITH {_R}, w AS (SELECT rtm_id, statement, concat_ws(' ', statement, acceptance_criteria) AS t, list_distinct(list_transform(list_filter(sources, lambda z: len(string_split(z, '-')) > 2), lambda z: split_part(z, '-', 2))) AS who FROM r),
+    g AS (SELECT *, coalesce(regexp_matches(statement, {_quote(V.NEGATION)}), false) AS negated, regexp_matches(t, {_quote(V.AUTOMATION)}) AS auto, regexp_matches(t, {_quote(V.REVIEW)}) AS checked FROM w),
+    x AS (SELECT rtm_id, unnest(regexp_extract_all(t, {_quote(V.QUANTITY)}, 1))::DOUBLE AS n, lower(unnest(regexp_extract_all(t, {_quote(V.QUANTITY)}, 2))) AS u FROM g),
+    e AS (SELECT rtm_id, coalesce({_UNIT}[u], u) AS u, list_sort(list(DISTINCT n)) AS n FROM x GROUP BY ALL),
+    d AS (SELECT DISTINCT y.rtm_id AS a, z.rtm_id AS b FROM e y JOIN e z ON y.u = z.u AND y.rtm_id < z.rtm_id AND y.n <> z.n),
+    h AS (SELECT rtm_id, unnest(regexp_extract_all(lower(coalesce(statement, '')), '[a-z]{{3,}}')) AS w FROM g),
+    b AS (SELECT rtm_id, CAST(('0x' || substr(md5(w), 31, 2))::INT AS INT) AS b, count(*)::DOUBLE AS n FROM h GROUP BY ALL), m AS (SELECT rtm_id, sqrt(sum(n * n)) AS m FROM b GROUP BY 1),
+    s AS (SELECT y.rtm_id AS a, z.rtm_id AS b, round(sum(y.n * z.n) / (any_value(my.m) * any_value(mz.m)), 6) AS score FROM b y JOIN b z ON y.b = z.b AND y.rtm_id < z.rtm_id JOIN m my ON my.rtm_id = y.rtm_id JOIN m mz ON mz.rtm_id = z.rtm_id GROUP BY 1, 2),
+    j AS (SELECT s.a, s.b, score, d.a IS NOT NULL OR ga.negated <> gb.negated OR (ga.auto AND gb.checked) OR (gb.auto AND ga.checked) AS signalled, score >= 0.86 AS duplicate,
+                 len(ga.who) > 0 AND len(gb.who) > 0 AND len(list_intersect(ga.who, gb.who)) = 0 AS apart
+          FROM s JOIN g ga ON ga.rtm_id = s.a JOIN g gb ON gb.rtm_id = s.b LEFT JOIN d ON d.a = s.a AND d.b = s.b WHERE score >= 0.55),
+    k AS (SELECT * FROM j WHERE signalled OR duplicate OR apart)
+"""
 SQL = {
     "near_duplicate_first": f"WITH {_R}, {_DUP} SELECT rtm_id, other FROM d",
     "unknown_chunk_ids": f"WITH {_R} SELECT rtm_id, id FROM u",
@@ -339,6 +359,7 @@ SQL = {
         s AS (SELECT x.rtm_id AS a, y.rtm_id AS b, round(sum(x.n * y.n) / (any_value(mx.m) * any_value(my.m)), 6) AS score FROM b x JOIN b y ON x.b = y.b JOIN m mx ON mx.rtm_id = x.rtm_id JOIN m my ON my.rtm_id = y.rtm_id WHERE x.rtm_id % 20 = 0 GROUP BY 1, 2),
         r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS k FROM s) SELECT a, b, score FROM r WHERE k <= 11 AND score >= 0.55 AND a <> b
     """,
+    "conflict_pairs": _PAIRS + "SELECT * FROM k ORDER BY signalled DESC, duplicate DESC, score DESC, a, b LIMIT 24",
     "conflict_report": """
         SELECT conflict_id, similarity FROM (SELECT DISTINCT * FROM conflicts) ORDER BY coalesce(len(signals), 0) > 0 DESC, similarity >= 0.86 DESC NULLS LAST, similarity DESC NULLS LAST, conflict_id LIMIT 24
     """,
