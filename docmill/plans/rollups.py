@@ -201,8 +201,17 @@ def decision_fold(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def id_assignment(spark: SparkSession, folder: str) -> DataFrame:
-    """STA-2, AGG-10, WIN-1: new ids for orders, by priority, after the largest numbers taken."""
-    o = read_table(spark, folder, "orders").where("o_orderkey % 20 = 0").select("o_orderkey", F.when(F.col("o_totalprice") > 150000, "FR").otherwise("NFR").alias("kind"))
+    """STA-2, AGG-10, WIN-1: new ids for the orders whose key is divisible by 20, after the largest numbers taken; id_assignment_all has all orders."""
+    return _order_ids(spark, folder, "o_orderkey % 20 = 0")
+
+
+def id_assignment_all(spark: SparkSession, folder: str) -> DataFrame:
+    """STA-2, AGG-10, WIN-1: new ids for all orders, by kind and key, after the largest numbers taken."""
+    return _order_ids(spark, folder, "true")
+
+
+def _order_ids(spark: SparkSession, folder: str, which: str) -> DataFrame:
+    o = read_table(spark, folder, "orders").where(which).select("o_orderkey", F.when(F.col("o_totalprice") > 150000, "FR").otherwise("NFR").alias("kind"))
     return state.assign_ids(o, "kind", ["o_orderkey"], read_table(spark, folder, "rtm"), "req_id", "ERX").select("o_orderkey", "new_id")
 
 
@@ -289,7 +298,7 @@ QUERIES = {
     for f in (
         score_bands, worst_per_key, control_gaps, control_coverage, section_coverage, rolled_up_controls, rtm_links, traceability_pivot, open_issues, approval_fanout, routing, batches, label_scores,
         category_overlap, usability_scores, pair_recall, evidence_match, metrics_wide, value_counts, label_shares, modal_labels, label_flips, repeated_calls, event_cost, revenue, last_event,
-        findings_merge, decision_fold, id_assignment, versions, mcda_ranking, fired_rules, recommendations, factor_medians, contested_items, canonical_types, primary_per_kind, parsed_values, public_view,
+        findings_merge, decision_fold, id_assignment, id_assignment_all, versions, mcda_ranking, fired_rules, recommendations, factor_medians, contested_items, canonical_types, primary_per_kind, parsed_values, public_view,
     )
 }
 
@@ -410,6 +419,12 @@ SQL = {
         n AS (SELECT o_orderkey, o.kind, row_number() OVER (PARTITION BY o.kind ORDER BY o_orderkey) + coalesce(top, 0) AS i FROM o LEFT JOIN t USING (kind))
         SELECT o_orderkey, kind || '-ERX-' || CASE WHEN i < 1000 THEN lpad(i::VARCHAR, 3, '0') ELSE i::VARCHAR END AS new_id FROM n
     """,
+    "id_assignment_all": r"""
+        WITH o AS (SELECT o_orderkey, CASE WHEN o_totalprice > 150000 THEN 'FR' ELSE 'NFR' END AS kind FROM orders),
+        t AS (SELECT regexp_extract(req_id, '^([A-Z]+)-ERX-(\d+)$', 1) AS kind, max(try_cast(regexp_extract(req_id, '^([A-Z]+)-ERX-(\d+)$', 2) AS INT)) AS top FROM rtm GROUP BY 1),
+        n AS (SELECT o_orderkey, o.kind, row_number() OVER (PARTITION BY o.kind ORDER BY o_orderkey) + coalesce(top, 0) AS i FROM o LEFT JOIN t USING (kind))
+        SELECT o_orderkey, kind || '-ERX-' || CASE WHEN i < 1000 THEN lpad(i::VARCHAR, 3, '0') ELSE i::VARCHAR END AS new_id FROM n
+    """,
     "versions": """
         WITH e AS (SELECT user_id, CASE WHEN lag(event_type) OVER w IS NOT DISTINCT FROM event_type THEN 0 ELSE 1 END AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
         SELECT user_id, sum(c) AS n_changes, count(*) AS n_events FROM e GROUP BY 1

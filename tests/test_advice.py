@@ -3,7 +3,8 @@
 import pytest
 
 from docmill.operators import conflicts
-from docmill.plans import audits
+from docmill.plans import audits, rollups
+from docmill.session import read_table
 from tests.compare import assert_same, database
 
 
@@ -19,3 +20,9 @@ def test_candidate_pairs_has_no_cap_on_partners(spark):
     df = conflicts.candidate_pairs(spark.createDataFrame(rows, "k long, s string, c string, w array<string>"), "k", "s", "c", conflicts.F.col("w"), block=9)
     got = df.collect()
     assert len(got) == 40 * 39 // 2 and sum(r["signalled"] for r in got) == 20 * 20 and not any(r["apart"] for r in got)
+
+
+def test_every_order_gets_one_id(spark, data):
+    got = rollups.QUERIES["id_assignment_all"](spark, data).collect()
+    keys = [r["o_orderkey"] for r in read_table(spark, data, "orders").select("o_orderkey").collect()]
+    assert sorted(r["o_orderkey"] for r in got) == sorted(keys) and len({r["new_id"] for r in got}) == len(keys)
