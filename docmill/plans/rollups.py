@@ -68,11 +68,23 @@ RELATIONS = ["satisfies", "partially", "GAP"]
 
 
 def traceability_pivot(spark: SparkSession, folder: str) -> DataFrame:
-    """TRC-1, AGG-6: requirement by relation, D where it is mapped to a chunk and I where it is not."""
+    """AGG-6: requirement by three relations, D where it is mapped to a chunk and I where it is not; traceability_all has all relations."""
     c = _once(spark, folder, "compliance", "row_id").withColumn("relation", F.trim("relation"))
     return registers.pivot_marks(c, "req_id", "relation", RELATIONS, F.when(F.trim("evidence_chunk_id") != "", "D").otherwise("I"))
 
 
+def traceability_all(spark: SparkSession, folder: str) -> DataFrame:
+    """AGG-6: requirement by relation, D where it is mapped to a chunk and I where it is not; `other` has all further relations and none."""
+    return all_relations(_once(spark, folder, "compliance", "row_id"))
+
+
+def all_relations(rows: DataFrame) -> DataFrame:
+    known = [*RELATIONS, "supports"]
+    name = F.trim("relation")
+    c = rows.withColumn("relation", F.when(name.isin(known), name).otherwise("other"))
+    return registers.pivot_marks(c, "req_id", "relation", [*known, "other"], F.when(F.trim("evidence_chunk_id") != "", "D").otherwise("I"))
+
+
 def open_issues(spark: SparkSession, folder: str) -> DataFrame:
     """SET-1, SET-2: issues of several registers."""
     f = _once(spark, folder, "findings", "row_id").where("not resolved")
@@ -296,7 +308,7 @@ def public_view(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        score_bands, worst_per_key, control_gaps, control_coverage, section_coverage, rolled_up_controls, rtm_links, traceability_pivot, open_issues, approval_fanout, routing, batches, label_scores,
+        score_bands, worst_per_key, control_gaps, control_coverage, section_coverage, rolled_up_controls, rtm_links, traceability_pivot, traceability_all, open_issues, approval_fanout, routing, batches, label_scores,
         category_overlap, usability_scores, pair_recall, evidence_match, metrics_wide, value_counts, label_shares, modal_labels, label_flips, repeated_calls, event_cost, revenue, last_event,
         findings_merge, decision_fold, id_assignment, id_assignment_all, versions, mcda_ranking, fired_rules, recommendations, factor_medians, contested_items, canonical_types, primary_per_kind, parsed_values, public_view,
     )
@@ -341,6 +353,11 @@ SQL = {
         WITH c AS (SELECT DISTINCT req_id, trim(relation, ' ') AS relation, CASE WHEN trim(evidence_chunk_id, ' ') <> '' THEN 'D' ELSE 'I' END AS m FROM compliance)
         SELECT req_id, coalesce(min(m) FILTER (relation = 'satisfies'), '') AS satisfies, coalesce(min(m) FILTER (relation = 'partially'), '') AS partially, coalesce(min(m) FILTER (relation = 'GAP'), '') AS "GAP" FROM c GROUP BY 1
     """,
+    "traceability_all": """
+        WITH c AS (SELECT DISTINCT req_id, trim(relation, ' ') AS relation, CASE WHEN trim(evidence_chunk_id, ' ') <> '' THEN 'D' ELSE 'I' END AS m FROM compliance)
+        SELECT req_id, coalesce(min(m) FILTER (relation = 'satisfies'), '') AS satisfies, coalesce(min(m) FILTER (relation = 'partially'), '') AS partially, coalesce(min(m) FILTER (relation = 'GAP'), '') AS "GAP",
+            coalesce(min(m) FILTER (relation = 'supports'), '') AS supports, coalesce(min(m) FILTER (relation IS NULL OR relation NOT IN ('satisfies', 'partially', 'GAP', 'supports')), '') AS other FROM c GROUP BY 1
+    """,
     "open_issues": """
         SELECT 'finding' AS kind, row_id::VARCHAR AS ref, kind AS detail FROM (SELECT DISTINCT * FROM findings WHERE NOT resolved)
         UNION ALL SELECT 'conflict', conflict_id, relation FROM (SELECT DISTINCT * FROM conflicts WHERE lower(trim(status, ' ')) = 'open')

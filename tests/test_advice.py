@@ -26,3 +26,10 @@ def test_every_order_gets_one_id(spark, data):
     got = rollups.QUERIES["id_assignment_all"](spark, data).collect()
     keys = [r["o_orderkey"] for r in read_table(spark, data, "orders").select("o_orderkey").collect()]
     assert sorted(r["o_orderkey"] for r in got) == sorted(keys) and len({r["new_id"] for r in got}) == len(keys)
+
+
+def test_no_relation_is_lost(spark):
+    rows = [("a", "supports", "D01#S1#c01"), ("b", "replaces", None), ("c", None, "D01#S1#c01"), ("d", " GAP ", None)]
+    got = {r["req_id"]: r.asDict() for r in rollups.all_relations(spark.createDataFrame(rows, "req_id string, relation string, evidence_chunk_id string")).collect()}
+    assert [got["a"]["supports"], got["b"]["other"], got["c"]["other"], got["d"]["GAP"]] == ["D", "I", "D", "I"]
+    assert all(sum(v != "" for k, v in r.items() if k != "req_id") == 1 for r in got.values())
