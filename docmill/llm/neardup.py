@@ -10,6 +10,7 @@ reaches the target.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,6 +67,7 @@ class _Sets:
         self.start = tokens.offsets.to_numpy().astype(np.int64)
         self.flat = tokens.values.to_numpy().view(np.uint64)
         self.size = np.diff(self.start)
+        self.least = threshold * self.size
         self.chance = np.minimum(1.0, BRANCHING / threshold / np.maximum(self.size, 1))
 
     def split(self, owner: np.ndarray, node: np.ndarray, used: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +77,8 @@ class _Sets:
         at = np.arange(len(path)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.start[owner], size)
         token = self.flat[at]
         draw = (_mix(node[path] ^ _mix(token)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-        keep = draw < self.chance[owner][path]
+        left = np.maximum(self.least[owner] - len(used), 1.0)  # tokens that a similar set shares and the path hasn't used, at least
+        keep = draw < (self.chance[owner] if not used else np.minimum(1.0, BRANCHING / left))[path]
         for u in used:
             keep &= token != u[path]
         return path[keep], at[keep]
@@ -86,7 +89,11 @@ def _step(node: np.ndarray, token: np.ndarray) -> np.ndarray:
 
 
 def _paths(batches: Iterator[pa.RecordBatch], threshold: float, runs: range, known: np.ndarray, logs: np.ndarray, goal: float) -> Iterator[pa.RecordBatch]:
-    """The buckets of each set in each run: node and the batch's other columns. Sets are handled some at a time."""
+    """The buckets of each set in each run: node and the batch's other columns. Sets are handled some at a time.
+
+    A path that has used as many tokens as two similar sets may share has a bucket too, however large, as it may have no
+    further token in common with the other set; it also goes on, as the other set may be larger and have its bucket later.
+    """
     rare = np.log(RARE)
     for whole in batches:
         for first in range(0, whole.num_rows, 1000):
@@ -103,13 +110,14 @@ def _paths(batches: Iterator[pa.RecordBatch], threshold: float, runs: range, kno
                 owner = np.arange(batch.num_rows)
                 node = np.full(len(owner), _mix(np.array([run + 1], np.uint64))[0])
                 chance, used = np.zeros(len(owner)), []
-                for _ in range(DEPTH):
+                for depth in range(1, DEPTH + 1):
                     path, at = sets.split(owner, node, used)
                     owner, node, chance = owner[path], _step(node[path], sets.flat[at]), chance[path] + log[at]
                     used = [u[path] for u in used] + [sets.flat[at]]
                     done = chance <= goal
-                    rows.append(owner[done])
-                    nodes.append(node[done])
+                    spent = done | (depth >= threshold * sets.size[owner] - 1e-6) & (depth < DEPTH)
+                    rows.append(owner[spent])
+                    nodes.append(node[spent])
                     owner, node, chance, used = owner[~done], node[~done], chance[~done], [u[~done] for u in used]
                     if not len(owner):
                         break
@@ -227,8 +235,10 @@ def similar_classes(sets: DataFrame, threshold: float, recall: float = RECALL, r
         escape *= max(1 - seen / before, 1 / (before + 1)) if before else 1.0
         known = known.unionByName(fresh)
         before += new
-        if new == 0 or escape <= 1 - recall:
+        if (new == 0 and seen == before - new) or escape <= 1 - recall:
             break
+    else:
+        warnings.warn(f"near-duplicates: {rounds} rounds end at an estimated recall of {1 - escape:.6f}, below {recall}", stacklevel=2)
     return known
 
 
