@@ -208,7 +208,7 @@ def injection_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def quarantined(spark: SparkSession, folder: str) -> DataFrame:
-    """SEC-7, SEC-9."""
+    """SEC-7."""
     d = read_table(spark, folder, "documents").withColumn("cleaned", privacy.quarantined(F.col("text")))
     return d.select("doc_id", F.length("cleaned").alias("n_chars"), F.regexp_count("cleaned", F.lit(r"\[REMOVED: suspected")).alias("n_removed"))
 
