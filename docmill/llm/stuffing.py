@@ -1,9 +1,11 @@
 """Problem 8: pages of repeated keywords, links or tags instead of sentences.
 
-Method: every line (and every sentence of a long line) is reduced to a shape: how many words it has, how many of them
-are capitalised, which separators divide it, whether it holds links, tags or figures, and how many function words it
-has. Shapes are grouped by page; a page is flagged when the words of its non-sentence shapes are more than half of it
-and few of these shapes make up most of them.
+Method: every line (and every sentence of a long line) is reduced to a shape: grades of its number of words, of its
+share of short words, of the words between its separators, its links, tags, figures and capitals, its end mark, and
+whether it repeats phrases of the page. No word list takes part, only lengths and marks, so all languages are treated
+alike. A shape alone says whether it may be a sentence; brief lines and rows of a table are told from others by how many
+of them follow each other. Shapes are grouped by page, and a page is flagged when a few non-sentence shapes hold more
+than half of its words.
 """
 
 from __future__ import annotations
@@ -11,104 +13,176 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Frequent function words of English, German, French and Spanish. Prose of these languages holds 25-60 %
-#: of them; lists of keywords hold next to none.
-FUNCTION_WORDS = frozenset(
-    """
-    a an the this that these those each every any some no not and or but nor so if then than as because since when while
-    until unless whether whatever whenever after before once with without within from to of by on up out over under between
-    through during against is are was were be been being has have had do does did can could may might must shall should
-    will would it its he she they them their we our us you your i me my who whom which what where how why there here
-    only also both one other such just very more most less least all up
-    der die das ein eine einen einem einer und oder aber nicht ist sind war wird werden hat haben muss kann soll zu von mit
-    auf fur für bei nach aus wenn dass den dem des im am sie er es wir ihr sich auch als wie nur noch bis ob
-    le la les un une des du de et ou mais ne pas est sont doit peut avec pour par sur dans que qui quand si il elle ils
-    nous vous se ce cette ces au aux avant sans plus été être
-    el los las una unos y o pero no es son debe puede con para por en que quien cuando si lo su sus del al antes sin más
-    """.split()
-)
-#: Words that join keywords to places in stuffed lists; neither function words nor part of a keyword.
-JOINERS = frozenset("at in near for around".split())
-PLAIN = FUNCTION_WORDS | JOINERS
-#: Marks that may touch a word or join it to the next.
-MARKS = ".,;:!?()[]\"'|/>*-_·•–—’“”"
+#: Marks that may touch a word or join it to the next, each read as a space.
+MARKS = str.maketrans({m: " " for m in ".,;:!?()[]{}\"'|/<>*_·•–—’“”«»„#=-、，；。？！।؟،"})
+#: Ends of sentences and lines, each turned into a line feed; plain replacements are much faster than a pattern.
+ENDS = tuple((e, e.rstrip() + "\n") for e in (". ", "? ", "! ", '." ', ".) ", "\r", "。", "？", "！", "।", "؟ "))
+STOPS = tuple(".!?。！？।؟…:")
 LINK = re.compile(r"(?:https?://|www\.|href=|mailto:)|\]\(\S+\)", re.I)
 TAG = re.compile(r"#\w")
-#: Ends of sentences and lines, each turned into a line feed; plain replacements are much faster than a pattern.
-ENDS = tuple((e, e.rstrip() + "\n") for e in (". ", "? ", "! ", '." ', ".) ", "\r"))
-SEPARATORS = re.compile(r"[,;|/·•>–—*\t]|(?<=\s)-(?=\s)")
-LETTERS = re.compile(r"[^\W\d_]+")
-#: A phrase of content words counts as a keyword when it stands in a page at least so often ...
-REPEATS = 4
-#: ... and a unit is stuffed when such phrases hold at least this share of its words.
-STUFFED = 0.4
-#: Shares of function words below which a unit with separators, and one without any, is no sentence.
-LISTED, BARE = 0.12, 0.06
-#: Brief lines without any function word or full stop are a list when so many of them, or of other fillers, follow each other.
-RUN = 6
-#: A page is dominated when so many of its non-sentence shapes hold DOMINANT of its non-sentence words.
-FEW, DOMINANT = 8, 0.5
+SEPARATORS = re.compile(r"[,;|/·•>–—*\t、，；،]|(?<=\s)-(?=\s)")
+#: Eight letters in a row of scripts that put no space between words: Thai, Lao, Burmese, Khmer, Kana and Han.
+UNSPACED = re.compile("[฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿]{8}")
+FIGURES = re.compile("[0-9]+")
+FIGURE = frozenset("0123456789{}[]<>=\"'`$(")
+#: Letters of a short word. Prose of every spaced script holds many (articles, particles, pronouns), lists of keywords few.
+SHORT = 3
+#: Shares of short words from which a unit may be a sentence whatever its separators, and whatever its links.
+PROSE, LINKED = 0.12, 0.2
+#: A phrase of two long words is a keyword when it stands in a page so often, and a unit is keyed from this share of its words.
+REPEATS, KEYED = 4, 0.4
+#: Words of a brief line; brief lines and rows are lists when so many list-like lines follow each other.
+BRIEF, RUN = 5, 6
+#: A page is flagged when its FEW largest non-sentence shapes hold more than half of its words.
+FEW = 8
+
 
+class Shape(NamedTuple):
+    """Grades of a unit: words, short words, words between separators, links, tags, figures, capitals, marks."""
 
-def _bucket(n: int) -> str:
-    return "1" if n == 1 else "2-4" if n < 5 else "5-12" if n < 13 else "13-40" if n < 41 else "41+"
+    words: str
+    short: str
+    parts: str
+    links: str
+    tags: str
+    figures: str
+    capitals: str
+    marks: str
+
+    def __str__(self) -> str:
+        return "-".join(self)
+
+
+def _grade(value: float, steps: tuple[float, ...]) -> str:
+    return str(sum(value >= s for s in steps))
 
 
 def _units(text: str) -> tuple[list[str], list[list[str]]]:
     """Units of a text, and their words in lower case without marks."""
     for end, to in ENDS:
-        text = text.replace(end, to)
-    low = text.lower()
-    for mark in MARKS:
-        low = low.replace(mark, " ")
+        if end in text:
+            text = text.replace(end, to)
+    low = text.lower().translate(MARKS)
     units, lows = text.split("\n"), low.split("\n")
     keep = [k for k, u in enumerate(units) if u and not u.isspace()]
     return [units[k] for k in keep], [lows[k].split() for k in keep]
 
 
-def _kind(unit: str, n: int, content: list[str], function: float, stuffed: float) -> str:
-    """Kind of a unit of n words that holds a link, a tag, a keyword or few function words."""
-    links = len(LINK.findall(unit)) if "://" in unit or "www." in unit or "](" in unit or "href=" in unit else 0
-    if links and (links / n >= 0.5 or function < 0.2):
-        return "links"
-    if "#" in unit and len(TAG.findall(unit)) / n >= 0.5:
-        return "tags"
+def _phrases(units: list[str], words: list[list[str]]) -> Counter:
+    """The recurring pairs of neighbouring words of a page. A sentence that recurs, but for its figures, counts once.
+
+    A pair with a word of three letters counts only if a unit with separators holds it twice, as "red shoes online, red
+    shoes cheap" does: otherwise it may be an article or a conjunction and what follows it.
+    """
+    said: set[str] = set()
+    lines = []
+    for unit, line in zip(units, words):
+        if unit.rstrip().endswith(STOPS):
+            bare = FIGURES.sub("", unit)
+            if bare in said:
+                continue
+            said.add(bare)
+        lines.append((unit, line))
+    counts = Counter(w for _, line in lines for w in line)
+    often = {w for w, c in counts.items() if c >= REPEATS and len(w) >= SHORT and not w.isdigit()}
+    pairs: Counter = Counter()
+    twice: set[tuple[str, str]] = set()
+    if len(often) > 1:
+        for unit, line in lines:
+            if sum(map(often.__contains__, line)) > 1:
+                found = [p for p in zip(line, line[1:]) if p[0] in often and p[1] in often]
+                pairs.update(found)
+                if len(found) > 1 and (unit.endswith(STOPS) or SEPARATORS.search(unit)):
+                    twice.update(p for p, n in Counter(found).items() if n > 1)
+    return Counter({p: n for p, n in pairs.items() if n >= REPEATS and (min(map(len, p)) > SHORT or p in twice)})
+
+
+def _covered(words: list[str], pairs: Counter) -> tuple[float, Counter]:
+    """Share of the words that stand in recurring pairs, and how often each such pair stands there."""
+    hit, within = [0] * len(words), Counter()
+    for k, pair in enumerate(zip(words, words[1:])):
+        if pairs.get(pair, 0) >= REPEATS:
+            hit[k] = hit[k + 1] = 1
+            within[pair] += 1
+    return sum(hit) / (len(hit) or 1), within
+
+
+def _shape(unit: str, words: list[str], pairs: Counter, brief_pairs: Counter) -> tuple[Shape, int]:
+    """Shape of a unit, and its number of words (runs of characters other than white space)."""
+    tokens = unit.split()
+    n = len(tokens)
+    named = [w for w in words if not w.isdigit()]
+    short = sum(len(w) <= SHORT for w in named) / (len(named) or 1)
+    links = len(LINK.findall(unit)) / n if "://" in unit or "www." in unit or "](" in unit or "href=" in unit else 0.0
     seps = len(SEPARATORS.findall(unit))
-    if unit.count(" > ") >= max(1, n // 8) and function < LISTED:
+    figures = sum(t[0] in FIGURE for t in tokens) / n
+    stop = unit.rstrip().endswith(STOPS)
+    keyed = 0.0
+    if pairs:
+        keyed, within = _covered(words, pairs)
+        # a sentence that names each phrase but once, among other words, is prose about it
+        if n > BRIEF and short >= PROSE and keyed < 0.6 and within and max(within.values()) < 2 and sum(within.values()) < 4:
+            keyed = 0.0
+    shared = _covered(words, brief_pairs)[0] if brief_pairs and n <= BRIEF and not stop else 0.0
+    marks = "".join(
+        mark
+        for mark, holds in (
+            ("a", unit.count(" > ") >= max(1, n // 8)),
+            ("e", stop),
+            ("k", keyed >= KEYED),
+            ("b", shared >= KEYED),
+            ("n", not named),
+            ("u", UNSPACED.search(unit) is not None),
+        )
+        if holds
+    )
+    per = n / (seps + 1)
+    return Shape(
+        _grade(n, (2, 4, BRIEF + 1, 8, 13, 41)),
+        _grade(short, (1e-9, PROSE, LINKED)),
+        "0" if not seps else "1" if seps < 2 else _grade(per, (0, 0, 4.001, 5.001)),
+        _grade(links, (1e-9, 0.25)),
+        _grade(_tags(unit) / n, (1e-9, 0.5)),
+        _grade(figures, (1e-9, 0.3)),
+        "A" if unit.isupper() else "T" if unit.istitle() else "a",
+        marks,
+    ), n
+
+
+def _tags(unit: str) -> int:
+    return len(TAG.findall(unit)) if "#" in unit else 0
+
+
+def shape_kind(s: Shape) -> str:
+    """What a unit of this shape is: links, tags, keywords, data or sentence; brief and row depend on the lines around it."""
+    listed = s.parts in "23" and s.words >= "2"  # at least two separators, at most five words between them
+    if s.links == "2" or (s.links == "1" and s.short < "3") or ("a" in s.marks and s.short < "2"):
         return "links"
-    if stuffed >= STUFFED and (n > 3 or seps):
-        return "keywords"
-    if function >= LISTED:
+    if s.tags == "2":
+        return "tags"
+    if "u" in s.marks:
         return "sentence"
-    if not LETTERS.search(unit):
-        return "data"
-    figures = sum(x[0] in "0123456789{}[]<>=\"'`$(" for x in unit.split()) / n
-    if figures >= 0.3 and not (seps and n / (seps + 1) <= 4):
-        return "data"
-    if seps >= 2 and n / (seps + 1) <= 5 and n >= 4:
-        return "tags" if any(c.isdigit() for c in unit) else "keywords"
-    if (n >= 8 and function < BARE) or (stuffed > 0 and n <= 6):
+    if "k" in s.marks and (s.words >= "2" or s.parts != "0"):
         return "keywords"
-    return "sentence"
+    if s.words <= "2" and "e" not in s.marks and "n" not in s.marks and s.figures < "2" and (s.short == "0" or "b" in s.marks):
+        return "brief"
+    if s.short >= "2":
+        return "row" if listed and s.parts == "2" and "e" not in s.marks and s.figures < "2" else "sentence"
+    if "n" in s.marks or (s.figures == "2" and s.parts not in "12"):
+        return "data"
+    if listed:
+        return "tags" if s.figures > "0" else "keywords"
+    return "keywords" if s.words >= "5" and "e" not in s.marks else "sentence"
 
 
-def _stuffed(content: list[str], recurring: set[str], pairs: Counter, function: float) -> float:
-    """Share of the words that belong to recurring pairs; none for a sentence that names each of them but once."""
-    hit, within = [0] * len(content), Counter()
-    for k, pair in enumerate(zip(content, content[1:])):
-        if pair[0] in recurring and pair[1] in recurring and pairs[pair] >= REPEATS:
-            hit[k] = hit[k + 1] = 1
-            within[pair] += 1
-    share = sum(hit) / (len(hit) or 1)
-    if function >= LISTED and share < 0.6 and within and max(within.values()) < 2 and sum(within.values()) < 4:
-        return 0.0
-    return share
+#: What brief lines and rows are when RUN list-like lines follow each other.
+IN_LIST = {"brief": "keywords", "row": "tags"}
 
 
 def page_shapes(text: str | None) -> dict[tuple[str, str], list[int]]:
@@ -116,39 +190,31 @@ def page_shapes(text: str | None) -> dict[tuple[str, str], list[int]]:
 
     A word is a run of characters other than white space. Null, empty and blank texts have no shapes.
     """
-    units, contents = _units(text or "")
-    counts = Counter(chain.from_iterable(contents))
-    recurring = {w for w, k in counts.items() if k >= REPEATS and w not in PLAIN and w.isalpha()}
-    pairs: Counter = Counter()
-    if len(recurring) > 1:
-        for c in contents:
-            if sum(map(recurring.__contains__, c)) > 1:
-                pairs.update(p for p in zip(c, c[1:]) if p[0] in recurring and p[1] in recurring)
-    keyed = any(k >= REPEATS for k in pairs.values())
-    lines: list[tuple[str, str, int, bool]] = []
-    for unit, content in zip(units, contents):
-        n = len(unit.split())
-        function = sum(map(FUNCTION_WORDS.__contains__, content)) / (len(content) or 1)
-        stuffed = _stuffed(content, recurring, pairs, function) if keyed and sum(map(recurring.__contains__, content)) > 1 else 0.0
-        plain = function >= 0.2 and not stuffed and "#" not in unit and "://" not in unit and "www." not in unit
-        kind = "sentence" if plain else _kind(unit, n, content, function, stuffed)
-        brief = n <= 5 and kind in ("sentence", "data") and function == 0 and unit.rstrip()[-1] not in ".!?:" and LETTERS.search(unit) is not None
-        seps = unit.count(",") + unit.count(";") + unit.count("|") + unit.count("/") + unit.count(" - ") + unit.count(" > ")
-        capitals = "A" if unit.isupper() else "T" if unit.istitle() else "a"
-        marks = "s" * min(3, seps * 3 // n + (seps > 0)) + "l" * ("://" in unit) + "t" * ("#" in unit) + "k" * (stuffed >= STUFFED)
-        lines.append((kind, f"{_bucket(n)}-{capitals}-{marks}", n, brief))
-    run: list[int] = []
-    listed: set[int] = set()
-    for k, (kind, _, _, brief) in enumerate([*lines, ("sentence", "", 0, False)]):
-        if brief or kind not in ("sentence", "data"):
+    units, words = _units(text or "")
+    pairs = _phrases(units, words)
+    brief_pairs: Counter = Counter()
+    brief = [w for u, w in zip(units, words) if len(w) <= BRIEF and not u.rstrip().endswith(STOPS)]
+    if len(brief) >= RUN:
+        for line in brief:
+            brief_pairs.update(zip(line, line[1:]))
+    known: dict[str, tuple[Shape, int, str]] = {}
+    lines = []
+    for unit, line in zip(units, words):
+        if unit not in known:
+            shape, n = _shape(unit, line, pairs, brief_pairs)
+            known[unit] = shape, n, shape_kind(shape)
+        lines.append(known[unit])
+    kinds, run = [kind for _, _, kind in lines], []
+    for k, kind in enumerate([*kinds, "sentence"]):
+        if kind != "sentence":
             run.append(k)
-        else:
-            if len(run) >= RUN:
-                listed.update(run)
-            run = []
+            continue
+        for j in run:
+            kinds[j] = IN_LIST.get(kinds[j], kinds[j]) if len(run) >= RUN else kinds[j]
+        run = []
     found: dict[tuple[str, str], list[int]] = {}
-    for k, (kind, shape, n, brief) in enumerate(lines):
-        entry = found.setdefault(("keywords" if brief and k in listed else kind, shape), [0, 0])
+    for kind, (shape, n, _) in zip(kinds, lines):
+        entry = found.setdefault(("sentence" if kind in IN_LIST else kind, str(shape)), [0, 0])
         entry[0] += 1
         entry[1] += n
     return found
@@ -200,10 +266,10 @@ def line_shapes(df: DataFrame, key: str, text: str) -> DataFrame:
 def page_fillers(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, n_words, keyword_words, link_words, tag_words, dominant_words and stuffed of every row of df.
 
-    dominant_words are those of the FEW largest non-sentence shapes. Texts without words have zeros and aren't
-    stuffed. A narrow pass: no shuffle; each row is handled by itself, so repeats and skewed sources don't matter.
+    dominant_words are those of the FEW largest non-sentence shapes; a page is stuffed when they are more than half of
+    its words. Texts without words have zeros and aren't stuffed. A narrow pass: no shuffle; each row is handled by
+    itself, so repeats and skewed sources don't matter.
     """
     rows, kind = _rows(df, key, text)
-    filler: Column = F.col("keyword_words") + F.col("link_words") + F.col("tag_words")
     pages = rows.mapInArrow(_by_page, f"_key {kind}, n_words int, keyword_words int, link_words int, tag_words int, dominant_words int")
-    return pages.withColumn("stuffed", (filler * 2 > F.col("n_words")) & (F.col("dominant_words") >= filler * DOMINANT)).withColumnRenamed("_key", key)
+    return pages.withColumn("stuffed", F.col("dominant_words") * 2 > F.col("n_words")).withColumnRenamed("_key", key)

@@ -1,7 +1,10 @@
+import textwrap
+
 import pytest
 from pyspark.sql import functions as F
 
 from docmill.llm.stuffing import line_shapes, page_fillers, page_shapes
+from tests.llm.prose import PROSE as LANGUAGES
 
 PROSE = "We still check the records by hand, and the nurse signs off the list at the end of each shift. If it is late, the clerk must tell the ward. " * 6
 STUFFED = {
@@ -40,6 +43,15 @@ def test_writing_is_no_filler(text):
     assert share(text) < 0.5
 
 
+@pytest.mark.parametrize("language", sorted(LANGUAGES))
+def test_prose_of_any_language_is_no_filler(language):
+    text = LANGUAGES[language]
+    bare = text.replace(". ", "\n").replace("。", "\n").replace("।", "\n").rstrip(".")
+    for layout in (text, (text + " ") * 20, "\n".join(textwrap.wrap(text, 60)), "\n".join(textwrap.wrap(text, 35)), bare, text.upper()):
+        assert share(layout) < 0.3
+    assert share(text + "\n" + "красные ботинки, zapatos rojos, 红鞋, " * 60) > 0.5
+
+
 def test_operator_defined_cases(spark):
     rows = [(1, STUFFED["tags"]), (1, STUFFED["tags"]), (2, PROSE), (3, None), (4, ""), (5, " \n "), (6, STUFFED["list"] * 500), (None, STUFFED["tags"])]
     df = spark.createDataFrame(rows, "id long, text string").withColumn("n_words", F.lit(1)).withColumn("_key", F.lit(1))
