@@ -11,8 +11,10 @@ than half of its words.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -20,17 +22,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Marks that may touch a word or join it to the next, each read as a space.
-MARKS = str.maketrans({m: " " for m in ".,;:!?()[]{}\"'|/<>*_·•–—’“”«»„#=-、，；。？！।؟،"})
+MARKS, FURTHER_MARKS = ".,;:!?()[]{}\"'|/<>*_#=-", "·•–—’“”«»„、，；。？！।؟،"
 #: Ends of sentences and lines, each turned into a line feed; plain replacements are much faster than a pattern.
-ENDS = tuple((e, e.rstrip() + "\n") for e in (". ", "? ", "! ", '." ', ".) ", "\r", "。", "？", "！", "।", "؟ "))
+ENDS, FURTHER_ENDS = (tuple((e, e.rstrip() + "\n") for e in ends) for ends in ((". ", "? ", "! ", '." ', ".) ", "\r"), ("。", "？", "！", "।", "؟ ")))
 STOPS = tuple(".!?。！？।؟…:")
 LINK = re.compile(r"(?:https?://|www\.|href=|mailto:)|\]\(\S+\)", re.I)
 TAG = re.compile(r"#\w")
-SEPARATORS = re.compile(r"[,;|/·•>–—*\t、，；،]|(?<=\s)-(?=\s)")
+SEPARATORS = re.compile(r"[,;|/·•>–—*\t、，；،]")
 #: Eight letters in a row of scripts that put no space between words: Thai, Lao, Burmese, Khmer, Kana and Han.
 UNSPACED = re.compile("[฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿]{8}")
 FIGURES = re.compile("[0-9]+")
-FIGURE = frozenset("0123456789{}[]<>=\"'`$(")
+FIGURE = re.compile("(?:^|(?<=\\s))[0-9{}\\[\\]<>=\"'`$(]")
 #: Letters of a short word. Prose of every spaced script holds many (articles, particles, pronouns), lists of keywords few.
 SHORT = 3
 #: Shares of short words from which a unit may be a sentence whatever its separators, and whatever its links.
@@ -60,21 +62,23 @@ class Shape(NamedTuple):
 
 
 def _grade(value: float, steps: tuple[float, ...]) -> str:
-    return str(sum(value >= s for s in steps))
+    return "0123456"[bisect_right(steps, value)]
 
 
 def _units(text: str) -> tuple[list[str], list[list[str]]]:
     """Units of a text, and their words in lower case without marks."""
-    for end, to in ENDS:
-        if end in text:
-            text = text.replace(end, to)
-    low = text.lower().translate(MARKS)
+    ends, marks = (ENDS, MARKS) if text.isascii() else (ENDS + FURTHER_ENDS, MARKS + FURTHER_MARKS)
+    for end, to in ends:
+        text = text.replace(end, to)
+    low = text.lower()
+    for mark in marks:
+        low = low.replace(mark, " ")
     units, lows = text.split("\n"), low.split("\n")
     keep = [k for k, u in enumerate(units) if u and not u.isspace()]
     return [units[k] for k in keep], [lows[k].split() for k in keep]
 
 
-def _phrases(units: list[str], words: list[list[str]]) -> Counter:
+def _phrases(units: list[str], words: list[list[str]], stops: list[bool]) -> Counter:
     """The recurring pairs of neighbouring words of a page. A sentence that recurs, but for its figures, counts once.
 
     A pair with a word of three letters counts only if a unit with separators holds it twice, as "red shoes online, red
@@ -82,14 +86,14 @@ def _phrases(units: list[str], words: list[list[str]]) -> Counter:
     """
     said: set[str] = set()
     lines = []
-    for unit, line in zip(units, words):
-        if unit.rstrip().endswith(STOPS):
+    for unit, line, stop in zip(units, words, stops):
+        if stop:
             bare = FIGURES.sub("", unit)
             if bare in said:
                 continue
             said.add(bare)
         lines.append((unit, line))
-    counts = Counter(w for _, line in lines for w in line)
+    counts = Counter(chain.from_iterable(line for _, line in lines))
     often = {w for w, c in counts.items() if c >= REPEATS and len(w) >= SHORT and not w.isdigit()}
     pairs: Counter = Counter()
     twice: set[tuple[str, str]] = set()
@@ -98,31 +102,32 @@ def _phrases(units: list[str], words: list[list[str]]) -> Counter:
             if sum(map(often.__contains__, line)) > 1:
                 found = [p for p in zip(line, line[1:]) if p[0] in often and p[1] in often]
                 pairs.update(found)
-                if len(found) > 1 and (unit.endswith(STOPS) or SEPARATORS.search(unit)):
+                if len(found) > 1 and (unit.rstrip().endswith(STOPS) or SEPARATORS.search(unit)):
                     twice.update(p for p, n in Counter(found).items() if n > 1)
     return Counter({p: n for p, n in pairs.items() if n >= REPEATS and (min(map(len, p)) > SHORT or p in twice)})
 
 
 def _covered(words: list[str], pairs: Counter) -> tuple[float, Counter]:
     """Share of the words that stand in recurring pairs, and how often each such pair stands there."""
-    hit, within = [0] * len(words), Counter()
-    for k, pair in enumerate(zip(words, words[1:])):
-        if pairs.get(pair, 0) >= REPEATS:
-            hit[k] = hit[k + 1] = 1
-            within[pair] += 1
+    found = [(k, pair) for k, pair in enumerate(zip(words, words[1:])) if pairs.get(pair, 0) >= REPEATS]
+    if not found:
+        return 0.0, Counter()
+    hit, within = [0] * len(words), Counter(pair for _, pair in found)
+    for k, _ in found:
+        hit[k] = hit[k + 1] = 1
     return sum(hit) / (len(hit) or 1), within
 
 
-def _shape(unit: str, words: list[str], pairs: Counter, brief_pairs: Counter) -> tuple[Shape, int]:
+def _shape(unit: str, words: list[str], stop: bool, pairs: Counter, brief_pairs: Counter) -> tuple[Shape, int]:
     """Shape of a unit, and its number of words (runs of characters other than white space)."""
-    tokens = unit.split()
-    n = len(tokens)
-    named = [w for w in words if not w.isdigit()]
-    short = sum(len(w) <= SHORT for w in named) / (len(named) or 1)
+    n = len(unit.split())
+    digits = FIGURES.search(unit) is not None
+    named = [w for w in words if not w.isdigit()] if digits else words
+    sizes = list(map(len, named))
+    short = sum(map(SHORT.__ge__, sizes)) / (len(sizes) or 1)
     links = len(LINK.findall(unit)) / n if "://" in unit or "www." in unit or "](" in unit or "href=" in unit else 0.0
-    seps = len(SEPARATORS.findall(unit))
-    figures = sum(t[0] in FIGURE for t in tokens) / n
-    stop = unit.rstrip().endswith(STOPS)
+    seps = len(SEPARATORS.findall(unit)) + unit.count(" - ")
+    figures = len(FIGURE.findall(unit)) / n
     keyed = 0.0
     if pairs:
         keyed, within = _covered(words, pairs)
@@ -130,23 +135,21 @@ def _shape(unit: str, words: list[str], pairs: Counter, brief_pairs: Counter) ->
         if n > BRIEF and short >= PROSE and keyed < 0.6 and within and max(within.values()) < 2 and sum(within.values()) < 4:
             keyed = 0.0
     shared = _covered(words, brief_pairs)[0] if brief_pairs and n <= BRIEF and not stop else 0.0
-    marks = "".join(
-        mark
-        for mark, holds in (
-            ("a", unit.count(" > ") >= max(1, n // 8)),
-            ("e", stop),
-            ("k", keyed >= KEYED),
-            ("b", shared >= KEYED),
-            ("n", not named),
-            ("u", UNSPACED.search(unit) is not None),
-        )
-        if holds
+    marks = (
+        ("a" if " > " in unit and unit.count(" > ") >= max(1, n // 8) else "")
+        + ("e" if stop else "")
+        + ("k" if keyed >= KEYED else "")
+        + ("b" if shared >= KEYED else "")
+        + ("t" if sizes and min(sizes) < SHORT else "")
+        + ("r" if n > BRIEF and not stop and _repeated(named) >= 0.5 else "")
+        + ("" if named else "n")
+        + ("" if unit.isascii() or UNSPACED.search(unit) is None else "u")
     )
     per = n / (seps + 1)
     return Shape(
         _grade(n, (2, 4, BRIEF + 1, 8, 13, 41)),
         _grade(short, (1e-9, PROSE, LINKED)),
-        "0" if not seps else "1" if seps < 2 else _grade(per, (0, 0, 4.001, 5.001)),
+        str(seps) if seps < 2 else "2" if per <= 4 else "3" if per <= 5 else "4",
         _grade(links, (1e-9, 0.25)),
         _grade(_tags(unit) / n, (1e-9, 0.5)),
         _grade(figures, (1e-9, 0.3)),
@@ -155,6 +158,12 @@ def _shape(unit: str, words: list[str], pairs: Counter, brief_pairs: Counter) ->
     ), n
 
 
+def _repeated(words: list[str]) -> float:
+    """Share of the words that stand in a unit more than once."""
+    counts = Counter(words)
+    return sum(n for n in counts.values() if n > 1) / (len(words) or 1)
+
+
 def _tags(unit: str) -> int:
     return len(TAG.findall(unit)) if "#" in unit else 0
 
@@ -170,15 +179,16 @@ def shape_kind(s: Shape) -> str:
         return "sentence"
     if "k" in s.marks and (s.words >= "2" or s.parts != "0"):
         return "keywords"
-    if s.words <= "2" and "e" not in s.marks and "n" not in s.marks and s.figures < "2" and (s.short == "0" or "b" in s.marks):
+    if s.words <= "2" and "e" not in s.marks and "n" not in s.marks and s.figures < "2" and ("t" not in s.marks or "b" in s.marks):
         return "brief"
-    if s.short >= "2":
+    if s.short >= "2" and not (listed and s.words >= "5" and s.short == "2" and "e" not in s.marks):
         return "row" if listed and s.parts == "2" and "e" not in s.marks and s.figures < "2" else "sentence"
     if "n" in s.marks or (s.figures == "2" and s.parts not in "12"):
         return "data"
     if listed:
         return "tags" if s.figures > "0" else "keywords"
-    return "keywords" if s.words >= "5" and "e" not in s.marks else "sentence"
+    bare = "e" not in s.marks and (s.words >= "5" and "r" in s.marks or s.words == "6" and s.short == "0")
+    return "keywords" if bare else "sentence"
 
 
 #: What brief lines and rows are when RUN list-like lines follow each other.
@@ -191,17 +201,18 @@ def page_shapes(text: str | None) -> dict[tuple[str, str], list[int]]:
     A word is a run of characters other than white space. Null, empty and blank texts have no shapes.
     """
     units, words = _units(text or "")
-    pairs = _phrases(units, words)
+    stops = [u.rstrip().endswith(STOPS) for u in units]
+    pairs = _phrases(units, words, stops)
     brief_pairs: Counter = Counter()
-    brief = [w for u, w in zip(units, words) if len(w) <= BRIEF and not u.rstrip().endswith(STOPS)]
+    brief = [w for w, stop in zip(words, stops) if len(w) <= BRIEF and not stop]
     if len(brief) >= RUN:
         for line in brief:
             brief_pairs.update(zip(line, line[1:]))
     known: dict[str, tuple[Shape, int, str]] = {}
     lines = []
-    for unit, line in zip(units, words):
+    for unit, line, stop in zip(units, words, stops):
         if unit not in known:
-            shape, n = _shape(unit, line, pairs, brief_pairs)
+            shape, n = _shape(unit, line, stop, pairs, brief_pairs)
             known[unit] = shape, n, shape_kind(shape)
         lines.append(known[unit])
     kinds, run = [kind for _, _, kind in lines], []
