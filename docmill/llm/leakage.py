@@ -2,15 +2,16 @@
 
 Method: latent semantic retrieval. Passages of both sides become TF-IDF vectors over hashed words; a randomised SVD,
 whose sketch is summed over all passages of the corpus, gives a small basis; passages near to a passage of an item by
-cosine are candidates; the longest common subsequence of words decides.
+cosine are candidates; the longest common subsequence of words, by alignment in one or two parts, and a check that the
+item's own rare words are among those repeated, decide.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,8 +28,12 @@ BUCKETS, SKETCH, DIMENSIONS = 8192, 128, 96
 BLOCK = 12
 #: Cosine from which a pair of passages is a candidate; share of an item's words that must be repeated.
 NEAR, SHARE = 0.62, 0.5
-#: Words that may differ between two runs of equal words in one part.
-GAP = 3
+#: Share of an item's rarer half of words that must stand in the parts: templates filled with other words are no case.
+ANSWERED = 0.3
+#: Cells of an alignment held at once, and words of an item at most, so that an alignment fits a task.
+CELLS, MOST_WORDS = 1_000_000, 4_000
+#: Buckets whose sums travel together; each block is summed in a task of its own.
+TOGETHER = 256
 #: Items are searched in blocks of so many; more items than this are refused, as they are held on the driver.
 ITEM_BLOCK, MOST_ITEMS = 4000, 200_000
 WORD = re.compile(r"[^\W_]+")
@@ -111,9 +116,7 @@ def _sum_into(target: np.ndarray, index: np.ndarray, values: np.ndarray, owner:
     target[index[starts]] += np.add.reduceat(values[owner], starts, axis=0)
 
 
-def _sketch_of(batches: Iterator[pa.RecordBatch], idf: np.ndarray, seed: int, meet: int) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
-
+def _sketch_of(batches: Iterator[pa.RecordBatch], idf: np.ndarray, seed: int) -> Iterator[pa.RecordBatch]:
     weighted = np.zeros((BUCKETS + 1, SKETCH), np.float32)
     weighted[:BUCKETS] = _random(seed) * idf[:, None]
     total, idf0 = np.zeros((BUCKETS + 1, SKETCH), np.float32), np.append(idf, 0).astype(np.float32)
@@ -124,18 +127,18 @@ def _sketch_of(batches: Iterator[pa.RecordBatch], idf: np.ndarray, seed: int, me
             norm = 1 / np.maximum((idf0[rows] ** 2).sum(axis=1), 1e-9)
             projected = weighted[rows].sum(axis=1) * norm[:, None]
             _sum_into(total, rows.ravel(), projected, np.repeat(np.arange(len(rows)), rows.shape[1]))
-    total = total[:BUCKETS] * idf[:, None]
-    yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % meet], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["part", "total"])
+    total = (total[:BUCKETS] * idf[:, None]).astype(np.float32).reshape(-1, TOGETHER * SKETCH)
+    there = np.flatnonzero(total.any(axis=1))
+    yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array([total[k].tobytes() for k in there], pa.binary())], names=["part", "total"])
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, part = None, 0
+    sums: dict[int, np.ndarray] = {}
     for batch in batches:
-        for x in batch.column(1):
+        for part, x in zip(batch.column(0).to_pylist(), batch.column(1)):
             one = np.frombuffer(x.as_buffer(), np.float32)
-            total = one.copy() if total is None else total + one
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "total"])
+            sums[part] = sums[part] + one if part in sums else one.copy()
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "total"])
 
 
 def _random(seed: int) -> np.ndarray:
@@ -157,9 +160,10 @@ def _basis(sketch: np.ndarray, seed: int) -> np.ndarray:
 
 @dataclass
 class Space:
-    """The latent space of a corpus: weighted basis, with a row of zeros for the empty bucket."""
+    """The latent space of a corpus: weighted basis, with a row of zeros for the empty bucket, and inverse frequencies."""
 
     weights: np.ndarray
+    idf: np.ndarray
 
     def passages(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Unit vectors of the passages of texts, and each passage's text."""
@@ -179,24 +183,15 @@ class Space:
 
 
 class Item:
-    """An item's words and where each run of three of them stands."""
+    """An item's words, where each of them stands, and which of them are its rarer half."""
 
-    def __init__(self, key, ids: np.ndarray) -> None:
+    def __init__(self, key, ids: np.ndarray, idf: np.ndarray | None = None) -> None:
         self.key, self.ids, self.words = key, ids, ids.tolist()
-        runs = triples(ids)
-        self.order = np.argsort(runs, kind="stable")
-        self.sorted = runs[self.order]
         self.bits: dict[int, int] = {}
         for k, w in enumerate(self.words):
             self.bits[w] = self.bits.get(w, 0) | 1 << k
-
-
-def triples(ids: np.ndarray) -> np.ndarray:
-    """One number for each three words in a row."""
-    if len(ids) < 3:
-        return np.empty(0, np.uint64)
-    a = ids.astype(np.uint64)
-    return (a[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ (a[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) << np.uint64(1)) ^ (a[2:] * np.uint64(0x165667B19E3779F9))
+        worth = np.ones(len(ids)) if idf is None else idf[ids & (BUCKETS - 1)]
+        self.rare = (worth > np.median(worth)) | (worth == worth.max()) if len(ids) else np.zeros(0, bool)
 
 
 def lcs(item: Item, j0: int, j1: int, text: list[int]) -> int:
@@ -209,51 +204,90 @@ def lcs(item: Item, j0: int, j1: int, text: list[int]) -> int:
     return (j1 - j0) - row.bit_count()
 
 
-def repeated_share(item: Item, ids: np.ndarray, runs: np.ndarray) -> tuple[float, int]:
+def _ends(item: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each word of the item and of a text: words of the best part that ends there, and where it starts in both.
+
+    A part is a local alignment: an equal word gains one, a word changed, left out or put in costs one, and a part
+    starts anew where nothing is gained.
+    """
+    n, w = len(item), len(text)
+    place = np.arange(w + 1, dtype=np.int32)
+    gain, words, first, start = (np.zeros(w + 1, np.int32) for _ in range(4))
+    first[:] = place
+    out = np.zeros((3, n, w), np.int32)
+    for j in range(n):
+        same = text == item[j]
+        across, down = gain[:-1] + np.where(same, 1, -1), gain[1:] - 1
+        up = down > across
+        g = np.where(up, down, across)
+        x = [np.where(up, words[1:], words[:-1] + same), np.where(up, first[1:], first[:-1]), np.where(up, start[1:], start[:-1])]
+        new = g <= 0
+        g[new], x[0][new], x[1][new], x[2][new] = 0, 0, place[1:][new], j + 1
+        reach = np.maximum.accumulate(g + place[1:])  # words put in: a part goes on along the text at a cost of one each
+        source = np.maximum.accumulate(np.where(g + place[1:] == reach, place[:-1], 0))
+        along = reach - place[1:] > g
+        gain[1:] = np.where(along, reach - place[1:], g)
+        for k, kept in enumerate((words, first, start)):
+            kept[1:] = out[k, j] = np.where(along, x[k][source], x[k])
+        gain[0], words[0], first[0], start[0] = 0, 0, 0, j + 1
+    return out[0], out[1], out[2]
+
+
+def repeated_share(item: Item, ids: np.ndarray, whole: list[int] | None = None, there: frozenset[int] | None = None) -> tuple[float, int]:
     """Share of an item's words that a text repeats in order, in its best one or two parts; and the number of parts.
 
-    A part is a chain of runs of at least three equal words, between which at most GAP words differ; its words are
-    the longest common subsequence inside it. Two parts follow each other in the item and in the text.
+    Parts are those of _ends; two parts follow each other in the item and in the text, however far apart. The share is 0
+    where the words the text has at all, or the common subsequence of the whole text, bound it below SHARE, and
+    if the parts hold less than ANSWERED of the item's rarer words. No part is left out: long texts are aligned in pieces
+    that overlap by the longest part, and the best parts so far are kept for every place of the item.
     """
-    n = len(item.words)
-    a, b = np.searchsorted(item.sorted, runs, "left"), np.searchsorted(item.sorted, runs, "right")
-    hits = np.flatnonzero(b > a)
-    if len(hits) * 3 < n * SHARE:  # a run of r words has r - 2 triples, so parts of half the words have at least this
+    n, span = len(item.words), 2 * len(item.words)
+    whole = ids.tolist() if whole is None else whole
+    if sum(map((frozenset(whole) if there is None else there).__contains__, item.words)) < SHARE * n or lcs(item, 0, n, whole) < SHARE * n:
+        return 0.0, 0
+    step = max(span, CELLS // max(n, 1) - span)
+    best, found = 0, []
+    before = [np.zeros((n, 0), np.int32) for _ in range(3)]  # best part up to each place of item and text: words, first, last
+    for a in range(0, len(ids), step):
+        low = max(0, a - span)
+        words, first, start = _ends(item.ids, ids[low : a + step])
+        own, i0, j0 = words[:, a - low :], first[:, a - low :] + low, start[:, a - low :]
+        # best part that ends at or before each place: its words, then where it lies in the text
+        high = np.broadcast_to(np.arange(a + 1, a + 1 + own.shape[1], dtype=np.int32), own.shape)
+        so_far = _running([own, i0, high], [x[:, -1:] for x in before])
+        before = [np.concatenate([x, y], axis=1) for x, y in zip(before, so_far)]
+        left = a + own.shape[1] - before[0].shape[1]  # place of the first column kept
+        both = (j0 > 0) & (i0 > left) & (own > 0)
+        at = j0[both] - 1, i0[both] - 1 - left
+        total = own.copy()
+        total[both] += before[0][at]
+        k = int(total.argmax())
+        j, i = divmod(k, own.shape[1])
+        if total[j, i] > best:
+            best, found = int(total[j, i]), [(int(i0[j, i]), a + i + 1)]
+            if total[j, i] > own[j, i]:
+                p = j0[j, i] - 1, i0[j, i] - 1 - left
+                found.append((int(before[1][p]), int(before[2][p])))
+        before = [x[:, -span:] for x in before]
+    held = Counter(w for i0, i1 in found for w in whole[i0:i1])
+    answered = sum(min(k, held[w]) for w, k in Counter(item.ids[item.rare].tolist()).items())
+    if not best or answered < ANSWERED * item.rare.sum():
         return 0.0, 0
-    diagonals: dict[int, list[int]] = {}
-    for i in hits.tolist():
-        for j in item.order[a[i] : b[i]].tolist():
-            diagonals.setdefault(i - j, []).append(i)
-    blocks = []
-    for shift, at in diagonals.items():
-        at.sort()
-        start = last = at[0]
-        for i in [*at[1:], -9]:
-            if i != last + 1:
-                blocks.append((start, start - shift, last + 3 - start))
-                start = i
-            last = i
-    blocks.sort()
-    chains: list[tuple[int, int, int, int, int]] = []  # first and end in text, first and end in item, words
-    for i, j, size in blocks:
-        best = (i, i + size, j, j + size, size)
-        for c in chains[-40:]:
-            if -2 <= i - c[1] <= GAP and -2 <= j - c[3] <= GAP and c[3] < j + size and c[4] + size > best[4]:
-                best = (c[0], i + size, c[2], j + size, c[4] + min(size, j + size - c[3]))
-        chains.append(best)
-    longest: dict[tuple[int, int], tuple[int, int, int, int, int]] = {}
-    for c in chains:
-        if c[4] > longest.get((c[0], c[2]), (0,) * 5)[4]:
-            longest[c[0], c[2]] = c
-    words = ids.tolist()
-    parts = sorted(longest.values(), key=lambda c: -c[4])[:60]
-    parts = [(i0, i1, j0, j1, lcs(item, j0, j1, words[i0:i1])) for i0, i1, j0, j1, _ in parts]
-    best, count = max(p[4] for p in parts), 1
-    for p in parts:
-        for q in parts:
-            if p[1] <= q[0] and p[3] <= q[2] and p[4] + q[4] > best:
-                best, count = p[4] + q[4], 2
-    return best / n, count
+    return best / n, len(found)
+
+
+def _running(now: list[np.ndarray], last: list[np.ndarray]) -> list[np.ndarray]:
+    """The part of most words among all that end at or before each place, `last` being those before the first column."""
+    code = now[0].astype(np.int64)
+    width = code.shape[1]
+    code = code * code.size + np.arange(code.size, dtype=np.int64).reshape(code.shape)
+    best = np.maximum.accumulate(np.maximum.accumulate(code, axis=0), axis=1) % max(1, code.size)
+    at = np.divmod(best, max(1, width))
+    out = [x[at] for x in now]
+    if last[0].shape[1]:
+        keep = np.broadcast_to(last[0], out[0].shape) >= out[0]
+        out = [np.where(keep, x, y) for x, y in zip(last, out)]
+    return out
 
 
 def _search(batches: Iterator[pa.RecordBatch], space: Space, items: list[Item]) -> Iterator[pa.RecordBatch]:
@@ -266,11 +300,12 @@ def _search(batches: Iterator[pa.RecordBatch], space: Space, items: list[Item])
             near = vectors @ wanted >= NEAR
             rows, cols = np.divmod(np.flatnonzero(near), near.shape[1])
             pairs = np.unique(text_of[rows] * len(items) + owner[cols])
-            last, runs = -1, None
+            last, there, whole = -1, frozenset(), []
             for t, k in zip((pairs // len(items)).tolist(), (pairs % len(items)).tolist()):
                 if t != last:
-                    last, runs = t, triples(texts[a + t])
-                share, n = repeated_share(items[k], texts[a + t], runs)
+                    last, whole = t, texts[a + t].tolist()
+                    there = frozenset(whole)
+                share, n = repeated_share(items[k], texts[a + t], whole, there)
                 if share >= SHARE:
                     at.append(a + t)
                     found.append(items[k].key)
@@ -299,28 +334,33 @@ def latent_space(words: DataFrame, seed: int = 7) -> Space:
         df[r["bucket"]] = r["n"]
     n, df = df[BUCKETS], df[:BUCKETS]
     idf = np.where(df > 0, np.log((1 + n) / (1 + df)) + 1e-3, 0).astype(np.float32)
-    meet = math.isqrt(words.rdd.getNumPartitions()) + 1  # so that neither step of the sum reads more than about that many parts
-    sums = words.mapInArrow(lambda it: _sketch_of(it, idf, seed, meet), "part int, total binary").repartition(meet, "part").mapInArrow(_add, "part int, total binary")
-    rows = sums.repartition(1).mapInArrow(_add, "part int, total binary").collect()
+    blocks = BUCKETS // TOGETHER
+    sums = words.mapInArrow(lambda it: _sketch_of(it, idf, seed), "part int, total binary").repartition(blocks, "part").mapInArrow(_add, "part int, total binary")
+    total = np.zeros((blocks, TOGETHER * SKETCH), np.float32)
+    for r in sums.collect():  # a fixed size: BUCKETS x SKETCH numbers
+        total[r["part"]] = np.frombuffer(r["total"], np.float32)
     weights = np.zeros((BUCKETS + 1, DIMENSIONS), np.float32)
-    if rows and n:
-        weights[:BUCKETS] = _basis(np.frombuffer(rows[0]["total"], np.float32).reshape(BUCKETS, SKETCH), seed) * idf[:, None]
-    return Space(weights)
+    if n and total.any():
+        weights[:BUCKETS] = _basis(total.reshape(BUCKETS, SKETCH), seed) * idf[:, None]
+    return Space(weights, idf)
 
 
 def leaked_items(corpus: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str) -> DataFrame:
     """key, item_id, share and n_parts of every corpus row that repeats at least SHARE of an item's words.
 
     All rows of the corpus are searched, in whole texts; the items are the stated query set, at most MOST_ITEMS, in
-    blocks of ITEM_BLOCK. Null and empty texts on either side, and items of fewer than three words, match nothing.
+    blocks of ITEM_BLOCK, each of at most MOST_WORDS words. Null and empty texts on either side, and items of fewer than three words, match nothing.
     Several rows of the same key, and repeats of items, give a pair once, with its greatest share.
     """
     queries = {r[0]: r[1] for r in items.select(F.col(item_key).cast("long"), F.col(item_text).cast("string")).where(F.col(item_key).isNotNull()).limit(MOST_ITEMS + 1).collect()}
     if len(queries) > MOST_ITEMS:
         raise ValueError(f"more than {MOST_ITEMS} items")
-    wanted = [x for k, t in sorted(queries.items()) if len((x := Item(k, word_ids(t))).words) > 2]
+    asked = [(k, x) for k, t in sorted(queries.items()) if len(x := word_ids(t)) > 2]
+    if any(len(x) > MOST_WORDS for _, x in asked):
+        raise ValueError(f"an item of more than {MOST_WORDS} words")
     words = corpus_words(corpus, key, text)
     space = latent_space(words)
+    wanted = [Item(k, x, space.idf) for k, x in asked]
     kind = words.schema["_key"].dataType.simpleString()
     found = None
     for a in range(0, max(1, len(wanted)), ITEM_BLOCK):

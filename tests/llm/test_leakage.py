@@ -35,8 +35,7 @@ def test_word_ids_do_not_see_form():
 
 
 def share(item, text):
-    ids = L.word_ids(" ".join(text))
-    return L.repeated_share(L.Item(1, L.word_ids(" ".join(item))), ids, L.triples(ids))[0]
+    return L.repeated_share(L.Item(1, L.word_ids(" ".join(item))), L.word_ids(" ".join(text)))[0]
 
 
 def test_share_of_planted_parts():
@@ -51,6 +50,60 @@ def test_share_of_planted_parts():
     assert share(item, noise[:20] + changed + noise[20:]) > 0.8
 
 
+def test_no_part_is_crowded_out():
+    rng = random.Random(5)
+    item, noise = prose(60, rng), prose(30, rng)
+    text = sum([[*item[:20], *noise[k % 9 : k % 9 + 11]] for k in range(300)], []) + item[45:]
+    assert share(item, text) >= 35 / 60
+
+
+def test_changed_words_do_not_matter():
+    rng = random.Random(7)
+    item, noise = prose(60, rng), prose(80, rng)
+    third = [w if k % 3 else f"zz{k}" for k, w in enumerate(item)]
+    assert 0.6 < share(item, noise + third + noise) < 0.75
+    gone = [w for k, w in enumerate(item) if k % 4]
+    assert share(item, noise + gone[:30] + noise + gone[30:]) > 0.7
+
+
+def brute_parts(item, text):
+    """Words of the best one or two local alignments, by plain loops."""
+    n, m = len(item), len(text)
+    cell = [[(0, 0, i, j) for i in range(m + 1)] for j in range(n + 1)]
+    ends = []
+    for j in range(1, n + 1):
+        for i in range(1, m + 1):
+            same = item[j - 1] == text[i - 1]
+            best = max((cell[j - 1][i - 1][0] + (1 if same else -1), "d"), (cell[j - 1][i][0] - 1, "c"), (cell[j][i - 1][0] - 1, "a"))
+            if best[0] > 0:
+                from_ = {"d": cell[j - 1][i - 1], "c": cell[j - 1][i], "a": cell[j][i - 1]}[best[1]]
+                cell[j][i] = (best[0], from_[1] + (same and best[1] == "d"), from_[2], from_[3])
+                ends.append((cell[j][i][1], cell[j][i][2], i, cell[j][i][3], j))
+    top = max((e[0] for e in ends), default=0)
+    return max([top] + [p[0] + q[0] for p in ends for q in ends if p[2] <= q[1] and p[4] <= q[3]])
+
+
+def test_parts_against_plain_loops(monkeypatch):
+    rng = random.Random(8)
+    monkeypatch.setattr(L, "CELLS", 300)  # many pieces
+    monkeypatch.setattr(L, "ANSWERED", 0)
+    monkeypatch.setattr(L, "SHARE", 0)
+    for _ in range(60):
+        item, text = [rng.randrange(8) for _ in range(rng.randint(3, 9))], [rng.randrange(8) for _ in range(rng.randint(0, 90))]
+        got, _ = L.repeated_share(L.Item(1, L.np.array(item, L.np.uint32)), L.np.array(text, L.np.uint32))
+        assert abs(got * len(item) - brute_parts(item, text)) <= 1  # equal gains may keep different words
+
+
+def test_templates_with_other_words_are_no_leak():
+    item = "doses above nine need a allergy timeline and a second controller to isolate it it is the identity that matters here the workflow does not download anything unless the prescriber objects".split()
+    text = "doses above two need a vendor margin and a second analyst to defer it it is the ward that matters here the intake does not sort anything unless the auditor objects".split()
+    common = set(item) & set(text)
+    idf = L.np.full(L.BUCKETS, 5.0)
+    idf[[w & (L.BUCKETS - 1) for w in L.word_ids(" ".join(common)).tolist()]] = 0.5
+    assert L.repeated_share(L.Item(1, L.word_ids(" ".join(item))), L.word_ids(" ".join(text)))[0] > 0.5
+    assert L.repeated_share(L.Item(1, L.word_ids(" ".join(item)), idf), L.word_ids(" ".join(text)))[0] == 0
+
+
 def test_operator_finds_what_brute_force_finds(spark):
     rng = random.Random(4)
     items = [(i, " ".join(prose(rng.randint(40, 70), rng))) for i in range(30)]
