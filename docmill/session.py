@@ -71,13 +71,18 @@ def hot_keys(df: DataFrame, key: str, share: int = HOT_SHARE) -> DataFrame:
     return counts.join(F.broadcast(total), F.col("_n") * share > F.col("_all")).select(key)
 
 
-def lookup_join(facts: DataFrame, dim: DataFrame, key: str, share: int = HOT_SHARE) -> DataFrame:
+def lookup_join(facts: DataFrame, dim: DataFrame, key: str, share: int = HOT_SHARE, counted: DataFrame | None = None) -> DataFrame:
     """Left join of facts with dim (one row per key), safe for keys that hold a large share of the facts.
 
     Rows of hot keys meet the dim rows of those keys by broadcast (at most `share` rows, see hot_keys); all others
-    meet by a shuffled join in which no key is hot.
+    meet by a shuffled join in which no key is hot. Keys are counted in `counted`, by default in facts: give a table
+    that is cheap to read and holds the key about as often.
     """
-    hot = cut(hot_keys(facts, key, share))  # counted once, used three times
+    hot = hot_keys(facts if counted is None else counted, key, share)
+    found = hot.collect()  # at most `share` keys
+    if not found:
+        return facts.join(dim, key, "left")
+    hot = facts.sparkSession.createDataFrame(found, hot.schema)
     marked = facts.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
     hot_dim = dim.join(F.broadcast(hot), key, "left_semi")
     heated = marked.where("_hot").drop("_hot").join(F.broadcast(hot_dim), key, "left")
