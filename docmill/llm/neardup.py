@@ -1,16 +1,17 @@
 """Problem 2: near-duplicate records.
 
-Method: chosen-path join. Every run splits the sets at random: a set follows each of its tokens with a chance such that
-a pair at the threshold is expected to share at least one. A path ends when the frequencies of its tokens let its
-bucket be expected small enough for brute force; a bucket that turns out too large is split again on further tokens.
-Within buckets, sketches of one bit for each of many minwise hashes
-are compared; pairs whose sketches agree are checked on their tokens. Runs are repeated until the estimated recall
-reaches the target.
+Method: chosen-path join on minwise tokens. A set's tokens are its minwise hashes, one for each of PLACES hash functions, of
+which two sets share as large a part as their similarity. In every run a set follows one path: at each node a place is
+sampled by the node's own hash, so that all sets at a node split on the same shared token. A path ends when the
+frequencies of its tokens let its bucket be expected small enough for brute force; a bucket that turns out too large is
+split again. Within buckets, sketches of one bit for each minwise hash are compared; pairs whose sketches agree are
+checked on their tokens. Runs are repeated until the recall, estimated for each band of similarity from how often the
+pairs found were found, reaches the target.
 """
 
 from __future__ import annotations
 
-import warnings
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,20 +19,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docmill.session import cut, half_even
+from docmill.session import cut, half_even, lookup_join
 
-#: A path ends when this many sets are expected in its bucket; buckets up to BUCKET sets are compared by brute force.
-EXPECTED, BUCKET = 48, 768
-#: Expected tokens that a pair at the threshold shares at each split; above 1, so that pairs survive many splits.
-BRANCHING = 1.5
-#: Runs of a round, rounds at most, and the recall at which no further round is made.
-RUNS, ROUNDS, RECALL = 5, 8, 0.99999
+#: A path ends when this many sets are expected in its bucket; buckets up to BUCKET sets are compared as a whole.
+EXPECTED, BUCKET = 192, 3000
 #: Splits of a path at most, and further splits of a bucket after which what is left of it is compared in blocks.
-DEPTH, AGAIN = 10, 8
+DEPTH, AGAIN = 12, 3
+#: Minwise hashes of a set (bits of its sketch), and how many of them paths may split on: the same number at each depth.
+BITS, PLACES = 256, 96
+#: How many standard deviations a pair at the threshold may fall short in its sketch.
+SLACK = 4.5
 #: Tokens that a smaller share of the sets holds count as this frequent; so the table of frequent ones is bounded.
 RARE = 1 / 2000
-#: Bits of a sketch, and how many standard deviations a pair at the threshold may fall short in it.
-BITS, SLACK = 512, 4.5
+#: Runs of a round at least and at most, rounds at most, and the recall of each band of similarity at which no further round is made.
+RUNS, ROUNDS, RECALL = (12, 64), 6, 0.999
+#: Width of a band of similarity.
+BAND = 0.05
 
 
 def word_set(*columns: Column) -> Column:
@@ -60,95 +63,96 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Sets:
-    """The sets of a batch: tokens in one array, where each set begins, its size and chance of following a token."""
+def _minwise(tokens: pa.ListArray) -> np.ndarray:
+    """The BITS minwise hashes (32 bits) of each set of a batch; sets aren't empty."""
+    rng = np.random.default_rng(11)
+    odd = rng.integers(0, 1 << 63, BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    plus = rng.integers(0, 1 << 63, BITS, dtype=np.uint64)
+    flat, start = tokens.flatten().to_numpy().view(np.uint64), tokens.offsets.to_numpy()
+    start = (start - start[0])[:-1]
+    out = np.empty((BITS, len(tokens)), np.uint32)
+    for k in range(BITS):
+        out[k] = np.minimum.reduceat(((flat * odd[k] + plus[k]) >> np.uint64(32)).astype(np.uint32), start)
+    return out
 
-    def __init__(self, tokens: pa.ListArray, threshold: float) -> None:
-        self.start = tokens.offsets.to_numpy().astype(np.int64)
-        self.flat = tokens.values.to_numpy().view(np.uint64)
-        self.size = np.diff(self.start)
-        self.least = threshold * self.size
-        self.chance = np.minimum(1.0, BRANCHING / threshold / np.maximum(self.size, 1))
 
-    def split(self, owner: np.ndarray, node: np.ndarray, used: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """For paths (of sets `owner`, at `node`): which path goes on, and by which place of the token array."""
-        size = self.size[owner]
-        path = np.repeat(np.arange(len(owner)), size)
-        at = np.arange(len(path)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.start[owner], size)
-        token = self.flat[at]
-        draw = (_mix(node[path] ^ _mix(token)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-        left = np.maximum(self.least[owner] - len(used), 1.0)  # tokens that a similar set shares and the path hasn't used, at least
-        keep = draw < (self.chance[owner] if not used else np.minimum(1.0, BRANCHING / left))[path]
-        for u in used:
-            keep &= token != u[path]
-        return path[keep], at[keep]
+def _sketches(minwise: np.ndarray) -> list[pa.Array]:
+    """A set's sketch as BITS / 64 longs: the highest bit of a mixed minwise hash each."""
+    bits = ((minwise * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint8)
+    packed = np.ascontiguousarray(np.packbits(bits, axis=0).T).view(np.int64)
+    return [pa.array(np.ascontiguousarray(packed[:, k])) for k in range(packed.shape[1])]
 
 
-def _step(node: np.ndarray, token: np.ndarray) -> np.ndarray:
-    return _mix(node * np.uint64(3) + token)
+SKETCH = [f"s{k}" for k in range(BITS // 64)]
+FRONT = "node long, class_id long, n_tokens int, " + ", ".join(f"{c} long" for c in SKETCH)
 
 
-def _paths(batches: Iterator[pa.RecordBatch], threshold: float, runs: range, known: np.ndarray, logs: np.ndarray, goal: float) -> Iterator[pa.RecordBatch]:
-    """The buckets of each set in each run: node and the batch's other columns. Sets are handled some at a time.
+def _places(run: np.ndarray, node: np.ndarray, depth: int) -> np.ndarray:
+    """The place that each node splits on: places are dealt to depths anew in each run, so no path meets a place twice."""
+    each = PLACES // DEPTH
+    order = np.stack([np.random.default_rng(1000 + r).permutation(PLACES) for r in range(int(run.max()) + 1)]) if len(run) else np.zeros((1, PLACES), int)
+    return order[run, (depth % DEPTH) * each + (_mix(node ^ np.uint64(depth)) >> np.uint64(33)).astype(np.int64) % each]
 
-    A path that has used as many tokens as two similar sets may share has a bucket too, however large, as it may have no
-    further token in common with the other set; it also goes on, as the other set may be larger and have its bucket later.
-    """
-    rare = np.log(RARE)
-    for whole in batches:
-        for first in range(0, whole.num_rows, 1000):
-            batch = whole.slice(first, 1000)
-            tokens = batch.column(1)
-            sets = _Sets(tokens, threshold)
-            if len(known):
-                place = np.minimum(np.searchsorted(known, sets.flat), len(known) - 1)
-                log = np.where(known[place] == sets.flat, logs[place], rare)
-            else:
-                log = np.full(len(sets.flat), rare)
-            rows, nodes = [], []
-            for run in runs:
-                owner = np.arange(batch.num_rows)
-                node = np.full(len(owner), _mix(np.array([run + 1], np.uint64))[0])
-                chance, used = np.zeros(len(owner)), []
-                for depth in range(1, DEPTH + 1):
-                    path, at = sets.split(owner, node, used)
-                    owner, node, chance = owner[path], _step(node[path], sets.flat[at]), chance[path] + log[at]
-                    used = [u[path] for u in used] + [sets.flat[at]]
-                    done = chance <= goal
-                    spent = done | (depth >= threshold * sets.size[owner] - 1e-6) & (depth < DEPTH)
-                    rows.append(owner[spent])
-                    nodes.append(node[spent])
-                    owner, node, chance, used = owner[~done], node[~done], chance[~done], [u[~done] for u in used]
-                    if not len(owner):
-                        break
-                rows.append(owner)
-                nodes.append(node)
-            at = pa.array(np.concatenate(rows))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes).view(np.int64)), *(batch.column(k).take(at) for k in (0, 2, 3))], names=["node", "class_id", "n_tokens", "sketch"])
-
-
-def _further(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """One more split of the sets of buckets that are too large."""
-    for batch in batches:
-        sets = _Sets(batch.column(2), threshold)
-        node = batch.column(0).to_numpy().view(np.uint64)
-        path, at = sets.split(np.arange(len(node)), node, [])
-        rows = pa.array(path)
-        yield pa.RecordBatch.from_arrays([pa.array(_step(node[path], sets.flat[at]).view(np.int64)), *(batch.column(k).take(rows) for k in (1, 3, 4))], names=["node", "class_id", "n_tokens", "sketch"])
 
+def _step(node: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """The node below for a token; its lowest eight bits stay, as they hold the run."""
+    return (_mix(node * np.uint64(3) + token.astype(np.uint64)) & ~np.uint64(255)) | (node & np.uint64(255))
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds to each set the lowest bits of BITS minwise hashes of its tokens."""
-    rng = np.random.default_rng(11)
-    odd = rng.integers(0, 1 << 63, BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    plus = rng.integers(0, 1 << 63, BITS, dtype=np.uint64)
+
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Minwise tokens of the sets of a task by place, those of its share RARE of the sets or more, with their numbers."""
     for batch in batches:
-        out = []
-        for tokens in batch.column(1):
-            h = tokens.values.to_numpy().astype(np.uint64)[:, None] * odd + plus
-            least = (h ^ (h >> np.uint64(31))).min(axis=0)
-            out.append(np.packbits(((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)).astype(np.uint8)).tobytes())
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=["class_id", "tokens", "n_tokens", "sketch"])
+        places, values, counts = [], [], []
+        for first in range(0, batch.num_rows, 4000):
+            minwise = _minwise(batch.column(0).slice(first, 4000))[:PLACES]
+            for k in range(PLACES):
+                v, n = np.unique(minwise[k], return_counts=True)
+                keep = n > max(1, minwise.shape[1] * RARE)
+                places.append(np.full(int(keep.sum()), k, np.int32))
+                values.append(v[keep])
+                counts.append(n[keep])
+        if places:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(places)), pa.array(np.concatenate(values).astype(np.int64)), pa.array(np.concatenate(counts).astype(np.int64))], names=["place", "v", "n"])
+
+
+def _paths(batches: Iterator[pa.RecordBatch], runs: range, known: np.ndarray, logs: np.ndarray, goal: float) -> Iterator[pa.RecordBatch]:
+    """The bucket of each set in each run: node, class_id, n_tokens and sketch."""
+    rare = math.log(RARE)
+    for whole in batches:
+        for begin in range(0, whole.num_rows, 1000):
+            batch = whole.slice(begin, 1000)
+            minwise = _minwise(batch.column(1))
+            sets = batch.num_rows
+            cost = np.full((PLACES, sets), rare)
+            if len(known):
+                code = (np.arange(PLACES, dtype=np.uint64)[:, None] << np.uint64(32)) | minwise[:PLACES]
+                at = np.minimum(np.searchsorted(known, code), len(known) - 1)
+                cost = np.where(known[at] == code, logs[at], rare)
+            run, owner = np.repeat(np.array(runs, np.int64), sets), np.tile(np.arange(sets), len(runs))
+            node = (_mix(run.astype(np.uint64) + np.uint64(1)) & ~np.uint64(255)) | (run % 256).astype(np.uint64)
+            chance, live = np.zeros(len(run)), np.arange(len(run))
+            for depth in range(DEPTH):
+                live = live[chance[live] > goal]
+                if not len(live):
+                    break
+                place = _places(run[live], node[live], depth)
+                node[live] = _step(node[live], minwise[place, owner[live]])
+                chance[live] += cost[place, owner[live]]
+            rows = pa.array(owner)
+            sketch = [c.take(rows) for c in _sketches(minwise)]
+            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), batch.column(0).take(rows), batch.column(2).take(rows), *sketch], names=["node", "class_id", "n_tokens", *SKETCH])
+
+
+def _further(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
+    """One more split of the sets of buckets that are too large."""
+    for whole in batches:
+        for begin in range(0, whole.num_rows, 4000):
+            batch = whole.slice(begin, 4000)
+            minwise = _minwise(batch.column(2))
+            node = batch.column(0).to_numpy().view(np.uint64)
+            place = _places((node & np.uint64(255)).astype(np.int64), node, turn)
+            below = _step(node ^ (np.uint64(turn + 1) << np.uint64(40)), minwise[place, np.arange(len(node))])
+            yield pa.RecordBatch.from_arrays([pa.array(below.view(np.int64)), *(batch.column(k) for k in (1, *range(3, batch.num_columns)))], names=["node", "class_id", "n_tokens", *SKETCH])
 
 
 def _compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -156,90 +160,99 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa
     expected = (1 + threshold) / 2
     enough = 2 * BITS * (expected - SLACK * (expected * (1 - expected) / BITS) ** 0.5) - BITS
     for batch in batches:
-        left, right = [], []
-        for bucket in batch.column(0):
-            rows = bucket.values
-            n = len(rows)
-            ids, part, size = (rows.field(c).to_numpy() for c in ("class_id", "part", "n_tokens"))
-            bits = np.unpackbits(np.frombuffer(b"".join(rows.field("sketch").to_pylist()), np.uint8).reshape(n, -1), axis=1).astype(np.float32) * 2 - 1
-            i, j = np.nonzero(np.triu(bits @ bits.T >= enough, 1))
-            keep = (np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-6) & (ids[i] != ids[j])
-            if part.any():
-                keep &= part[i] != part[j]
-            left.append(np.minimum(ids[i], ids[j])[keep])
-            right.append(np.maximum(ids[i], ids[j])[keep])
-        pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1) if left else np.empty((2, 0), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], names=["a", "b"])
-
-
-FRONT = "node long, class_id long, n_tokens int, sketch binary"
-
-
-def _round(sets: DataFrame, threshold: float, seed: int, known: np.ndarray, logs: np.ndarray, goal: float, bucket: int, again: int) -> DataFrame:
-    """Candidate pairs a, b of a round of runs."""
-    runs = range(seed * RUNS, (seed + 1) * RUNS)
-    front = sets.mapInArrow(lambda it: _paths(it, threshold, runs, known, logs, goal), FRONT)
+        left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        rows = batch.column(0).flatten()
+        ends = np.cumsum(np.diff(batch.column(0).offsets.to_numpy()))
+        ids, part, size = (rows.field(c).to_numpy() for c in ("class_id", "part", "n_tokens"))
+        words = np.stack([rows.field(c).to_numpy() for c in SKETCH], axis=1)
+        for first, end in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist()):
+            bits = np.unpackbits(words[first:end].view(np.uint8), axis=1).astype(np.float32) * 2 - 1
+            for a in range(0, end - first, 1000):
+                i, j = np.nonzero(bits[a : a + 1000] @ bits[a:].T >= enough)
+                i, j = i[i < j] + first + a, j[i < j] + first + a
+                keep = np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-6
+                if part[first:end].any():
+                    keep &= part[i] != part[j]
+                left.append(np.minimum(ids[i], ids[j])[keep])
+                right.append(np.maximum(ids[i], ids[j])[keep])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
+
+
+def _round(sets: DataFrame, threshold: float, runs: range, known: np.ndarray, logs: np.ndarray, goal: float, bucket: int, again: int) -> DataFrame:
+    """Candidate pairs a, b of a round and the number of its runs that found them."""
+    front = sets.mapInArrow(lambda it: _paths(it, runs, known, logs, goal), FRONT)
     parts = []
     for turn in range(again + 1):
         large = cut(front.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket))
         if large.isEmpty():
             parts.append(front.withColumn("part", F.lit(0)))
             break
-        parts.append(front.join(large.select("node"), "node", "left_anti").withColumn("part", F.lit(0)))
-        rest = front.join(large, "node")
+        sized = lookup_join(front, large, "node")
+        parts.append(sized.where("n is null").drop("n").withColumn("part", F.lit(0)))
+        rest = sized.where("n is not null")
         if turn == again:  # what can't be split is compared in blocks, each with itself and with every other one
-            rest = rest.withColumn("blocks", F.ceil(F.col("n") / (bucket // 2)).cast("int")).withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
+            rest = rest.withColumn("blocks", F.ceil(F.col("n") / max(1, bucket // 2)).cast("int")).withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
             rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
             part = F.when(F.col("low") == F.col("high"), 0).when(F.col("block") == F.col("low"), 1).otherwise(2)
-            parts.append(rest.select(F.xxhash64("node", "low", "high").alias("node"), "class_id", "n_tokens", "sketch", part.alias("part")))
+            parts.append(rest.select(F.xxhash64("node", "low", "high").alias("node"), "class_id", "n_tokens", *SKETCH, part.alias("part")))
         else:
-            more = rest.select("node", "class_id").join(sets, "class_id").select("node", "class_id", "tokens", "n_tokens", "sketch")
-            front = cut(more.mapInArrow(lambda it: _further(it, threshold), FRONT))
+            more = rest.select("node", "class_id", *SKETCH).join(sets, "class_id").select("node", "class_id", "tokens", "n_tokens", *SKETCH)
+            front = cut(more.mapInArrow(lambda it, turn=turn: _further(it, turn), FRONT))
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    buckets = rows.groupBy("node").agg(F.collect_list(F.struct("class_id", "n_tokens", "sketch", "part")).alias("bucket")).where("size(bucket) > 1")
-    return buckets.select("bucket").mapInArrow(lambda it: _compare(it, threshold), "a long, b long").distinct()
+    buckets = rows.groupBy("node").agg(F.collect_list(F.struct("class_id", "n_tokens", *SKETCH, "part")).alias("bucket")).where("size(bucket) > 1")
+    return buckets.select("bucket").mapInArrow(lambda it: _compare(it, threshold), "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_runs"))
 
 
 def _verified(candidates: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Those of the candidates whose tokens reach the threshold, with n_shared and n_union."""
+    """Candidates with n_shared, n_union (null where these don't reach the threshold), each side looked up once."""
     a, b = (sets.select(F.col("class_id").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab")
-    met = candidates.join(a, "a").join(b, "b").select("a", "b", F.size(F.array_intersect("ta", "tb")).alias("n_shared"), (F.size("ta") + F.size("tb")).alias("both"))
-    return met.select("a", "b", "n_shared", (F.col("both") - F.col("n_shared")).alias("n_union")).where(F.col("n_shared") >= F.col("n_union") * threshold - 1e-6)
+    met = lookup_join(lookup_join(candidates, a, "a"), b, "b", counted=candidates.select("b"))
+    met = met.select("a", "b", "n_runs", F.size(F.array_intersect("ta", "tb")).alias("n_shared"), (F.size("ta") + F.size("tb")).alias("both"))
+    met = met.select("a", "b", "n_runs", "n_shared", (F.col("both") - F.col("n_shared")).alias("n_union"))
+    return met.where(F.col("n_shared") >= F.col("n_union") * threshold - 1e-6)
+
 
+def _missed(pairs: DataFrame) -> list[tuple[int, float]]:
+    """(pairs found, pairs that no run found) of each band of similarity, by the numbers found in one and in two runs (Chao)."""
+    band = F.floor(F.col("n_shared") / F.col("n_union") / BAND + 1e-9)
+    counts = pairs.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("n_runs") == 1).alias("once"), F.count_if(F.col("n_runs") == 2).alias("twice"))
+    return [(r["n"], r["once"] * (r["once"] - 1) / (2 * (r["twice"] + 1))) for r in counts.collect()]  # at most 1 / BAND + 1 rows
 
-def similar_classes(sets: DataFrame, threshold: float, recall: float = RECALL, rounds: int = ROUNDS, bucket: int = BUCKET, again: int = AGAIN, expected: int = EXPECTED) -> DataFrame:
+
+def similar_classes(sets: DataFrame, threshold: float, recall: float = RECALL, rounds: int = ROUNDS, bucket: int = BUCKET, again: int = AGAIN, expected: float = EXPECTED) -> DataFrame:
     """a, b, n_shared, n_union of every two classes whose Jaccard similarity is at least the threshold (a < b).
 
-    Rounds of RUNS runs are repeated until a round brings so few new pairs that the recall is estimated to reach the
-    target: what a round missed of the pairs known before it estimates the chance that any pair escapes a round.
+    A round has as many runs as a pair at the threshold needs for the recall at the mean length of a path. Rounds are
+    repeated until, in each band of similarity, the pairs estimated to be missed are less than one in two or their share
+    is at most 1 - recall; it is an error if `rounds` rounds don't reach that. As many sets as one bucket may hold are compared at once.
     """
-    sets = cut(sets.select("class_id", "tokens", "n_tokens").mapInArrow(_sketches, "class_id long, tokens array<long>, n_tokens int, sketch binary"))
+    sets = cut(sets.select("class_id", "tokens", "n_tokens"))
     n = sets.count()
-    often = sets.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > n * RARE).collect()  # at most the mean size of a set / RARE
-    table = sorted((r["t"] & 0xFFFFFFFFFFFFFFFF, r["n"]) for r in often)
-    tokens, logs = np.array([t for t, _ in table], np.uint64), np.log(np.array([c for _, c in table], float) / max(n, 1))
-    goal = -np.log(max(1.0, n / expected)) - 1e-9
-    known, before, escape = None, 0, 1.0
-    for seed in range(rounds):
-        candidates = _round(sets, threshold, seed, tokens, logs, goal, bucket, again)
-        if known is None:
-            known = cut(_verified(candidates, sets, threshold))
-            before = known.count()
-            continue
-        found = cut(candidates)
-        seen = found.join(known, ["a", "b"], "left_semi").count()
-        fresh = cut(_verified(found.join(known, ["a", "b"], "left_anti"), sets, threshold))
-        new = fresh.count()
-        escape *= max(1 - seen / before, 1 / (before + 1)) if before else 1.0
-        known = known.unionByName(fresh)
-        before += new
-        if (new == 0 and seen == before - new) or escape <= 1 - recall:
-            break
-    else:
-        warnings.warn(f"near-duplicates: {rounds} rounds end at an estimated recall of {1 - escape:.6f}, below {recall}", stacklevel=2)
-    return known
+    goal = -math.log(max(1.0, n / expected)) - 1e-9
+    if n <= min(expected, bucket):
+        return _verified(cut(_round(sets, threshold, range(1), np.empty(0, np.uint64), np.empty(0), 0.0, bucket, again)), sets, threshold).drop("n_runs")
+    often = sets.select("tokens").mapInArrow(_frequent, "place int, v long, n long").groupBy("place", "v").agg(F.sum("n").alias("n")).where(F.col("n") > n * RARE).collect()  # at most PLACES / RARE
+    table = sorted((r["place"] << 32 | r["v"], r["n"] / n) for r in often)
+    tokens, share = np.array([t for t, _ in table], np.uint64), np.array([c for _, c in table])
+    logs = np.log(share)
+    fall = -(share @ logs + (PLACES - share.sum()) * math.log(RARE)) / PLACES  # mean fall of a path's log frequency at each split
+    depth = max(1.0, min(DEPTH, -goal / fall) + 0.5)
+    runs = min(max(math.ceil(math.log(1 - recall) / math.log(1 - threshold**depth)), RUNS[0]), RUNS[1])
+    found = None
+    for k in range(rounds):
+        now = cut(_round(sets, threshold, range(k * runs, (k + 1) * runs), tokens, logs, goal, bucket, again))
+        if found is None:
+            found = cut(_verified(now, sets, threshold))
+        else:
+            seen = now.join(found.select("a", "b"), ["a", "b"], "left_semi").select("a", "b", F.col("n_runs").alias("more"))
+            new = _verified(now.join(found.select("a", "b"), ["a", "b"], "left_anti"), sets, threshold)
+            old = found.join(seen, ["a", "b"], "left").withColumn("n_runs", F.col("n_runs") + F.coalesce("more", F.lit(0))).drop("more")
+            found = cut(old.unionByName(new))
+        if all(missed < 0.5 or missed <= (1 - recall) * (some + missed) for some, missed in _missed(found)):
+            return found.drop("n_runs")
+    raise RuntimeError(f"near-duplicates: {rounds} rounds of {runs} runs don't reach a recall of {recall} in each band; raise rounds")
 
 
 def groups(links: DataFrame, members: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -280,14 +293,28 @@ def near_duplicates(df: DataFrame, key: str, columns: list[str], threshold: floa
 def pairs(members: DataFrame, links: DataFrame, part: int = 500) -> DataFrame:
     """key_a < key_b and similarity of all pairs of rows: rows of linked classes, and rows of one class.
 
-    A class of more than `part` rows is dealt out in parts of about that size, and each part meets the other class by
-    itself; so no task makes all pairs of a class that holds a large share of the rows.
+    Classes are dealt out in parts of about `part` rows, each an array; a part of one class meets a part of another in
+    one row. So a class that holds a large share of the rows is many rows on both sides, and no task makes all its pairs.
     """
-    sizes = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / part).cast("int"))
+    sizes = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"))
+    large = cut(sizes.where(F.col("n") > part).select("class_id", F.ceil(F.col("n") / part).cast("int").alias("parts")))
+    some = not large.isEmpty()
+
+    def with_parts(df: DataFrame, column: str, name: str) -> DataFrame:
+        if not some:
+            return df.withColumn(name, F.lit(1))
+        return lookup_join(df, large.select(F.col("class_id").alias(column), F.col("parts").alias(name)), column).fillna(1, [name])
+
+    dealt = with_parts(members, "class_id", "parts").select("class_id", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("p"), "key")
+    lists = dealt.groupBy("class_id", "p").agg(F.collect_list("key").alias("keys")).select(F.struct("class_id", "p").alias("cell"), "keys")
     one = sizes.where("n > 1").select(F.col("class_id").alias("a"), F.col("class_id").alias("b"), F.lit(1.0).alias("similarity"))
     two = links.select("a", "b", (F.col("n_shared") / F.col("n_union")).alias("similarity"))
-    dealt = two.unionByName(one).join(sizes.select(F.col("class_id").alias("a"), "parts"), "a").withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    right = dealt.join(members.select(F.col("class_id").alias("b"), F.col("key").alias("key_b")), "b")
-    left = members.join(sizes.select("class_id", "parts"), "class_id").select(F.col("class_id").alias("a"), F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("p"), F.col("key").alias("key_a"))
-    met = right.join(left, ["a", "p"]).where((F.col("a") < F.col("b")) | (F.col("key_a") < F.col("key_b")))
-    return met.select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b"), half_even(F.col("similarity"), 6).alias("similarity"))
+    met = with_parts(with_parts(two.unionByName(one), "a", "parts_a"), "b", "parts_b")
+    cells = met.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts_a") - 1))).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts_b") - 1))).where("a <> b or p <= q")
+    cells = cut(cells.select(F.struct(F.col("a").alias("class_id"), "p").alias("left"), F.struct(F.col("b").alias("class_id"), F.col("q").alias("p")).alias("right"), "similarity"))
+    full = cells
+    for side in ("left", "right"):
+        full = lookup_join(full, lists.select(F.col("cell").alias(side), F.col("keys").alias(f"{side}_keys")), side, counted=cells.select(side))
+    rows = full.select("similarity", "left", "right", F.explode("left_keys").alias("x"), "right_keys").select("similarity", "left", "right", "x", F.explode("right_keys").alias("y"))
+    rows = rows.where("left <> right or x < y")
+    return rows.select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b"), half_even(F.col("similarity"), 6).alias("similarity"))

@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,7 +71,41 @@ def test_very_long_set(spark):
     assert found(spark, rows, 0.7) == {(1, 2)}
 
 
-def test_threshold_is_met_exactly():
-    import numpy as np
+def test_sets_at_the_threshold(spark):
+    """Seven shared tokens of ten are 0.7; with six of ten the sets are no pair."""
+    rows = [(1, "a b c d e f g h i"), (2, "a b c d e f g j"), (3, "a b c d e f k l m n")]
+    assert found(spark, rows, 0.7) == {(1, 2)}
+
+
+def test_recall_of_each_band_over_deep_paths(spark):
+    """Sets of a small vocabulary, paths split about as often as in a collection of millions; pairs by band against brute force."""
+    rng = random.Random(9)
+    rows = collection(1500, rng, 900)
+    got, want = found(spark, rows, 0.7, expected=4, bucket=60), brute(rows, 0.7)
+    sets = {k: set(w.split()) for k, w in rows}
+    assert got <= want
+    for low in (0.7, 0.75, 0.8, 0.9):
+        band = {(a, b) for a, b in want if len(sets[a] & sets[b]) >= low * len(sets[a] | sets[b])}
+        assert len(got & band) >= 0.99 * len(band)
+
+
+def test_short_sets_of_hot_words_meet(spark):
+    """However many sets there are for the few expected in a bucket, no word of these sets is rare enough to end a path."""
+    sets = [set(x) for k in (4, 5) for x in combinations("abcdefgh", k)]
+    rows = [(i, " ".join(sorted(s))) for i, s in enumerate(sets)]
+    assert found(spark, rows, 0.8, expected=1e-6) == {(i, j) for i, j in combinations(range(len(sets)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+
+
+def test_rounds_that_end_early_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(N, "_missed", lambda pairs: [(10, 5.0)])
+    with pytest.raises(RuntimeError, match="recall"):
+        found(spark, collection(40, random.Random(3)), 0.7, expected=2, rounds=2)
+
 
-    assert N.BRANCHING > 1 and pytest.approx(np.exp(-0.0)) == 1
+def test_large_classes_meet_in_parts(spark):
+    members = spark.createDataFrame([(k, 0 if k < 40 else 100 if k < 60 else k) for k in range(70)], "key long, class_id long")
+    links = spark.createDataFrame([(0, 100, 7, 10), (0, 60, 8, 10), (61, 100, 9, 10)], "a long, b long, n_shared int, n_union int")
+    got = [(r["key_a"], r["key_b"]) for r in N.pairs(members, links, part=7).collect()]
+    group = {0: range(40), 100: range(40, 60), 60: [60], 61: [61]}
+    want = {tuple(sorted((x, y))) for a, b in ((0, 0), (100, 100), (0, 100), (0, 60), (61, 100)) for x in group[a] for y in group[b] if x != y}
+    assert len(got) == len(set(got)) and set(got) == want
