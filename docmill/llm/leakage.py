@@ -30,7 +30,7 @@ BLOCK = 12
 NEAR, SHARE = 0.62, 0.5
 #: Share of an item's rarer half of words that must stand in the parts: templates filled with other words are no case.
 ANSWERED = 0.3
-#: Cells of an alignment held at once, and words of an item at most, so that an alignment fits a task.
+#: Cells of an alignment held at once, and words of an item at most, so that an alignment fits a task and its bits.
 CELLS, MOST_WORDS = 1_000_000, 4_000
 #: Buckets whose sums travel together; each block is summed in a task of its own.
 TOGETHER = 256
@@ -204,33 +204,32 @@ def lcs(item: Item, j0: int, j1: int, text: list[int]) -> int:
     return (j1 - j0) - row.bit_count()
 
 
-def _ends(item: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each word of the item and of a text: words of the best part that ends there, and where it starts in both.
+#: Bits of a cell of an alignment: its gain, the part's equal words, its first place in the piece of text and in the item.
+GAIN, WORDS, FIRST = 48, 35, 13
+LOW, PLACE = (1 << 13) - 1, (1 << 22) - 1
+
+
+def _ends(item: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """For each word of the item and of a piece of text: the best part that ends there, as one number (see GAIN).
 
     A part is a local alignment: an equal word gains one, a word changed, left out or put in costs one, and a part
-    starts anew where nothing is gained.
+    starts anew where nothing is gained. Of parts of equal gain that of more words counts.
     """
     n, w = len(item), len(text)
-    place = np.arange(w + 1, dtype=np.int32)
-    gain, words, first, start = (np.zeros(w + 1, np.int32) for _ in range(4))
-    first[:] = place
-    out = np.zeros((3, n, w), np.int32)
-    for j in range(n):
-        same = text == item[j]
-        across, down = gain[:-1] + np.where(same, 1, -1), gain[1:] - 1
-        up = down > across
-        g = np.where(up, down, across)
-        x = [np.where(up, words[1:], words[:-1] + same), np.where(up, first[1:], first[:-1]), np.where(up, start[1:], start[:-1])]
-        new = g <= 0
-        g[new], x[0][new], x[1][new], x[2][new] = 0, 0, place[1:][new], j + 1
-        reach = np.maximum.accumulate(g + place[1:])  # words put in: a part goes on along the text at a cost of one each
-        source = np.maximum.accumulate(np.where(g + place[1:] == reach, place[:-1], 0))
-        along = reach - place[1:] > g
-        gain[1:] = np.where(along, reach - place[1:], g)
-        for k, kept in enumerate((words, first, start)):
-            kept[1:] = out[k, j] = np.where(along, x[k][source], x[k])
-        gain[0], words[0], first[0], start[0] = 0, 0, 0, j + 1
-    return out[0], out[1], out[2]
+    one, place = 1 << GAIN, np.arange(w + 1, dtype=np.int64)
+    fresh, slope = place << FIRST, place << GAIN
+    cell, out = fresh.copy(), np.empty((n, w), np.int64)
+    step: dict[int, np.ndarray] = {}
+    for j, word in enumerate(item.tolist()):
+        if word not in step:
+            step[word] = np.where(text == word, one + (1 << WORDS), -one)
+        now = np.maximum(cell[:-1] + step[word], cell[1:] - one)
+        now = np.where(now < one, fresh[1:] | (j + 1), now)
+        cell[0] = j + 1
+        cell[1:] = np.maximum.accumulate(now + slope[1:]) - slope[1:]  # words put in: a part goes on along the text
+        out[j] = np.where(cell[1:] < one, fresh[1:] | (j + 1), cell[1:])
+        cell[1:] = out[j]
+    return out
 
 
 def repeated_share(item: Item, ids: np.ndarray, whole: list[int] | None = None, there: frozenset[int] | None = None) -> tuple[float, int]:
@@ -239,36 +238,35 @@ def repeated_share(item: Item, ids: np.ndarray, whole: list[int] | None = None,
     Parts are those of _ends; two parts follow each other in the item and in the text, however far apart. The share is 0
     where the words the text has at all, or the common subsequence of the whole text, bound it below SHARE, and
     if the parts hold less than ANSWERED of the item's rarer words. No part is left out: long texts are aligned in pieces
-    that overlap by the longest part, and the best parts so far are kept for every place of the item.
+    that overlap by the longest part, and the best part so far is kept for every place of the item.
     """
     n, span = len(item.words), 2 * len(item.words)
     whole = ids.tolist() if whole is None else whole
     if sum(map((frozenset(whole) if there is None else there).__contains__, item.words)) < SHARE * n or lcs(item, 0, n, whole) < SHARE * n:
         return 0.0, 0
-    step = max(span, CELLS // max(n, 1) - span)
+    step = max(span, min(CELLS // max(n, 1), 8000))
     best, found = 0, []
-    before = [np.zeros((n, 0), np.int32) for _ in range(3)]  # best part up to each place of item and text: words, first, last
+    before = np.zeros((n, 0), np.int64)  # best part up to each place of item and text: words, first and last place in the text
     for a in range(0, len(ids), step):
         low = max(0, a - span)
-        words, first, start = _ends(item.ids, ids[low : a + step])
-        own, i0, j0 = words[:, a - low :], first[:, a - low :] + low, start[:, a - low :]
-        # best part that ends at or before each place: its words, then where it lies in the text
-        high = np.broadcast_to(np.arange(a + 1, a + 1 + own.shape[1], dtype=np.int32), own.shape)
-        so_far = _running([own, i0, high], [x[:, -1:] for x in before])
-        before = [np.concatenate([x, y], axis=1) for x, y in zip(before, so_far)]
-        left = a + own.shape[1] - before[0].shape[1]  # place of the first column kept
-        both = (j0 > 0) & (i0 > left) & (own > 0)
-        at = j0[both] - 1, i0[both] - 1 - left
-        total = own.copy()
-        total[both] += before[0][at]
-        k = int(total.argmax())
-        j, i = divmod(k, own.shape[1])
+        cells = _ends(item.ids, ids[low : a + step])[:, a - low :]
+        words, first, start = cells >> WORDS & LOW, (cells >> FIRST & PLACE) + low, cells & LOW
+        last = np.arange(a + 1, a + 1 + cells.shape[1], dtype=np.int64)
+        so_far = np.maximum.accumulate(np.maximum.accumulate(words << 50 | first << 25 | last, axis=0), axis=1)
+        if before.shape[1]:
+            so_far = np.maximum(so_far, before[:, -1:])
+        before = np.concatenate([before, so_far], axis=1)
+        left = a + cells.shape[1] - before.shape[1]  # place of the first column kept
+        both = (start > 0) & (first > left) & (words > 0)
+        total = words.copy()
+        total[both] += before[start[both] - 1, first[both] - 1 - left] >> 50
+        j, i = divmod(int(total.argmax()), cells.shape[1])
         if total[j, i] > best:
-            best, found = int(total[j, i]), [(int(i0[j, i]), a + i + 1)]
-            if total[j, i] > own[j, i]:
-                p = j0[j, i] - 1, i0[j, i] - 1 - left
-                found.append((int(before[1][p]), int(before[2][p])))
-        before = [x[:, -span:] for x in before]
+            best, found = int(total[j, i]), [(int(first[j, i]), a + i + 1)]
+            if best > words[j, i]:
+                part = int(before[start[j, i] - 1, first[j, i] - 1 - left])
+                found.append((part >> 25 & (1 << 25) - 1, part & (1 << 25) - 1))
+        before = before[:, -span:]
     held = Counter(w for i0, i1 in found for w in whole[i0:i1])
     answered = sum(min(k, held[w]) for w, k in Counter(item.ids[item.rare].tolist()).items())
     if not best or answered < ANSWERED * item.rare.sum():
@@ -276,20 +274,6 @@ def repeated_share(item: Item, ids: np.ndarray, whole: list[int] | None = None,
     return best / n, len(found)
 
 
-def _running(now: list[np.ndarray], last: list[np.ndarray]) -> list[np.ndarray]:
-    """The part of most words among all that end at or before each place, `last` being those before the first column."""
-    code = now[0].astype(np.int64)
-    width = code.shape[1]
-    code = code * code.size + np.arange(code.size, dtype=np.int64).reshape(code.shape)
-    best = np.maximum.accumulate(np.maximum.accumulate(code, axis=0), axis=1) % max(1, code.size)
-    at = np.divmod(best, max(1, width))
-    out = [x[at] for x in now]
-    if last[0].shape[1]:
-        keep = np.broadcast_to(last[0], out[0].shape) >= out[0]
-        out = [np.where(keep, x, y) for x, y in zip(last, out)]
-    return out
-
-
 def _search(batches: Iterator[pa.RecordBatch], space: Space, items: list[Item]) -> Iterator[pa.RecordBatch]:
     wanted, owner = space.passages([x.ids for x in items])
     wanted = np.ascontiguousarray(wanted.T)
