@@ -31,7 +31,7 @@ class Register:
 
 @dataclass(frozen=True)
 class Reference:
-    """References of a table: target maps a register's name to the condition under which the column refers to it.
+    """References of a table; a row may hold several of a column, given as several rows. target maps a register's name to the condition under which the column refers to it.
 
     own_key names the column by which other tables refer to these rows, if they are records of a register.
     """
@@ -93,18 +93,20 @@ def orphans(registers: list[Register], refs: list[Reference], max_depth: int = 5
     reason = (
         F.when(F.col("known").isNull(), "missing").when(F.col("since") > F.col("at"), "late").when(F.col("until") <= F.col("at"), "deleted")
     )
-    checked = joined.withColumn("reason", reason)
     out = ["src_table", "column", "row_id", "at", "register", "key", "own_key"]
-    direct = checked.where("reason is not null").select(*out, "reason", F.lit("direct").alias("kind"), F.lit(0).alias("depth")).distinct()
+    checked = joined.select(*out, reason.alias("reason")).distinct()
     tables = {r.name for r in refs if r.own_key is not None} & {r.name for r in registers}
     if tables:
-        direct = cut(direct)
+        checked = cut(checked)  # looked up once; every depth reads it
+    direct = checked.where("reason is not null").select(*out, "reason", F.lit("direct").alias("kind"), F.lit(0).alias("depth"))
+    if tables:
         found, frontier = direct, direct
-        healthy = checked.where("reason is null").select(*out).distinct()
+        # only references to records that may themselves be orphaned can be reached
+        healthy = checked.where("reason is null").where(F.col("register").isin(*tables)).select(F.struct("register", "key").alias("ref"), *out)
         for depth in range(1, max_depth + 1):
-            hit = frontier.where(F.col("src_table").isin(*tables) & F.col("own_key").isNotNull()).select(F.col("src_table").alias("register"), F.col("own_key").alias("key")).distinct()
-            reached = healthy.join(hit, ["register", "key"], "left_semi").select(*out)
-            seen = found.select("src_table", "column", "row_id")
+            hit = frontier.where(F.col("src_table").isin(*tables) & F.col("own_key").isNotNull()).select(F.struct(F.col("src_table").alias("register"), F.col("own_key").alias("key")).alias("ref")).distinct()
+            reached = lookup_join(healthy, hit.withColumn("hit", F.lit(True)), "ref").where("hit").select(*out)
+            seen = found.select("src_table", "column", "row_id").distinct()
             new = reached.join(seen, ["src_table", "column", "row_id"], "left_anti")
             frontier = cut(new.withColumns({"reason": F.lit("inherited"), "kind": F.lit("indirect"), "depth": F.lit(depth)}))
             if frontier.isEmpty():
