@@ -104,6 +104,12 @@ def hits_of(text: Column, phrases: list[str]) -> Column:
     return F.array_compact(F.array(*found))
 
 
+def any_of(text: Column, phrases: list[str], words: bool = True) -> Column:
+    """FN-S3, FN-S14: whether the lower-cased text holds any phrase, between word boundaries or anywhere; one pattern, false for null."""
+    inner = "|".join("".join("\\" + c if not c.isalnum() and c != " " else c for c in p) for p in phrases)
+    return F.coalesce(F.lower(text).rlike(rf"\b(?:{inner})\b" if words else inner), F.lit(False))
+
+
 def parts_of(text: Column, phrases: list[str]) -> Column:
     """FN-S14: the phrases that the lower-cased text contains anywhere, in the order of the list."""
     low = F.lower(F.coalesce(text, F.lit("")))

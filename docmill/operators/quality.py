@@ -26,29 +26,27 @@ def rules(statement: str, criteria: str, method: str, cites: Column, invalid: Co
     """QA-1: the eight attributes of a statement, each as struct<score, note>.
 
     cites, invalid, unknown and sources are arrays; duplicate is the text of a near-duplicate or null. Null texts
-    count as empty. Cases are tried in order; the first that holds decides.
+    count as empty. Cases are tried in order; the first that holds decides. A list of phrases is one pattern; which of
+    its phrases a text holds is looked up only where a note names them.
     """
     s, c = F.coalesce(F.col(statement), F.lit("")), F.coalesce(F.col(criteria), F.lit(""))
-    low = F.lower(s)
-    weak, weak_c = T.hits_of(s, V.WEAK_WORDS), T.hits_of(c, V.WEAK_WORDS)
-    open_ended = T.parts_of(F.concat_ws("\n", s, c), V.PLACEHOLDERS)
-    absolute = T.parts_of(F.concat_ws("\n", s, c), V.ABSOLUTES)
+    low, both = F.lower(s), F.concat_ws("\n", s, c)
     shall = F.regexp_count(low, F.lit(r"\bshall\b"))
     compound = F.regexp_extract(s, V.COMPOUND, 0)
     empty = F.trim(F.regexp_replace(c, r"\s+", " ")) == ""
-    observable = c.rlike("[0-9]") | (F.size(T.parts_of(c, V.OBSERVABLE)) > 0)
+    observable = c.rlike("[0-9]") | T.any_of(c, V.OBSERVABLE, words=False)
     return {
         "necessary": _note((duplicate.isNotNull(), F.concat(F.lit("near-duplicate: "), F.substring(duplicate, 1, 60))), good="no near-duplicate"),
-        "unambiguous": _note((F.size(weak) > 0, F.concat(F.lit("weak terms: "), _some(weak, 4))), good="no weak term"),
-        "complete": _note((empty, "no acceptance criteria"), (F.size(open_ended) > 0, F.concat(F.lit("open-ended: "), F.array_join(open_ended, ", "))), good="complete"),
+        "unambiguous": _note((T.any_of(s, V.WEAK_WORDS), F.concat(F.lit("weak terms: "), _some(T.hits_of(s, V.WEAK_WORDS), 4))), good="no weak term"),
+        "complete": _note((empty, "no acceptance criteria"), (T.any_of(both, V.PLACEHOLDERS, words=False), F.concat(F.lit("open-ended: "), F.array_join(T.parts_of(both, V.PLACEHOLDERS), ", "))), good="complete"),
         "singular": _note(
             (shall > 1, F.concat(shall.cast("string"), F.lit(" times shall"))), (s.contains(";"), "semicolon"), (compound != "", F.concat(F.lit("compound: "), compound)), (shall == 0, "no shall"),
             good="one obligation",
         ),
-        "feasible": _note((F.size(absolute) > 0, F.concat(F.lit("absolute: "), _some(absolute, 2))), good="no absolute claim"),
+        "feasible": _note((T.any_of(both, V.ABSOLUTES, words=False), F.concat(F.lit("absolute: "), _some(T.parts_of(both, V.ABSOLUTES), 2))), good="no absolute claim"),
         "verifiable": _note(
             (empty, "no acceptance criteria"), (~F.coalesce(F.col(method).isin(V.METHODS), F.lit(False)), "unknown method"),
-            (F.size(weak_c) > 0, F.concat(F.lit("weak terms: "), _some(weak_c, 3))), (~observable, "nothing observable"), good="observable",
+            (T.any_of(c, V.WEAK_WORDS), F.concat(F.lit("weak terms: "), _some(T.hits_of(c, V.WEAK_WORDS), 3))), (~observable, "nothing observable"), good="observable",
         ),
         "conforming": _note((shall == 0, "no shall"), (~s.rlike(r"(?i)^\s*(the|a|an)\s+\w+"), "no actor"), (low.rlike(r"\b(because|in order to|so that|rationale)\b"), "rationale"), good="actor and shall"),
         "traceable": _note(
@@ -58,9 +56,10 @@ def rules(statement: str, criteria: str, method: str, cites: Column, invalid: Co
     }
 
 
-def score_rows(df: DataFrame, keys: list[str], scored: dict[str, Column]) -> DataFrame:
-    """QA-2: keys, attribute, rule_score, rule_note: one row per statement and attribute, by one narrow pass."""
-    items = F.array(*[F.struct(F.lit(a).alias("attribute"), x["score"].alias("rule_score"), x["note"].alias("rule_note")) for a, x in scored.items()])
+def score_rows(df: DataFrame, keys: list[str], scored: dict[str, Column], notes: bool = True) -> DataFrame:
+    """QA-2: keys, attribute, rule_score, rule_note: one row per statement and attribute, by one narrow pass; notes only if asked."""
+    said = (lambda x: [x["note"].alias("rule_note")]) if notes else (lambda x: [])
+    items = F.array(*[F.struct(F.lit(a).alias("attribute"), x["score"].alias("rule_score"), *said(x)) for a, x in scored.items()])
     return df.select(*keys, F.explode(items).alias("x")).select(*keys, "x.*")
 
 
@@ -69,6 +68,28 @@ def agreement(rule: Column, second: Column) -> Column:
     return F.when(second.isNull(), "no_llm_score").when(rule == second, "agree").otherwise("disagree")
 
 
+def read_scores(answer: Column, attributes: list[str]) -> Column:
+    """QA-3: array<struct<attribute, llm_score, llm_note>> of a second scorer's JSON answer, in the given order.
+
+    The answer holds {"scores": {attribute: {"score": n, "note": text}}} or {attribute: n}; a score other than 0 and 1,
+    one that is missing and one of an answer without JSON is null, its note empty.
+    """
+    score = lambda a: F.coalesce(F.get_json_object(answer, f"$.scores.{a}.score"), F.get_json_object(answer, f"$.scores.{a}"))
+    number = lambda a: score(a).try_cast("int")
+    return F.array(*[F.struct(F.lit(a).alias("attribute"), F.when(number(a).isin(0, 1), number(a)).alias("llm_score"), F.coalesce(F.get_json_object(answer, f"$.scores.{a}.note"), F.lit("")).alias("llm_note")) for a in attributes])
+
+
+def merged_scores(rules: DataFrame, second: DataFrame, keys: list[str], weak: list[str]) -> DataFrame:
+    """QA-4, JOIN-1: rule scores left-joined with the second scorer's: keys, rule_score, llm_score, agreement, note.
+
+    The note names both, led by a mark for attributes that a rule can decide only weakly. second has one row per key.
+    """
+    met = rules.join(second, keys, "left")
+    said = F.concat(F.lit("rule: "), F.coalesce("rule_note", F.lit("")), F.when(F.trim(F.coalesce("llm_note", F.lit(""))) != "", F.concat(F.lit(" || llm: "), F.col("llm_note"))).otherwise(""))
+    marked = F.when(F.col("attribute").isin(weak), F.concat(F.lit("[rule weakly decidable] "), said)).otherwise(said)
+    return met.select(*keys, "rule_score", "llm_score", agreement(F.col("rule_score"), F.col("llm_score")).alias("agreement"), marked.alias("note"))
+
+
 def undefined_terms(text: Column, known: list[str]) -> Column:
     """QA-6, FN-S7: acronyms of two or more capitals or digits that the glossary doesn't hold, compared in capitals."""
     found = F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?<![\w-])[A-Z][A-Z0-9]+(?![\w-])"), F.lit(0)))

@@ -42,16 +42,24 @@ def unknown_chunk_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 def rule_scores_long(spark: SparkSession, folder: str) -> DataFrame:
     """QA-1, QA-2."""
+    return _scored(spark, folder, False).select("rtm_id", "attribute", "rule_score")
+
+
+def _scored(spark: SparkSession, folder: str, notes: bool) -> DataFrame:
     r = requirements(spark, folder)
-    bad = unknown_chunk_ids(spark, folder).groupBy("rtm_id").agg(F.array_sort(F.collect_list("id")).alias("unknown"))
+    unknown = unknown_chunk_ids(spark, folder)
+    bad = unknown.groupBy("rtm_id").agg(F.array_sort(F.collect_list("id")).alias("unknown"))
     twin = near_duplicate_first(spark, folder)
-    text = r.select(F.col("rtm_id").alias("other"), F.col("statement").alias("twin"))
-    full = r.join(bad, "rtm_id", "left").join(twin.join(text, "other"), "rtm_id", "left")
+    if notes:  # the twin's text is part of a note; its key is enough for a score
+        twin = lookup_join(twin, r.select(F.col("rtm_id").alias("other"), F.col("statement").alias("twin")), "other")
+    else:
+        twin = twin.withColumn("twin", F.lit("near"))
+    full = r.join(bad, "rtm_id", "left").join(twin, "rtm_id", "left")
     none = F.array().cast("array<string>")
     scored = quality.rules(
         "statement", "acceptance_criteria", "verification_method", F.col("cites"), none, F.coalesce("unknown", none), F.col("sources"), F.coalesce(F.col("origin") == "control_gap", F.lit(False)), F.col("twin")
     )
-    return quality.score_rows(full, ["rtm_id"], scored).select("rtm_id", "attribute", "rule_score")
+    return quality.score_rows(full, ["rtm_id"], scored, notes)
 
 
 def rule_pass_rate(spark: SparkSession, folder: str) -> DataFrame:
