@@ -197,9 +197,9 @@ class Item:
 def lcs(item: Item, j0: int, j1: int, text: list[int]) -> int:
     """Length of the longest common subsequence of the item's words j0 to j1 and text (bit-parallel)."""
     full = (1 << (j1 - j0)) - 1
-    row = full
-    for w in text:
-        hit = row & (item.bits.get(w, 0) >> j0)
+    row, bits = full, item.bits
+    for w in filter(bits.__contains__, text):
+        hit = row & (bits[w] >> j0)
         row = (row + hit | row - hit) & full
     return (j1 - j0) - row.bit_count()
 
@@ -213,22 +213,29 @@ def _ends(item: np.ndarray, text: np.ndarray) -> np.ndarray:
     """For each word of the item and of a piece of text: the best part that ends there, as one number (see GAIN).
 
     A part is a local alignment: an equal word gains one, a word changed, left out or put in costs one, and a part
-    starts anew where nothing is gained. Of parts of equal gain that of more words counts.
+    starts anew where its gain would fall below none. Of parts of equal gain that of more words counts.
     """
     n, w = len(item), len(text)
-    one, place = 1 << GAIN, np.arange(w + 1, dtype=np.int64)
-    fresh, slope = place << FIRST, place << GAIN
-    cell, out = fresh.copy(), np.empty((n, w), np.int64)
+    one, place = 1 << GAIN, np.arange(w, dtype=np.int64)
+    slope, fresh = place << GAIN, (place + 1) << FIRST
+    out, across = np.empty((n, w), np.int64), np.empty(w, np.int64)
     step: dict[int, np.ndarray] = {}
+    above = place + 1 << FIRST
     for j, word in enumerate(item.tolist()):
         if word not in step:
             step[word] = np.where(text == word, one + (1 << WORDS), -one)
-        now = np.maximum(cell[:-1] + step[word], cell[1:] - one)
-        now = np.where(now < one, fresh[1:] | (j + 1), now)
-        cell[0] = j + 1
-        cell[1:] = np.maximum.accumulate(now + slope[1:]) - slope[1:]  # words put in: a part goes on along the text
-        out[j] = np.where(cell[1:] < one, fresh[1:] | (j + 1), cell[1:])
-        cell[1:] = out[j]
+        row = out[j]
+        across[0] = j  # a part that starts at the text's first word
+        across[1:] = above[:-1]
+        across += step[word]
+        np.subtract(above, one, out=row)
+        np.maximum(row, across, out=row)
+        fresh += 1
+        np.maximum(row, fresh, out=row)
+        row += slope
+        np.maximum.accumulate(row, out=row)  # words put in: a part goes on along the text
+        row -= slope
+        above = row
     return out
 
 

@@ -75,7 +75,7 @@ def brute_parts(item, text):
         for i in range(1, m + 1):
             same = item[j - 1] == text[i - 1]
             best = max((cell[j - 1][i - 1][0] + (1 if same else -1), "d"), (cell[j - 1][i][0] - 1, "c"), (cell[j][i - 1][0] - 1, "a"))
-            if best[0] > 0:
+            if best[0] >= 0:
                 from_ = {"d": cell[j - 1][i - 1], "c": cell[j - 1][i], "a": cell[j][i - 1]}[best[1]]
                 cell[j][i] = (best[0], from_[1] + (same and best[1] == "d"), from_[2], from_[3])
                 ends.append((cell[j][i][1], cell[j][i][2], i, cell[j][i][3], j))
