@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docmill.functions import text as T
 from docmill.functions import values as V
-from docmill.session import lookup_join
+from docmill.session import cut, lookup_join
 
 
 def cited(text: Column) -> Column:
@@ -47,24 +51,55 @@ def citation_rows(df: DataFrame, key: str, text: Column) -> DataFrame:
     return rows.select("k", context.alias("context"), F.explode(first).alias("x")).select(F.col("k").alias(key), "context", "x.kind", "x.entity", "x.lookup")
 
 
+#: Strings that one automaton searches for at once; more are searched in blocks, each a pass over the corpus.
+NEEDLES = 200_000
+
+
+def containing(corpus: DataFrame, doc: str, text: Column, needles: DataFrame, needle: str) -> DataFrame:
+    """needle and d: every corpus row (by its id d) whose text contains a needle anywhere, each pair once.
+
+    One narrow pass over the corpus for each NEEDLES distinct needles: an automaton of all of them reads every text
+    once, and only ids leave the pass. Null and empty needles and null texts match nothing.
+    """
+    import ahocorasick
+
+    wanted = cut(needles.select(F.col(needle).alias("needle")).where("needle <> ''").distinct())
+    blocks = -(-wanted.count() // NEEDLES)
+    rows = corpus.select(F.col(doc).alias("d"), text.alias("t")).where("d is not null and t is not null")
+    kind = rows.schema["d"].dataType.simpleString()
+    found = None
+    for block in range(blocks):
+        part = [r["needle"] for r in wanted.where(F.pmod(F.xxhash64("needle"), F.lit(blocks)) == block).collect()]  # about NEEDLES
+
+        def search(batches: Iterator[pa.RecordBatch], part: list[str] = part) -> Iterator[pa.RecordBatch]:
+            machine = ahocorasick.Automaton()
+            for k, w in enumerate(part):
+                machine.add_word(w, k)
+            machine.make_automaton()
+            for batch in batches:
+                at, which = [], []
+                for row, t in enumerate(batch.column(1).to_pylist()):
+                    hits = {k for _, k in machine.iter(t)}
+                    at += [row] * len(hits)
+                    which += [part[k] for k in hits]
+                yield pa.RecordBatch.from_arrays([pa.array(which, pa.string()), batch.column(0).take(pa.array(at, pa.int64()))], names=["needle", "d"])
+
+        one = rows.mapInArrow(search, f"needle string, d {kind}")
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        found = rows.select(F.lit("").alias("needle"), "d").where("false")
+    return found.distinct()
+
+
 def corpus_presence(lookups: DataFrame, corpus: DataFrame, doc: str, text: str) -> DataFrame:
-    """HAL-2 to HAL-4: lookup and n_docs, the number of corpus rows whose normalised text contains it; 0 if none.
+    """HAL-2 to HAL-4, TXT-15: lookup and n_docs, the number of corpus rows whose normalised text contains it; 0 if none.
 
-    A row is a candidate for a lookup if one of its words contains the longest word part of the lookup; the distinct
-    words of the corpus are counted before they meet the lookups, and only ids travel. Candidates are checked by
-    containment, so parts of longer words count: 164.30 is found in 164.308.
+    Containment is that of characters, so parts of longer words count: 164.30 is found in 164.308. Corpus rows
+    delivered several times count once, by their id.
     """
     wanted = lookups.select("lookup").where("lookup <> ''").distinct()
-    longest = F.element_at(F.array_sort(F.transform(F.regexp_extract_all("lookup", F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
-    asked = wanted.withColumn("part", longest).where("part is not null").withColumn("gram", F.substring("part", 1, 2))
-    docs = corpus.select(F.col(doc).alias("d"), T.normal(F.col(text)).alias("norm")).where("norm is not null")
-    words = docs.select("d", F.explode(F.array_distinct(F.regexp_extract_all("norm", F.lit("[a-z0-9]+"), F.lit(0)))).alias("word"))
-    starts = F.sequence(F.lit(1), F.greatest(F.length("word") - 1, F.lit(1)))
-    grams = words.select("word").distinct().select("word", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring("word", i, F.lit(2))))).alias("gram"))
-    holding = grams.join(asked, "gram").where(F.col("word").contains(F.col("part"))).select("lookup", "word").distinct()
-    candidates = words.join(holding, "word").select("d", "lookup").distinct()
-    hits = candidates.join(docs, "d").where(F.col("norm").contains(F.col("lookup"))).select("d", "lookup").distinct()
-    return wanted.join(hits.groupBy("lookup").agg(F.count(F.lit(1)).alias("n_docs")), "lookup", "left").select("lookup", F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
+    hits = containing(corpus, doc, T.normal(F.col(text)), wanted, "lookup").groupBy(F.col("needle").alias("lookup")).agg(F.count(F.lit(1)).alias("n_docs"))
+    return wanted.join(hits, "lookup", "left").select("lookup", F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
 
 
 def severity(verdict: Column, critical: Column) -> Column:
@@ -91,22 +126,72 @@ def citation_verdicts(rows: DataFrame, presence: DataFrame, parts: list[str] | N
     return joined.where((F.col("kind") != "fhir_resource") | there | known | F.col("context")).withColumn("verdict", verdict)
 
 
-def quote_verdicts(quotes: DataFrame, key: str, quote: str, cites: str, chunks: DataFrame, chunk_id: str, text: str, least: int = 12) -> DataFrame:
+#: Letters of a seed, and seeds of which the smallest stands for all: any quote of at least both together shares one with its source.
+SEED, WINDOW = 12, 32
+#: Places of the filter that seeds of quotes leave for the corpus: a fixed size.
+FILTER = 1 << 20
+
+
+def _seeds(batches: Iterator[pa.RecordBatch], wanted: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Columns but the last, seed and pos (from 0) of the seeds of each text: the smallest hash of each WINDOW runs of SEED letters."""
+    for batch in batches:
+        at, seeds, places = [], [], []
+        for row, t in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+            b = np.frombuffer(t.encode(), np.uint8).astype(np.uint64)
+            n = len(b) - SEED + 1
+            if n < WINDOW:
+                continue
+            h = np.zeros(n, np.uint64)
+            for k in range(SEED):
+                h = h * np.uint64(0x9E3779B97F4A7C15) + b[k : k + n]
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(32)
+            first = np.unique(np.arange(n - WINDOW + 1) + np.lib.stride_tricks.sliding_window_view(h, WINDOW).argmin(axis=1))
+            if wanted is not None:
+                first = first[wanted[(h[first] & np.uint64(FILTER - 1)).astype(np.int64)]]
+            at.append(np.full(len(first), row))
+            seeds.append(h[first].view(np.int64))
+            places.append(first.astype(np.int32))
+        rows = pa.array(np.concatenate(at) if at else np.empty(0, np.int64))
+        kept = [batch.column(k).take(rows) for k in range(batch.num_columns - 1)]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(np.concatenate(seeds) if at else [], pa.int64()), pa.array(np.concatenate(places) if at else [], pa.int32())], names=[*batch.schema.names[:-1], "seed", "pos"])
+
+
+def quote_verdicts(quotes: DataFrame, key: str, quote: str, cites: str, chunks: DataFrame, chunk_id: str, text: str, least: int = SEED) -> DataFrame:
     """HAL-5: key and verdict of each quote, compared by letters and digits only.
 
     unverifiable if shorter than `least`; verified if a cited chunk holds it, misattributed if any other does, else
-    fabricated. Chunks are searched by the hash of each quote's first `least` characters; quotes are a stated query set, whose
-    distinct hashes filter those of the corpus before anything else travels. Null and empty quotes give no row.
+    fabricated. Every quote of all rows is searched for in every chunk: a long quote by its seed that the fewest chunks
+    share (a seed that none has rules it out), its place there by a hash of what stands at it; a short one by an automaton.
+    Quotes' texts don't travel, only their hashes. Null and empty quotes give no row; keys and chunks count once.
     """
-    asked = quotes.select(F.col(key).alias("k"), T.only_words(F.col(quote)).alias("q"), F.col(cites).alias("c")).where(F.length(F.trim(F.col(quote))) > 0)
-    long = asked.where(F.length("q") >= least).withColumn("seed", F.xxhash64(F.substring("q", 1, least)))
-    corpus = chunks.select(F.col(chunk_id).alias("id"), T.only_words(F.col(text)).alias("body")).where(F.length("body") >= least)
-    seeds = corpus.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.length("body") - least + 1), lambda i: F.xxhash64(F.substring("body", i, F.lit(least))))).alias("seed"))
-    candidates = seeds.join(long.select("seed").distinct(), "seed", "left_semi").distinct().join(long, "seed").select("id", "k", "q", "c")
-    hits = candidates.join(corpus, "id").where(F.col("body").contains(F.col("q")))
-    found = hits.groupBy("k").agg(F.bool_or(F.array_contains("c", F.col("id"))).alias("own"))
-    verdict = F.when(F.length("q") < least, "unverifiable").when(F.col("own"), "verified").when(~F.col("own"), "misattributed").otherwise("fabricated")
-    return asked.join(found, "k", "left").select(F.col("k").alias(key), verdict.alias("verdict"))
+    rows = quotes.select(F.col(key).alias("k"), T.only_words(F.col(quote)).alias("q"), F.col(cites).alias("c"), (F.length(F.trim(F.col(quote))) > 0).alias("some")).where("some and k is not null")
+    asked = cut(rows.select("k", "c", F.xxhash64("q").alias("qh"), F.length("q").alias("n")).dropDuplicates(["k"]))
+    body = chunks.select(F.col(chunk_id).alias("id"), T.only_words(F.col(text)).alias("body")).where(F.length("body") >= least)
+    kind = body.schema["id"].dataType.simpleString()
+    long = SEED + WINDOW - 1
+
+    own_seeds = cut(rows.where(F.length("q") >= long).select(F.xxhash64("q").alias("qh"), F.length("q").alias("n"), "q").mapInArrow(_seeds, "qh long, n int, seed long, pos int").distinct())
+    wanted = np.zeros(FILTER, bool)
+    for r in own_seeds.select(F.expr(f"seed & {FILTER - 1}").alias("p")).distinct().collect():  # at most FILTER
+        wanted[r["p"]] = True
+    held = cut(body.where(F.length("body") >= long).mapInArrow(lambda it: _seeds(it, wanted), f"id {kind}, seed long, pos int").distinct())
+    numbers = held.groupBy("seed").agg(F.countDistinct("id").alias("docs"))
+    rated = lookup_join(own_seeds, numbers, "seed").withColumn("docs", F.coalesce("docs", F.lit(0)))
+    best = rated.groupBy("qh", "n").agg(F.min_by(F.struct("docs", "seed", "pos"), F.struct("docs", "seed", "pos")).alias("b")).where("b.docs > 0")
+    best = best.select("qh", "n", "b.seed", F.col("b.pos").alias("offset"))
+    places = best.join(held, "seed").select("id", "qh", "n", (F.col("pos") - F.col("offset")).alias("at")).where("at >= 0").distinct()
+    hits = places.join(body, "id").where(F.xxhash64(F.substring("body", F.col("at") + 1, F.col("n"))) == F.col("qh")).select("qh", "id")
+
+    short = rows.where(F.length("q").between(least, long - 1)).select("q").distinct()
+    brief = containing(body, "id", F.col("body"), short, "q").select(F.xxhash64("needle").alias("qh"), F.col("d").alias("id"))
+    hits = cut(hits.unionByName(brief).distinct())
+
+    cited = asked.where(F.col("n") >= least).select("k", F.explode("c").alias("id"), "qh").select("k", F.struct("qh", "id").alias("pair")).distinct()
+    own = lookup_join(cited, hits.select(F.struct("qh", "id").alias("pair"), F.lit(True).alias("own")), "pair").where("own").select("k", "own").distinct()
+    anywhere = lookup_join(asked.select("k", "qh", "n"), hits.select("qh").distinct().withColumn("there", F.lit(True)), "qh")
+    verdict = F.when(F.col("n") < least, "unverifiable").when(F.col("own"), "verified").when(F.col("there"), "misattributed").otherwise("fabricated")
+    return anywhere.join(own, "k", "left").select(F.col("k").alias(key), verdict.alias("verdict"))
 
 
 def unknown_ids(df: DataFrame, key: str, ids: str, known: DataFrame, known_id: str) -> DataFrame:

@@ -109,7 +109,7 @@ def entity_extract(spark: SparkSession, folder: str) -> DataFrame:
 def citation_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     """HAL-2, HAL-3, HAL-4, HAL-7."""
     rows = cut(_cited(spark, folder))  # a few citations a row, read by the search and by the join
-    v = audit.citation_verdicts(rows, audit.corpus_presence(rows, chunks(spark, folder), "chunk_id", "text"), ["430", "440", "450"])
+    v = audit.citation_verdicts(rows, audit.corpus_presence(rows, read_table(spark, folder, "chunks"), "chunk_id", "text"), ["430", "440", "450"])
     return v.select("rtm_id", "kind", "entity", "verdict", audit.severity(F.col("verdict"), F.lit(False)).alias("severity"))
 
 
@@ -119,9 +119,9 @@ def severity_matrix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def quote_audit(spark: SparkSession, folder: str) -> DataFrame:
-    """HAL-5: texts of the hits whose id is divisible by 20, as quotes of their chunks, against all chunks."""
-    q = read_table(spark, folder, "hits").where("hit_id % 20 = 0").dropDuplicates(["hit_id"]).withColumn("c", F.array("chunk_id"))
-    return audit.quote_verdicts(q, "hit_id", "text", "c", chunks(spark, folder), "chunk_id", "text")
+    """HAL-5: the texts of all hits, as quotes of their chunks, against all chunks."""
+    q = read_table(spark, folder, "hits").withColumn("c", F.array("chunk_id"))
+    return audit.quote_verdicts(q, "hit_id", "text", "c", read_table(spark, folder, "chunks"), "chunk_id", "text")
 
 
 def confidence(spark: SparkSession, folder: str) -> DataFrame:
@@ -344,7 +344,7 @@ SQL = {
     "citation_verdicts": _CITE + "SELECT rtm_id, kind, entity, verdict, severity FROM w",
     "severity_matrix": _CITE + "SELECT kind, verdict, severity, count(*) AS n FROM w GROUP BY ALL",
     "quote_audit": """
-        WITH q AS (SELECT DISTINCT hit_id, chunk_id, regexp_replace(lower(text), '[^0-9a-z]', '', 'g') AS q FROM hits WHERE hit_id % 20 = 0 AND length(trim(text, ' ')) > 0),
+        WITH q AS (SELECT DISTINCT hit_id, chunk_id, regexp_replace(lower(text), '[^0-9a-z]', '', 'g') AS q FROM hits WHERE length(trim(text, ' ')) > 0),
         c AS (SELECT DISTINCT chunk_id, regexp_replace(lower(text), '[^0-9a-z]', '', 'g') AS b FROM chunks)
         SELECT hit_id, CASE WHEN length(q) < 12 THEN 'unverifiable' WHEN EXISTS (SELECT 1 FROM c WHERE c.chunk_id = q.chunk_id AND contains(b, q)) THEN 'verified'
             WHEN EXISTS (SELECT 1 FROM c WHERE contains(b, q)) THEN 'misattributed' ELSE 'fabricated' END AS verdict FROM q

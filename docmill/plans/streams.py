@@ -34,7 +34,9 @@ def markup_sections(spark: SparkSession, folder: str) -> DataFrame:
     """TXT-2: chunks written as markup, and their sections read again."""
     c = read_table(spark, folder, "chunks").dropDuplicates(["chunk_id"])
     plain = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    html = F.concat(F.lit("<html><head><script>var x = 1 < 2;</script></head><body><nav><p>Menu</p></nav><h2>7.1 Part</h2><p>"), plain, F.lit("</p><h3>Notes &amp; terms</h3><li>None</li></body></html>"))
+    before = '<html><head><script>var x = 1 < 2;</script></head><body><p>Outside</p><div id="tabs"><nav><p>Menu</p></nav><div class="top navbar"><p>Bar</p></div><h2>7.1 <b>Part</b> one</h2><p>'
+    after = "</p><h3>Notes &amp; terms</h3><ul><li>None<li><b>At</b> all</ul><footer><p>Foot</p></footer></div><p>Below</p></body></html>"
+    html = F.concat(F.lit(before), plain, F.lit(after))
     return markup.sections(c.select("chunk_id", html.alias("html")), "chunk_id", "html").select("chunk_id", "section", "heading", F.md5(F.col("body").cast("binary")).alias("body_md5"))
 
 
@@ -56,8 +58,8 @@ SQL = {
     """,
     "json_recovery": "SELECT event_id, props IS NOT NULL AS found, json_extract_string(props, '$.k') AS k FROM events",
     "markup_sections": r"""
-        WITH c AS (SELECT DISTINCT chunk_id, trim(regexp_replace(text, '[ \t\n\r\f\v\x{a0}]+', ' ', 'g'), ' ') AS t FROM chunks)
-        SELECT chunk_id, '7.1' AS section, '7.1 Part' AS heading, md5(t) AS body_md5 FROM c WHERE t <> '' UNION ALL SELECT chunk_id, 'notes-terms', 'Notes & terms', md5('None') FROM c WHERE t IS NOT NULL
+        WITH c AS (SELECT DISTINCT chunk_id, regexp_replace(regexp_replace(regexp_replace(translate(text, chr(160) || chr(8209), ' -'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t FROM chunks)
+        SELECT chunk_id, '7.1' AS section, 'Part one' AS heading, md5(t) AS body_md5 FROM c WHERE t <> '' UNION ALL SELECT chunk_id, 'notes-terms', 'Notes & terms', md5('None' || chr(10) || 'At all') FROM c WHERE t IS NOT NULL
     """,
     "marked_sections": r"""
         SELECT DISTINCT chunk_id, trim(section) AS section, trim(coalesce(heading, ''), ' ') AS heading FROM chunks WHERE trim(text, e' \n\r\t') <> ''

@@ -10,7 +10,10 @@ from docmill.streaming import events
 
 def test_html():
     html = "<nav><p>no</p></nav><p>pre</p><h2>7.1 Name</h2><p>a&nbsp;b</p><script>x</script><ul><li>c <p>d</p></li></ul><h3>Notes!</h3><h4>Last</h4><td>e"
-    assert markup.html_sections(html) == [(0, "0", "Preamble", "pre"), (1, "7.1", "7.1 Name", "a b\nc d\nd"), (3, "last", "Last", "e")]
+    assert markup.html_sections(html) == [(0, "0", "Preamble", "pre"), (1, "7.1", "Name", "a b\nc d\nd"), (3, "last", "Last", "e")]
+    page = '<p>out</p><div id="tabs"><h2>2) A <i>b</i></h2><p>x<p>y<div class="nav big">n</div><ul><li>k<li>l</ul><div id="segment-footer"><p>f</p></div></div><p>below</p><footer><p>z</p></footer>'
+    assert markup.html_sections(page) == [(1, "2-a-b", "2) A b", "x\ny\nk\nl")]
+    assert markup.html_sections('<div id="tabs"><p>a</p></div><div id="segment-content"><p>b</p></div>') == [(0, "0", "Preamble", "b")]
     assert markup.html_sections("") == [] and markup.html_sections(None) == []
 
 
