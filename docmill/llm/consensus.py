@@ -23,8 +23,8 @@ MET = ["1", "1.0", "pass", "passed", "yes", "y", "true", "t", "met", "accept", "
 NOT_MET = ["0", "0.0", "fail", "failed", "no", "n", "false", "f", "not met", "unmet", "reject", "rejected", "not ok", "disagree", "not satisfied"]
 #: Types of annotators, weight of a type's matrix in an annotator's own, prior counts of a type (right, wrong).
 TYPES, WEIGHT, PRIOR = 4, 12.0, (4.0, 2.0)
-#: Iterations at most, and the change of any matrix entry at which they end.
-ITERATIONS, CHANGE = 30, 1e-3
+#: Iterations at most, and the change of any matrix entry at which they end; it is an error if they don't.
+ITERATIONS, CHANGE = 200, 1e-3
 #: Annotators' matrices are held by every task; more annotators than this are refused.
 MOST_ANNOTATORS = 100_000
 
@@ -35,6 +35,12 @@ def verdict(wording: Column) -> Column:
     return F.when(said.isin(MET), 1).when(said.isin(NOT_MET), 0)
 
 
+def unread(df: DataFrame, wording: str) -> DataFrame:
+    """wording (in lower case, trimmed) and n of the adjudications that verdict() reads as none; nulls and blanks are left out."""
+    said = F.lower(F.regexp_replace(F.btrim(F.col(wording).cast("string"), F.lit(" \t\r\n\xa0.!")), r"\s+", " "))
+    return df.where(verdict(F.col(wording)).isNull() & (said != "")).groupBy(said.alias("wording")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def votes(df: DataFrame, row_id: str, item: list[str], sources: dict[str, Column]) -> DataFrame:
     """One row per item and annotator: the item's columns, annotator, n1 (labels 1) and n (labels).
 
@@ -137,11 +143,27 @@ def _start(counts: np.ndarray) -> np.ndarray:
     return np.eye(TYPES)[(rank * TYPES // max(1, len(rank))).astype(int)] * 0.8 + 0.2 / TYPES
 
 
+def overall_agreement(labels: DataFrame, item: list[str]) -> DataFrame:
+    """n_items, observed, expected and alpha (Krippendorff's, 4 digits) of votes as made by votes(), items with two annotators or more.
+
+    An annotator's labels on an item are one vote, a share of 1; alpha is null if all votes are alike. All by partial sums.
+    """
+    one = F.col("n1") / F.col("n")
+    g = labels.groupBy(*item).agg(F.count(F.lit(1)).alias("m"), F.sum(one).alias("ones"), F.sum(one * one + (1 - one) * (1 - one)).alias("own")).where("m > 1")
+    agree = (F.col("ones") ** 2 + (F.col("m") - F.col("ones")) ** 2 - F.col("own")) / (F.col("m") - 1)
+    t = g.agg(F.count(F.lit(1)).alias("n_items"), F.sum("m").alias("m"), F.sum("ones").alias("ones"), F.sum(agree).alias("agree"))
+    zeros = F.col("m") - F.col("ones")
+    observed, expected = F.col("agree") / F.col("m"), (F.col("ones") * (F.col("ones") - 1) + zeros * (zeros - 1)) / (F.col("m") * (F.col("m") - 1))
+    t = t.select("n_items", F.when(F.col("m") > 0, observed).alias("observed"), F.when(F.col("m") > 1, expected).alias("expected"))
+    return t.select("n_items", F.round("observed", 4).alias("observed"), F.round("expected", 4).alias("expected"), F.round(F.when(F.col("expected") < 1, 1 - (1 - F.col("observed")) / (1 - F.col("expected"))), 4).alias("alpha"))
+
+
 def consensus(labels: DataFrame, item: list[str]) -> tuple[DataFrame, DataFrame]:
     """(verdicts, annotators) of votes as made by votes().
 
     verdicts: the item's columns, verdict (1 if the chance of 1 is at least a half, else 0), p_met, agreement (the
     share of pairs of different annotators' labels that agree; null for a single annotator), n_annotators, n_labels.
+    overall_agreement() of them is corrected for chance.
     annotators: annotator, annotator_type, sensitivity, specificity, reliability (their mean), n_items. An annotator
     has one vote on an item, shared among the labels it gave there.
     """
@@ -168,8 +190,11 @@ def consensus(labels: DataFrame, item: list[str]) -> tuple[DataFrame, DataFrame]
             _, counts, items = counted(model)
             last = model.matrix
             model, types = _update(codes, counts, items, types)
-            if np.abs(model.matrix - last).max() < CHANGE:
+            moved = np.abs(model.matrix - last).max()
+            if moved < CHANGE:
                 break
+        else:
+            raise RuntimeError(f"the annotators' matrices still move by {moved:.4f} after {ITERATIONS} iterations; raise ITERATIONS")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -19,6 +19,14 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_oversized(read_table(spark, folder, "hits"), "hit_id", "text", "heading")
 
 
+def p1_cover(spark: SparkSession, folder: str) -> DataFrame:
+    """Of every oversized hit: its words, whether all pieces fit, and whether all but the first repeat 120 words and no word is lost."""
+    p = p1_pieces(spark, folder).withColumn("own", F.col("start_word") + F.col("n_words") - F.col("new_word"))
+    repeats = F.when(F.col("piece_no") == 1, F.col("new_word") == F.col("start_word")).otherwise(F.col("new_word") - F.col("start_word") == splitting.OVERLAP)
+    g = p.groupBy("hit_id").agg(F.max(F.col("start_word") + F.col("n_words")).alias("n_words"), F.bool_and(F.col("n_words") <= splitting.LIMIT).alias("fits"), F.bool_and(repeats).alias("repeats"), F.sum("own").alias("own"))
+    return g.select("hit_id", F.col("n_words").cast("long").alias("n_words"), "fits", (F.col("repeats") & (F.col("own") == F.col("n_words"))).alias("overlaps"))
+
+
 #: Jaccard similarity of two rows' words from which they are near-duplicates in this project's data.
 ALIKE = 0.7
 
@@ -38,10 +46,16 @@ def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.groups(links, members).withColumnRenamed("key", "rtm_id")
 
 
-def _consensus(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    item = ["req_id", "attribute"]
+ITEM = ["req_id", "attribute"]
+
+
+def _votes(spark: SparkSession, folder: str) -> DataFrame:
     sources = {"rule_set": F.col("rule_score"), "llm_model": F.col("llm_score"), "adjudicator": consensus.verdict(F.col("human_adjudication"))}
-    return consensus.consensus(consensus.votes(read_table(spark, folder, "validation_29148"), "score_id", item, sources), item)
+    return consensus.votes(read_table(spark, folder, "validation_29148"), "score_id", ITEM, sources)
+
+
+def _consensus(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return consensus.consensus(_votes(spark, folder), ITEM)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,6 +73,16 @@ def p4_annotators(spark: SparkSession, folder: str) -> DataFrame:
     return _consensus(spark, folder)[1].join(read_table(spark, folder, "annotators").select(F.col("annotator_id").alias("annotator"), "kind").distinct(), "annotator", "left")
 
 
+def p4_agreement(spark: SparkSession, folder: str) -> DataFrame:
+    """How far all labels agree beyond chance."""
+    return consensus.overall_agreement(_votes(spark, folder), ITEM)
+
+
+def p4_unread(spark: SparkSession, folder: str) -> DataFrame:
+    """Wordings of adjudications that hold no verdict, with their numbers."""
+    return consensus.unread(read_table(spark, folder, "validation_29148").dropDuplicates(["score_id"]), "human_adjudication")
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
     return tokenids.token_ids(read_table(spark, folder, "documents"), "doc_id", "text")
@@ -93,4 +117,4 @@ def p8_shapes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p4_found, p4_verdicts, p4_annotators, p6_ids, p6_text, p7_found, p7_leaks, p8_found, p8_shapes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_cover, p2_found, p2_groups, p4_found, p4_verdicts, p4_annotators, p4_agreement, p4_unread, p6_ids, p6_text, p7_found, p7_leaks, p8_found, p8_shapes)}

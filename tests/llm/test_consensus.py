@@ -59,3 +59,17 @@ def test_wordings(spark):
     said = ["1", " 1", "1.0", "PASS", "Y", "not ok", "FAIL", "0 ", "False", "see note", "-", "", None, "n/a", "?"]
     df = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "i int, s string")
     assert [r["v"] for r in df.orderBy("i").select(C.verdict(F.col("s")).alias("v")).collect()] == [1, 1, 1, 1, 1, 0, 0, 0, 0] + [None] * 6
+
+
+def test_chance_corrected_agreement(spark):
+    rows = [("a", "x", 1, 1), ("a", "y", 1, 1), ("b", "x", 0, 1), ("b", "y", 0, 2), ("c", "x", 1, 1), ("c", "y", 0, 1), ("d", "x", 1, 1)]
+    df = spark.createDataFrame(rows, "item string, annotator string, n1 long, n long")
+    got = C.overall_agreement(df, ["item"]).collect()[0]
+    # two of three pairs agree; three of six votes are 1: expected (3 * 2 + 3 * 2) / 30
+    assert (got["n_items"], got["observed"], got["expected"]) == (3, 0.6667, 0.4) and abs(got["alpha"] - (1 - (1 / 3) / 0.6)) < 1e-3
+    assert C.overall_agreement(df.limit(0), ["item"]).collect()[0]["alpha"] is None
+
+
+def test_unread_wordings_are_counted(spark):
+    df = spark.createDataFrame([("Pass.",), ("see note",), ("See  note!",), (None,), (" ",), ("0",)], "w string")
+    assert [tuple(r) for r in C.unread(df, "w").collect()] == [("see note", 2)]
