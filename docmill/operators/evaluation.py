@@ -71,3 +71,33 @@ def kept_verdicts(fresh: DataFrame, old: DataFrame, keys: list[str], column: str
 def numbered(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
     """WIN-1: adds a running number from 1 within each group."""
     return df.withColumn(name, F.row_number().over(W.partitionBy(group).orderBy(*order)))
+
+
+def caught(seeds: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """EVL-3, JOIN-16: n_seeds, n_caught and recall (3 digits, half-even; null without seeds) of distinct seeds among what was found."""
+    there = found.select(key).distinct().withColumn("_t", F.lit(1))
+    g = seeds.select(key).distinct().join(there, key, "left").agg(F.count(F.lit(1)).alias("n_seeds"), F.count("_t").alias("n_caught"))
+    return g.withColumn("recall", half_even(F.when(F.col("n_seeds") > 0, F.col("n_caught") / F.col("n_seeds"))))
+
+
+def replayed(df: DataFrame, seed: str, conditions: dict[str, Column], patterns: list[str]) -> DataFrame:
+    """EVL-7: condition, n_attacks and n_succeeded: of the texts of `seed` that hold a pattern, how many still do in each condition."""
+    any_ = "|".join(f"(?:{p})" for p in patterns)
+    texts = df.where(F.col(seed).rlike(any_)).select(F.explode(F.array(*[F.struct(F.lit(n).alias("condition"), c.alias("t")) for n, c in conditions.items()])).alias("x"))
+    return texts.groupBy("x.condition").agg(F.count(F.lit(1)).alias("n_attacks"), F.count_if(F.col("x.t").rlike(any_)).alias("n_succeeded"))
+
+
+def hits_at(ranked: DataFrame, expected: DataFrame, key: str, item: str, place: str) -> DataFrame:
+    """EVL-6: n, top1 and top2: shares of expected items that are ranked first, and first or second (3 digits, half-even)."""
+    met = expected.join(ranked.select(key, item, F.col(place).alias("_p")), [key, item], "left")
+    g = met.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_p") == 1).alias("a"), F.count_if(F.col("_p") <= 2).alias("b"))
+    return g.select("n", half_even(F.when(F.col("n") > 0, F.col("a") / F.col("n"))).alias("top1"), half_even(F.when(F.col("n") > 0, F.col("b") / F.col("n"))).alias("top2"))
+
+
+def verified_matches(automatic: DataFrame, sheet: DataFrame, group: str, verdict: str) -> DataFrame:
+    """EVL-2: group and tp: the matches that people verified, where they gave any verdict on the group, else the automatic ones."""
+    said = F.lower(F.trim(F.coalesce(verdict, F.lit(""))))
+    human = sheet.groupBy(group).agg(F.count_if(said != "").alias("_any"), F.count_if(said.isin("yes", "y", "match", "1", "true")).alias("_yes"))
+    own = automatic.groupBy(group).agg(F.count(F.lit(1)).alias("_auto"))
+    met = own.join(human, group, "full")
+    return met.select(group, F.when(F.col("_any") > 0, F.col("_yes")).otherwise(F.coalesce("_auto", F.lit(0))).alias("tp"))

@@ -44,3 +44,23 @@ def cost(df: DataFrame, keys: list[str], value: str, digits: int = 4) -> DataFra
     """AGG-12, AGG-19: n, sum, mean, least and largest of a value, by key."""
     g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("s"), F.avg(value).alias("m"), F.min(value).alias("low"), F.max(value).alias("high"))
     return g.select(*keys, "n", F.round("s", digits).alias("total"), F.round("m", digits).alias("mean"), F.round("low", digits).alias("least"), F.round("high", digits).alias("most"))
+
+
+def count_map(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
+    """AGG-18: keys and counts, a map of value to number of rows; nulls are left out."""
+    n = df.select(*keys, value.alias("_v")).where("_v is not null").groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    return n.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_v", "_n"))).alias("counts"))
+
+
+def long(row: DataFrame, section: str) -> DataFrame:
+    """EVL-5: section, metric and value of a table of one row, one row for each column."""
+    items = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in row.columns])
+    return row.select(F.explode(items).alias("x")).select(F.lit(section).alias("section"), "x.*")
+
+
+def concatenated(tables: list[DataFrame]) -> DataFrame:
+    """SET-6: all metric rows, one table after the other."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out

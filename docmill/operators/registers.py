@@ -16,10 +16,13 @@ def band(value: Column, steps: list[tuple[float, str]], lowest: str) -> Column:
 
 
 def worst(df: DataFrame, key: str, level: Column, order: list[str]) -> DataFrame:
-    """AGG-9, RSK-2: the row of each key at the highest level, the first of them in the given order."""
-    rows = df.withColumn("_level", level)
-    best = F.row_number().over(W.partitionBy(key).orderBy(F.desc_nulls_last("_level"), *order))
-    return rows.withColumn("_n", best).where("_n = 1").drop("_n", "_level")
+    """AGG-9, RSK-2: the row of each key at the highest level, the first of them in the given order (ascending); all by aggregates."""
+    lower = [F.col(c) for c in order]
+    top = df.withColumn("_level", level).groupBy(key).agg(F.max("_level").alias("_top"))
+    rest = [c for c in df.columns if c != key]
+    rows = df.withColumn("_level", level).groupBy(key, "_level").agg(F.min_by(F.struct(*rest), F.struct(*lower)).alias("_r"))
+    best = rows.join(top, (rows[key].eqNullSafe(top[key])) & rows["_level"].eqNullSafe(top["_top"]), "left_semi")
+    return best.select(key, *[F.col(f"_r.`{c}`").alias(c) for c in rest])
 
 
 def uncovered(controls: DataFrame, covered: DataFrame, key: str) -> DataFrame:

@@ -124,23 +124,49 @@ def quote_audit(spark: SparkSession, folder: str) -> DataFrame:
     return audit.quote_verdicts(q, "hit_id", "text", "c", read_table(spark, folder, "chunks"), "chunk_id", "text")
 
 
+#: A quoted passage, the evidence that a row of rtm gives.
+QUOTED = r'["“]([^"”]{12,})["”]'
+
+
+def _passages(spark: SparkSession, folder: str) -> DataFrame:
+    return requirements(spark, folder).select("rtm_id", "cites", F.regexp_extract(F.concat_ws(" ", "statement", "acceptance_criteria"), QUOTED, 1).alias("quote")).where("quote <> ''")
+
+
+def evidence_quotes(spark: SparkSession, folder: str) -> DataFrame:
+    """HAL-1, HAL-5: verdict of the first quoted passage of each row of rtm."""
+    return audit.quote_verdicts(_passages(spark, folder), "rtm_id", "quote", "cites", read_table(spark, folder, "chunks"), "chunk_id", "text")
+
+
+def audit_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """HAL-1: all verdicts on a row of rtm: citations, its quoted passage, and cited chunks that don't exist."""
+    cited = citation_verdicts(spark, folder).select("rtm_id", F.col("kind").alias("entity_type"), "entity", "verdict", "severity")
+    quotes = evidence_quotes(spark, folder).join(_passages(spark, folder).select("rtm_id", F.col("quote").alias("entity")), "rtm_id")
+    quotes = quotes.select("rtm_id", F.lit("evidence_quote").alias("entity_type"), "entity", "verdict", audit.severity(F.col("verdict"), F.lit(False)).alias("severity"))
+    ids = unknown_chunk_ids(spark, folder).select("rtm_id", F.lit("chunk_id").alias("entity_type"), F.col("id").alias("entity"), F.lit("fabricated").alias("verdict"), F.lit("medium").alias("severity"))
+    return cited.unionByName(quotes).unionByName(ids)
+
+
 def confidence(spark: SparkSession, folder: str) -> DataFrame:
-    """CNF-1, CNF-2, CNF-3, JOIN-2: confidence of every row of rtm."""
+    """CNF-1, CNF-2, CNF-3, JOIN-2: confidence of every row of rtm, from its audit, scores and conflicts."""
     r = requirements(spark, folder)
     q = conf.quality(_scores(spark, folder), ["req_id"], "rule_score", "llm_score")
     disputed = read_table(spark, folder, "conflicts").where("lower(trim(status)) = 'open'")
     disputed = disputed.select(F.explode(F.array("req_a", "req_b")).alias("req_id")).distinct().withColumn("disputed", F.lit(True))
-    bad = unknown_chunk_ids(spark, folder).select("rtm_id").distinct().withColumn("bad", F.lit(True))
-    full = lookup_join(r, q.join(disputed, "req_id", "full"), "req_id").join(bad, "rtm_id", "left")
+    rows = audit_rows(spark, folder)
+    wrong = F.col("verdict").isin("fabricated", "misattributed")
+    seen = rows.groupBy("rtm_id").agg(
+        F.bool_or((F.col("entity_type") != "chunk_id") & wrong).alias("wrong"), F.bool_or(F.col("entity_type") == "chunk_id").alias("bad"), F.bool_or((F.col("entity_type") == "evidence_quote") & (F.col("verdict") == "verified")).alias("quoted")
+    )
+    full = lookup_join(r, q.join(disputed, "req_id", "full"), "req_id").join(seen, "rtm_id", "left")
     sources = F.array_distinct(F.transform("sources", conf.source_of))
-    full = full.withColumn("support", conf.support(F.lit(False), F.col("cites"), sources, F.coalesce(F.col("origin") == "control_gap", F.lit(False))))
-    caps = [(F.col("bad"), 0.3, "unknown citation"), (F.col("disputed"), 0.5, "unresolved conflict")]
+    full = full.withColumn("support", conf.support(F.coalesce("quoted", F.lit(False)), F.col("cites"), sources, F.coalesce(F.col("origin") == "control_gap", F.lit(False))))
+    caps = [(F.col("wrong"), 0.3, "fabricated or misattributed"), (F.col("disputed"), 0.5, "unresolved conflict"), (F.col("bad"), 0.3, "unknown citation")]
     return conf.confidence(full.withColumn("stated", F.col("confidence")), "support", "quality", caps).select("rtm_id", "support", F.bround("quality", 3).alias("quality"), "confidence", "escalate", "reasons")
 
 
 def review_first(spark: SparkSession, folder: str) -> DataFrame:
-    """CNF-4, SRT-1: the hundred rows to review first."""
-    return confidence(spark, folder).orderBy(F.desc("escalate"), "confidence", "rtm_id").limit(100).select("rtm_id", "confidence", "escalate")
+    """CNF-4, SRT-1: all rows in the order of review: those to escalate first, then by confidence."""
+    return confidence(spark, folder).orderBy(F.desc("escalate"), "confidence", "rtm_id").select("rtm_id", "confidence", "escalate")
 
 
 def quantity_map(spark: SparkSession, folder: str) -> DataFrame:
@@ -169,13 +195,6 @@ def negation_conflicts(spark: SparkSession, folder: str) -> DataFrame:
     return conflict_signals(spark, folder).where(F.array_contains("found", "negation on one side only")).select("conflict_id")
 
 
-def conflict_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    """For the requirements whose id is divisible by 20, their ten nearest among all from 0.55; conflict_pairs has CFL-3 over all pairs."""
-    r = requirements(spark, folder).select("rtm_id", "statement").withColumn("v", retrieval.hashed_vector(F.col("statement")))
-    q = r.where("rtm_id % 20 = 0").select(F.col("rtm_id").alias("a"), F.col("v").alias("qv"))
-    return retrieval.block_topk(r.withColumnRenamed("rtm_id", "b"), "b", "v", q, "a", "qv", 11, least=0.55).where("a <> b").select("a", "b", "score")
-
-
 def conflict_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """CFL-3, JOIN-6, SRT-3: of all pairs of rows of rtm that are candidates of a conflict, the 24 to look at first."""
     found = conflicts.candidate_pairs(requirements(spark, folder), "rtm_id", "statement", "acceptance_criteria", F.col("sources"), most=24)
@@ -230,7 +249,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         near_duplicate_first, unknown_chunk_ids, rule_scores_long, rule_pass_rate, keyword_categories, undefined_terms, score_agreement, adjudication_report, entity_extract, citation_verdicts,
-        severity_matrix, quote_audit, confidence, review_first, quantity_map, conflict_signals, negation_conflicts, conflict_candidates, conflict_pairs, conflict_report, pii_spans, pii_masked, pii_leak_check,
+        severity_matrix, quote_audit, evidence_quotes, audit_rows, confidence, review_first, quantity_map, conflict_signals, negation_conflicts, conflict_pairs, conflict_report, pii_spans, pii_masked, pii_leak_check,
         injection_scan, quarantined, spotlight,
     )
 }
@@ -292,15 +311,24 @@ _CITE = f"""
           FROM k JOIN f USING (rtm_id) WHERE kind <> 'fhir_resource' OR there OR known OR said OR rtm_id IN (SELECT rtm_id FROM g)),
     w AS (SELECT *, CASE verdict WHEN 'fabricated' THEN 'medium' WHEN 'unverifiable' THEN 'low' ELSE 'none' END AS severity FROM v)
 """
-_CONF = f"""
-    WITH {_R}, s AS (SELECT DISTINCT * FROM validation_29148), q AS (SELECT req_id, CASE WHEN avg(llm_score) IS NULL THEN coalesce(avg(rule_score), 0) ELSE (coalesce(avg(rule_score), 0) + avg(llm_score)) / 2 END AS quality FROM s GROUP BY 1),
-    o AS (SELECT DISTINCT unnest([req_a, req_b]) AS req_id FROM conflicts WHERE lower(trim(status)) = 'open'),
-    x AS (SELECT r.rtm_id, q.quality, r.req_id IN (SELECT req_id FROM o WHERE req_id IS NOT NULL) AS disputed, r.rtm_id IN (SELECT rtm_id FROM u) AS bad,
-            CASE WHEN len(list_distinct(list_transform(sources, lambda z: split_part(z, '-', 2)))) >= 2 THEN 1.0 WHEN len(cites) > 0 OR len(sources) > 0 THEN 0.75 WHEN origin = 'control_gap' THEN 0.5 ELSE 0.0 END AS support
-          FROM r LEFT JOIN q ON r.req_id = q.req_id),
-    y AS (SELECT *, 0.5 * support::DOUBLE + 0.5 * coalesce(quality, 0) AS a FROM x), z AS (SELECT *, CASE WHEN bad THEN least(a, 0.3) ELSE a END AS b FROM y), f AS (SELECT *, CASE WHEN disputed THEN least(b, 0.5) ELSE b END AS raw FROM z),
+_AUDIT = _CITE + f""",
+    pq AS (SELECT rtm_id, cites, regexp_extract(concat_ws(' ', statement, acceptance_criteria), {_quote(QUOTED)}, 1) AS quote FROM r),
+    pn AS (SELECT rtm_id, cites, quote, regexp_replace(lower(quote), '[^0-9a-z]', '', 'g') AS q FROM pq WHERE quote <> ''), pb AS (SELECT DISTINCT chunk_id, regexp_replace(lower(text), '[^0-9a-z]', '', 'g') AS b FROM chunks),
+    pv AS (SELECT rtm_id, quote, CASE WHEN length(q) < 12 THEN 'unverifiable' WHEN EXISTS (SELECT 1 FROM pb WHERE list_contains(pn.cites, chunk_id) AND contains(b, q)) THEN 'verified' WHEN EXISTS (SELECT 1 FROM pb WHERE contains(b, q)) THEN 'misattributed' ELSE 'fabricated' END AS verdict FROM pn),
+    al AS (SELECT rtm_id, kind AS entity_type, entity, verdict, severity FROM w
+        UNION ALL SELECT rtm_id, 'evidence_quote', quote, verdict, CASE verdict WHEN 'fabricated' THEN 'medium' WHEN 'misattributed' THEN 'medium' WHEN 'unverifiable' THEN 'low' ELSE 'none' END FROM pv
+        UNION ALL SELECT rtm_id, 'chunk_id', id, 'fabricated', 'medium' FROM u)
+"""
+_CONF = _AUDIT + """,
+    s2 AS (SELECT DISTINCT * FROM validation_29148), q2 AS (SELECT req_id, CASE WHEN avg(llm_score) IS NULL THEN coalesce(avg(rule_score), 0) ELSE (coalesce(avg(rule_score), 0) + avg(llm_score)) / 2 END AS quality FROM s2 GROUP BY 1),
+    o2 AS (SELECT DISTINCT unnest([req_a, req_b]) AS req_id FROM conflicts WHERE lower(trim(status)) = 'open'),
+    a2 AS (SELECT rtm_id, bool_or(entity_type <> 'chunk_id' AND verdict IN ('fabricated', 'misattributed')) AS wrong, bool_or(entity_type = 'chunk_id') AS bad, bool_or(entity_type = 'evidence_quote' AND verdict = 'verified') AS quoted FROM al GROUP BY 1),
+    x2 AS (SELECT r.rtm_id, q2.quality, r.req_id IN (SELECT req_id FROM o2 WHERE req_id IS NOT NULL) AS disputed, coalesce(wrong, false) AS wrong, coalesce(bad, false) AS bad,
+            CASE WHEN coalesce(quoted, false) OR len(list_distinct(list_transform(sources, lambda z: split_part(z, '-', 2)))) >= 2 THEN 1.0 WHEN len(cites) > 0 OR len(sources) > 0 THEN 0.75 WHEN origin = 'control_gap' THEN 0.5 ELSE 0.0 END AS support
+          FROM r LEFT JOIN q2 ON r.req_id = q2.req_id LEFT JOIN a2 ON r.rtm_id = a2.rtm_id),
+    y2 AS (SELECT *, 0.5 * support::DOUBLE + 0.5 * coalesce(quality, 0) AS a FROM x2), z2 AS (SELECT *, CASE WHEN wrong OR bad THEN least(a, 0.3) ELSE a END AS b FROM y2), f2 AS (SELECT *, CASE WHEN disputed THEN least(b, 0.5) ELSE b END AS raw FROM z2),
     out AS (SELECT rtm_id, support::DOUBLE AS support, round_even(quality, 3) AS quality, round_even(raw, 3) AS confidence, raw < 0.7 OR support = 0 AS escalate,
-                   array_to_string(list_filter([CASE WHEN bad THEN 'unknown citation' END, CASE WHEN disputed THEN 'unresolved conflict' END], lambda t: t IS NOT NULL), '; ') AS reasons FROM f)
+                   array_to_string(list_filter([CASE WHEN wrong THEN 'fabricated or misattributed' END, CASE WHEN disputed THEN 'unresolved conflict' END, CASE WHEN bad THEN 'unknown citation' END], lambda t: t IS NOT NULL), '; ') AS reasons FROM f2)
 """
 _UNIT = "map {" + ", ".join(f"{_quote(k)}: {_quote(v)}" for k, v in V.UNITS.items()) + "}"
 _PAIRS = f"""
@@ -349,8 +377,10 @@ SQL = {
         SELECT hit_id, CASE WHEN length(q) < 12 THEN 'unverifiable' WHEN EXISTS (SELECT 1 FROM c WHERE c.chunk_id = q.chunk_id AND contains(b, q)) THEN 'verified'
             WHEN EXISTS (SELECT 1 FROM c WHERE contains(b, q)) THEN 'misattributed' ELSE 'fabricated' END AS verdict FROM q
     """,
+    "evidence_quotes": _AUDIT + "SELECT rtm_id, verdict FROM pv",
+    "audit_rows": _AUDIT + "SELECT * FROM al",
     "confidence": _CONF + "SELECT * FROM out",
-    "review_first": _CONF + "SELECT rtm_id, confidence, escalate FROM out ORDER BY escalate DESC, confidence, rtm_id LIMIT 100",
+    "review_first": _CONF + "SELECT rtm_id, confidence, escalate FROM out",
     "quantity_map": f"""
         WITH {_R}, t AS (SELECT rtm_id, concat_ws(' ', statement, acceptance_criteria) AS t FROM r),
         p AS (SELECT rtm_id, unnest(regexp_extract_all(t, {_quote(V.QUANTITY)}, 1))::DOUBLE AS n, lower(unnest(regexp_extract_all(t, {_quote(V.QUANTITY)}, 2))) AS u FROM t)
@@ -361,12 +391,6 @@ SQL = {
         SELECT DISTINCT conflict_id FROM conflicts c JOIN n a ON c.req_a = a.req_id JOIN n b ON c.req_b = b.req_id
         WHERE coalesce(regexp_matches(a.s, {_quote(V.NEGATION)}), false) <> coalesce(regexp_matches(b.s, {_quote(V.NEGATION)}), false)
     """,
-    "conflict_candidates": """
-        WITH w AS (SELECT DISTINCT rtm_id, statement FROM rtm), t AS (SELECT rtm_id, unnest(regexp_extract_all(lower(coalesce(statement, '')), '[a-z]{3,}')) AS w FROM w),
-        b AS (SELECT rtm_id, CAST(('0x' || substr(md5(w), 31, 2))::INT AS INT) AS b, count(*)::DOUBLE AS n FROM t GROUP BY ALL), m AS (SELECT rtm_id, sqrt(sum(n * n)) AS m FROM b GROUP BY 1),
-        s AS (SELECT x.rtm_id AS a, y.rtm_id AS b, round(sum(x.n * y.n) / (any_value(mx.m) * any_value(my.m)), 6) AS score FROM b x JOIN b y ON x.b = y.b JOIN m mx ON mx.rtm_id = x.rtm_id JOIN m my ON my.rtm_id = y.rtm_id WHERE x.rtm_id % 20 = 0 GROUP BY 1, 2),
-        r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS k FROM s) SELECT a, b, score FROM r WHERE k <= 11 AND score >= 0.55 AND a <> b
-    """,
     "conflict_pairs": _PAIRS + "SELECT * FROM k ORDER BY signalled DESC, duplicate DESC, score DESC, a, b LIMIT 24",
     "conflict_report": """
         SELECT conflict_id, similarity FROM (SELECT DISTINCT * FROM conflicts) ORDER BY coalesce(len(signals), 0) > 0 DESC, similarity >= 0.86 DESC NULLS LAST, similarity DESC NULLS LAST, conflict_id LIMIT 24

@@ -24,7 +24,7 @@ def normal_text(spark: SparkSession, folder: str) -> DataFrame:
 
 def slug_ids(spark: SparkSession, folder: str) -> DataFrame:
     """TXT-7."""
-    return read_table(spark, folder, "chunks").distinct().select("chunk_id", T.slug(F.col("heading")).alias("slug"))
+    return read_table(spark, folder, "chunks").select("chunk_id", T.slug(F.col("heading")).alias("slug")).distinct()
 
 
 def token_windows(spark: SparkSession, folder: str) -> DataFrame:
@@ -41,7 +41,7 @@ def chunk_build(spark: SparkSession, folder: str) -> DataFrame:
 
 def chunk_totals(spark: SparkSession, folder: str) -> DataFrame:
     """AGG-20: chunks and tokens per document."""
-    c = read_table(spark, folder, "chunks").distinct().withColumn("n", F.size(T.words(F.col("text"))))
+    c = read_table(spark, folder, "chunks").select("chunk_id", "doc_id", F.size(T.words(F.col("text"))).alias("n")).distinct()  # words are counted before anything is shuffled
     return c.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("n").alias("n_tokens"), half_even(F.avg("n"), 3).alias("mean_tokens"), F.max("n").alias("max_tokens"))
 
 

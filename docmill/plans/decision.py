@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 CONDITION = re.compile(r"^\s*(\w+)\s*(<=|>=|==|<|>)\s*(-?\d+(?:\.\d+)?)\s*$")
@@ -89,4 +88,46 @@ def canonical(name: Column, families: list[tuple[str, str]]) -> Column:
 
 def first_of_kind(df: DataFrame, group: str, kind: str, order: list[str]) -> DataFrame:
     """SDL-6: the first row of each kind in each group, to which overlays attach."""
-    return df.withColumn("_n", F.row_number().over(W.partitionBy(group, kind).orderBy(*order))).where("_n = 1").drop("_n")
+    rest = [c for c in df.columns if c not in (group, kind)]
+    first = df.groupBy(group, kind).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r"))
+    return first.select(group, kind, *[F.col(f"_r.`{c}`").alias(c) for c in rest])
+
+
+def usable(df: DataFrame, key: str, factors: str, n: int, spare: int = 2) -> DataFrame:
+    """SDL-5: scorings with at least n - spare factors of each key; all of a key's scorings if none has as many."""
+    enough = F.size(F.filter(F.map_values(factors), lambda v: v.isNotNull())) >= n - spare
+    some = df.groupBy(key).agg(F.bool_or(enough).alias("_some"))
+    return df.join(some, key).where(enough | ~F.col("_some")).drop("_some")
+
+
+def consistent(ranked: DataFrame, key: str, picks: DataFrame, pick: str) -> DataFrame:
+    """SDL-7: key, pick, engine_top and consistent: whether a run's own pick is the one its factors imply."""
+    top = ranked.where("place = 1").select(key, F.col("profile").alias("engine_top"))
+    return top.join(picks, key).select(key, pick, "engine_top", (F.col(pick) == F.col("engine_top")).alias("consistent"))
+
+
+def overlaid(phases: DataFrame, group: str, order: str, kind: str, overlays: DataFrame, items: str, name: str) -> DataFrame:
+    """SDL-6: phases with `name`, the overlay items (an array by kind) attached to each group's first phase of their kind only."""
+    first = phases.groupBy(group, kind).agg(F.min(order).alias(order)).withColumn("_first", F.lit(True))
+    met = phases.join(first, [group, kind, order], "left").join(overlays.select(kind, F.col(items).alias("_i")), kind, "left")
+    return met.select(*phases.columns, F.when(F.col("_first") & F.col("_i").isNotNull(), F.col("_i")).otherwise(F.array().cast("array<string>")).alias(name))
+
+
+def run_matrix(framings: DataFrame, models: DataFrame, trials: int) -> DataFrame:
+    """SDL-8: run_id, framing, model and trial of every combination of two short lists and the trials from 1."""
+    runs = framings.select("framing", F.explode(F.array(*[F.lit(r["model"]) for r in models.select("model").distinct().orderBy("model").collect()])).alias("model"))  # a list of models
+    runs = runs.select("framing", "model", F.explode(F.sequence(F.lit(1), F.lit(trials))).alias("trial"))
+    return runs.select(F.concat_ws("-", "framing", "model", "trial").alias("run_id"), "*")
+
+
+def run_errors(answer: Column, criteria: list[str]) -> Column:
+    """SDL-8: what is wrong with a run's JSON answer: no recommendation, unknown, repeated and missing criteria."""
+    names = F.coalesce(F.transform(F.from_json(F.get_json_object(answer, "$.criteria"), "array<struct<criterion:string>>"), lambda c: F.trim(c["criterion"])), F.array().cast("array<string>"))
+    known = F.array(*[F.lit(c) for c in criteria])
+    parts = [
+        F.when(F.trim(F.coalesce(F.get_json_object(answer, "$.recommended_sdlc"), F.lit(""))) == "", F.array(F.lit("no recommendation"))).otherwise(F.array().cast("array<string>")),
+        F.transform(F.array_except(names, known), lambda c: F.concat(F.lit("unknown "), c)),
+        F.transform(F.filter(known, lambda k: F.size(F.filter(names, lambda x: x == k)) > 1), lambda c: F.concat(F.lit("repeated "), c)),
+        F.transform(F.array_except(known, names), lambda c: F.concat(F.lit("missing "), c)),
+    ]
+    return F.concat(*parts)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docmill.plans import audits, corpus, integrity, rollups, streams
+from docmill.plans import audits, corpus, integrity, reviews, rollups, streams
 
-MODULES = (integrity, corpus, audits, rollups, streams)
+MODULES = (integrity, corpus, audits, rollups, streams, reviews)
 FLAGSHIP = "evidence"
 
 

@@ -48,7 +48,7 @@ def section_coverage(spark: SparkSession, folder: str) -> DataFrame:
     """JOIN-11: cited chunks by document and section, both parsed from the id."""
     ids = requirements(spark, folder).select("rtm_id", F.explode("cites").alias("id"))
     p = F.split("id", "#")
-    return ids.select(p[0].alias("doc_id"), F.substring(p[1], 2, 200).alias("section"), "rtm_id").groupBy("doc_id", "section").agg(F.countDistinct("rtm_id").alias("n_rows"))
+    return ids.select(p[0].alias("doc_id"), F.expr("substr(split(id, '#')[1], 2)").alias("section"), "rtm_id").groupBy("doc_id", "section").agg(F.countDistinct("rtm_id").alias("n_rows"))
 
 
 def rolled_up_controls(spark: SparkSession, folder: str) -> DataFrame:
@@ -68,14 +68,14 @@ RELATIONS = ["satisfies", "partially", "GAP"]
 
 
 def traceability_pivot(spark: SparkSession, folder: str) -> DataFrame:
-    """AGG-6: requirement by three relations, D where it is mapped to a chunk and I where it is not; traceability_all has all relations."""
-    c = _once(spark, folder, "compliance", "row_id").withColumn("relation", F.trim("relation"))
-    return registers.pivot_marks(c, "req_id", "relation", RELATIONS, F.when(F.trim("evidence_chunk_id") != "", "D").otherwise("I"))
+    """TRC-1, AGG-6: requirement by relation, D where it is mapped to a chunk and I where it is not; `other` has all further relations and none."""
+    return all_relations(_once(spark, folder, "compliance", "row_id"))
 
 
-def traceability_all(spark: SparkSession, folder: str) -> DataFrame:
-    """AGG-6: requirement by relation, D where it is mapped to a chunk and I where it is not; `other` has all further relations and none."""
-    return all_relations(_once(spark, folder, "compliance", "row_id"))
+def traceability_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """TRC-1: row of rtm by document, in long form: D where it cites a chunk of it, I where it is derived."""
+    r = requirements(spark, folder).select("rtm_id", F.when(F.coalesce(F.col("origin") == "control_gap", F.lit(False)), "I").otherwise("D").alias("mark"), F.explode("cites").alias("c"))
+    return r.select("rtm_id", F.substring_index("c", "#", 1).alias("doc_id"), "mark").distinct()
 
 
 def all_relations(rows: DataFrame) -> DataFrame:
@@ -213,17 +213,8 @@ def decision_fold(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def id_assignment(spark: SparkSession, folder: str) -> DataFrame:
-    """STA-2, AGG-10, WIN-1: new ids for the orders whose key is divisible by 20, after the largest numbers taken; id_assignment_all has all orders."""
-    return _order_ids(spark, folder, "o_orderkey % 20 = 0")
-
-
-def id_assignment_all(spark: SparkSession, folder: str) -> DataFrame:
     """STA-2, AGG-10, WIN-1: new ids for all orders, by kind and key, after the largest numbers taken."""
-    return _order_ids(spark, folder, "true")
-
-
-def _order_ids(spark: SparkSession, folder: str, which: str) -> DataFrame:
-    o = read_table(spark, folder, "orders").where(which).select("o_orderkey", F.when(F.col("o_totalprice") > 150000, "FR").otherwise("NFR").alias("kind"))
+    o = read_table(spark, folder, "orders").select("o_orderkey", F.when(F.col("o_totalprice") > 150000, "FR").otherwise("NFR").alias("kind"))
     return state.assign_ids(o, "kind", ["o_orderkey"], read_table(spark, folder, "rtm"), "req_id", "ERX").select("o_orderkey", "new_id")
 
 
@@ -308,9 +299,9 @@ def public_view(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        score_bands, worst_per_key, control_gaps, control_coverage, section_coverage, rolled_up_controls, rtm_links, traceability_pivot, traceability_all, open_issues, approval_fanout, routing, batches, label_scores,
+        score_bands, worst_per_key, control_gaps, control_coverage, section_coverage, rolled_up_controls, rtm_links, traceability_pivot, traceability_documents, open_issues, approval_fanout, routing, batches, label_scores,
         category_overlap, usability_scores, pair_recall, evidence_match, metrics_wide, value_counts, label_shares, modal_labels, label_flips, repeated_calls, event_cost, revenue, last_event,
-        findings_merge, decision_fold, id_assignment, id_assignment_all, versions, mcda_ranking, fired_rules, recommendations, factor_medians, contested_items, canonical_types, primary_per_kind, parsed_values, public_view,
+        findings_merge, decision_fold, id_assignment, versions, mcda_ranking, fired_rules, recommendations, factor_medians, contested_items, canonical_types, primary_per_kind, parsed_values, public_view,
     )
 }
 
@@ -350,14 +341,13 @@ SQL = {
         FROM e LEFT JOIN c USING (chunk_id) GROUP BY 1
     """,
     "traceability_pivot": """
-        WITH c AS (SELECT DISTINCT req_id, trim(relation, ' ') AS relation, CASE WHEN trim(evidence_chunk_id, ' ') <> '' THEN 'D' ELSE 'I' END AS m FROM compliance)
-        SELECT req_id, coalesce(min(m) FILTER (relation = 'satisfies'), '') AS satisfies, coalesce(min(m) FILTER (relation = 'partially'), '') AS partially, coalesce(min(m) FILTER (relation = 'GAP'), '') AS "GAP" FROM c GROUP BY 1
-    """,
-    "traceability_all": """
         WITH c AS (SELECT DISTINCT req_id, trim(relation, ' ') AS relation, CASE WHEN trim(evidence_chunk_id, ' ') <> '' THEN 'D' ELSE 'I' END AS m FROM compliance)
         SELECT req_id, coalesce(min(m) FILTER (relation = 'satisfies'), '') AS satisfies, coalesce(min(m) FILTER (relation = 'partially'), '') AS partially, coalesce(min(m) FILTER (relation = 'GAP'), '') AS "GAP",
             coalesce(min(m) FILTER (relation = 'supports'), '') AS supports, coalesce(min(m) FILTER (relation IS NULL OR relation NOT IN ('satisfies', 'partially', 'GAP', 'supports')), '') AS other FROM c GROUP BY 1
     """,
+    "traceability_documents": f"""
+        WITH {_RTM}, e AS (SELECT rtm_id, CASE WHEN origin = 'control_gap' THEN 'I' ELSE 'D' END AS mark, unnest(cites) AS c FROM r) SELECT DISTINCT rtm_id, split_part(c, '#', 1) AS doc_id, mark FROM e
+    """,
     "open_issues": """
         SELECT 'finding' AS kind, row_id::VARCHAR AS ref, kind AS detail FROM (SELECT DISTINCT * FROM findings WHERE NOT resolved)
         UNION ALL SELECT 'conflict', conflict_id, relation FROM (SELECT DISTINCT * FROM conflicts WHERE lower(trim(status, ' ')) = 'open')
@@ -431,12 +421,6 @@ SQL = {
         FROM (SELECT DISTINCT approval_id FROM q WHERE approval_id IS NOT NULL) i LEFT JOIN f ON i.approval_id = f.approval_id AND k = 1
     """,
     "id_assignment": r"""
-        WITH o AS (SELECT o_orderkey, CASE WHEN o_totalprice > 150000 THEN 'FR' ELSE 'NFR' END AS kind FROM orders WHERE o_orderkey % 20 = 0),
-        t AS (SELECT regexp_extract(req_id, '^([A-Z]+)-ERX-(\d+)$', 1) AS kind, max(try_cast(regexp_extract(req_id, '^([A-Z]+)-ERX-(\d+)$', 2) AS INT)) AS top FROM rtm GROUP BY 1),
-        n AS (SELECT o_orderkey, o.kind, row_number() OVER (PARTITION BY o.kind ORDER BY o_orderkey) + coalesce(top, 0) AS i FROM o LEFT JOIN t USING (kind))
-        SELECT o_orderkey, kind || '-ERX-' || CASE WHEN i < 1000 THEN lpad(i::VARCHAR, 3, '0') ELSE i::VARCHAR END AS new_id FROM n
-    """,
-    "id_assignment_all": r"""
         WITH o AS (SELECT o_orderkey, CASE WHEN o_totalprice > 150000 THEN 'FR' ELSE 'NFR' END AS kind FROM orders),
         t AS (SELECT regexp_extract(req_id, '^([A-Z]+)-ERX-(\d+)$', 1) AS kind, max(try_cast(regexp_extract(req_id, '^([A-Z]+)-ERX-(\d+)$', 2) AS INT)) AS top FROM rtm GROUP BY 1),
         n AS (SELECT o_orderkey, o.kind, row_number() OVER (PARTITION BY o.kind ORDER BY o_orderkey) + coalesce(top, 0) AS i FROM o LEFT JOIN t USING (kind))
