@@ -4,7 +4,7 @@ from docmill.llm.consensus import MET, NOT_MET
 
 _MET = "'" + "', '".join(MET) + "'"
 _NOT = "'" + "', '".join(NOT_MET) + "'"
-_SAID = r"lower(regexp_replace(trim(human_adjudication, e' \t\r\n\u00a0.!'), '\s+', ' ', 'g'))"
+_SAID = r"lower(regexp_replace(trim(human_adjudication, e' \t\r\n.!' || chr(160)), '\s+', ' ', 'g'))"
 _VOTES = f"""
     WITH v AS (SELECT DISTINCT * FROM validation_29148 WHERE req_id IS NOT NULL AND attribute IS NOT NULL),
     l AS (SELECT req_id, attribute, coalesce(nullif(trim(rule_set, ' '), ''), '?') AS who, rule_score AS label FROM v
