@@ -94,18 +94,19 @@ def orphans(registers: list[Register], refs: list[Reference], max_depth: int = 5
         F.when(F.col("known").isNull(), "missing").when(F.col("since") > F.col("at"), "late").when(F.col("until") <= F.col("at"), "deleted")
     )
     out = ["src_table", "column", "row_id", "at", "register", "key", "own_key"]
-    checked = joined.select(*out, reason.alias("reason")).distinct()
+    checked = joined.select(*out, reason.alias("reason"))
     tables = {r.name for r in refs if r.own_key is not None} & {r.name for r in registers}
     if tables:
         checked = cut(checked)  # looked up once; every depth reads it
-    direct = checked.where("reason is not null").select(*out, "reason", F.lit("direct").alias("kind"), F.lit(0).alias("depth"))
+    direct = checked.where("reason is not null").select(*out, "reason", F.lit("direct").alias("kind"), F.lit(0).alias("depth")).distinct()
     if tables:
+        direct = cut(direct)
         found, frontier = direct, direct
         # only references to records that may themselves be orphaned can be reached
         healthy = checked.where("reason is null").where(F.col("register").isin(*tables)).select(F.struct("register", "key").alias("ref"), *out)
         for depth in range(1, max_depth + 1):
             hit = frontier.where(F.col("src_table").isin(*tables) & F.col("own_key").isNotNull()).select(F.struct(F.col("src_table").alias("register"), F.col("own_key").alias("key")).alias("ref")).distinct()
-            reached = lookup_join(healthy, hit.withColumn("hit", F.lit(True)), "ref").where("hit").select(*out)
+            reached = lookup_join(healthy, hit.withColumn("hit", F.lit(True)), "ref").where("hit").select(*out).distinct()
             seen = found.select("src_table", "column", "row_id").distinct()
             new = reached.join(seen, ["src_table", "column", "row_id"], "left_anti")
             frontier = cut(new.withColumns({"reason": F.lit("inherited"), "kind": F.lit("indirect"), "depth": F.lit(depth)}))

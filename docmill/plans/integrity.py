@@ -13,7 +13,9 @@ CHUNK_ID = r"D\d{2}#S[^#\s]+#c\d{2,}"
 PACKED = ["controls", "regulations", "evidence_chunks", "source_documents"]
 
 
-def _orphans(spark: SparkSession, folder: str) -> DataFrame:
+def _orphans(spark: SparkSession, folder: str, leaves: bool) -> DataFrame:
+    """Orphans over the foreign-key graph; with leaves also those of tables that nothing refers to and p3_found doesn't ask for."""
+
     def table(name: str) -> DataFrame:
         return read_table(spark, folder, name)
 
@@ -36,9 +38,10 @@ def _orphans(spark: SparkSession, folder: str) -> DataFrame:
         Reference("conflicts", conflicts, "conflict_id", "req_a", "detected_at", {"rtm": None}, own_key="conflict_id"),
         Reference("conflicts", conflicts, "conflict_id", "req_b", "detected_at", {"rtm": None}, own_key="conflict_id"),
         Reference("rtm", cited, "rtm_id", "evidence_chunks", "recorded_at", {"chunks": None}, own_key="req_id"),
-        Reference("compliance", table("compliance"), "row_id", "req_id", "mapped_at", {"rtm": None}),
-        Reference("validation_29148", table("validation_29148"), "score_id", "req_id", "scored_at", {"rtm": None}),
     ]
+    if leaves:
+        refs.append(Reference("compliance", table("compliance"), "row_id", "req_id", "mapped_at", {"rtm": None}))
+        refs.append(Reference("validation_29148", table("validation_29148"), "score_id", "req_id", "scored_at", {"rtm": None}))
     return orphans(registers, refs)
 
 
@@ -51,14 +54,14 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     for name, column in CHECKED:
         wanted = wanted | ((F.col("src_table") == name) & (F.col("column") == column))
     return (
-        _orphans(spark, folder).where(wanted & (F.col("kind") == "direct")).select("src_table", F.col("row_id").cast("long").alias("row_id"), "period", "reason")
+        _orphans(spark, folder, False).where(wanted & (F.col("kind") == "direct")).select("src_table", F.col("row_id").cast("long").alias("row_id"), "period", "reason")
     )
 
 
 def p3_report(spark: SparkSession, folder: str) -> DataFrame:
     """Orphans per table, column and month, direct and inherited."""
     return (
-        _orphans(spark, folder)
+        _orphans(spark, folder, True)
         .groupBy("src_table", "column", "period", "kind", "reason", "depth")
         .agg(F.countDistinct("row_id").alias("n_rows"), F.countDistinct("key").alias("n_keys"))
     )
