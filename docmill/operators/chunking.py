@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docmill.functions import text as T
+from docmill.session import running_numbers
 
 
 def paragraph_rows(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -22,18 +22,28 @@ def window_rows(df: DataFrame, key: str, text: str, size: int = 800, overlap: in
     return cut.select(key, "n_tokens", "window_no", "start", F.size(part).alias("window_tokens"), F.array_join(part, " ").alias("window_text"))
 
 
-def chunk_rows(sections: DataFrame, doc: str, section: str, order: str, text: str, size: int = 800, overlap: int = 120, least: int = 60, floor: int = 20) -> DataFrame:
-    """TXT-10: doc, section, start, chunk_no, chunk_id, token_count, chunk_text of the chunks that are kept.
+def chunk_numbers(sections: DataFrame, doc: str, section: str, order: str, text: str, size: int = 800, overlap: int = 120, least: int = 60, floor: int = 20) -> DataFrame:
+    """TXT-10 without the text: doc, section, order, window_no, start, chunk_no, chunk_id, token_count of the chunks that are kept.
 
     Windows under `floor` tokens are dropped, those under `least` only where the section has several. chunk_no counts
-    kept chunks of a document over its sections; the only shuffle is that numbering.
+    kept chunks of a document over its sections, by ranges of the order, so a document that holds a large share of the
+    sections isn't gathered. Sections delivered several times count once; no text is shuffled.
     """
-    rows = window_rows(sections.select(F.struct(doc, section, order).alias("_s"), text), "_s", text, size, overlap)
+    rows = window_rows(sections.select(F.struct(F.col(doc).alias("doc"), F.col(section).alias("section"), F.col(order).alias("ord")).alias("_s"), text), "_s", text, size, overlap)
     kept = rows.where((F.col("window_tokens") >= floor) & ((F.col("n_tokens") <= size) | (F.col("window_tokens") >= least)))
-    number = F.row_number().over(W.partitionBy("_s." + doc).orderBy("_s." + order, "_s." + section, "window_no"))
-    out = kept.withColumn("chunk_no", number)
-    ident = F.concat(F.col("_s." + doc).cast("string"), F.lit("#S"), F.col("_s." + section).cast("string"), F.lit("#c"), F.format_string("%02d", "chunk_no"))
-    return out.select(F.col("_s." + doc).alias(doc), F.col("_s." + section).alias(section), "start", "chunk_no", ident.alias("chunk_id"), F.col("window_tokens").alias("token_count"), F.col("window_text").alias("chunk_text"))
+    narrow = kept.select("_s.doc", "_s.ord", "_s.section", "window_no", "start", "window_tokens").distinct()
+    out = running_numbers(narrow, "doc", ["ord", "section", "window_no"], "chunk_no")
+    ident = F.concat(F.col("doc").cast("string"), F.lit("#S"), F.col("section").cast("string"), F.lit("#c"), F.format_string("%02d", "chunk_no"))
+    return out.select(F.col("doc").alias(doc), F.col("section").alias(section), F.col("ord").alias(order), "window_no", "start", "chunk_no", ident.alias("chunk_id"), F.col("window_tokens").alias("token_count"))
+
+
+def chunk_rows(sections: DataFrame, doc: str, section: str, order: str, text: str, size: int = 800, overlap: int = 120, least: int = 60, floor: int = 20) -> DataFrame:
+    """TXT-10: doc, section, start, chunk_no, chunk_id, token_count, chunk_text of the chunks that are kept; see chunk_numbers."""
+    numbers = chunk_numbers(sections, doc, section, order, text, size, overlap, least, floor)
+    numbers = numbers.select(F.struct(F.col(doc).alias("doc"), F.col(section).alias("section"), F.col(order).alias("ord")).alias("_s"), *[F.col(c) for c in ("window_no", "start", "chunk_no", "chunk_id", "token_count")])
+    rows = window_rows(sections.select(F.struct(F.col(doc).alias("doc"), F.col(section).alias("section"), F.col(order).alias("ord")).alias("_s"), text), "_s", text, size, overlap)
+    met = numbers.join(rows.select("_s", "window_no", "window_text").dropDuplicates(["_s", "window_no"]), ["_s", "window_no"])
+    return met.select(F.col("_s.doc").alias(doc), F.col("_s.section").alias(section), "start", "chunk_no", "chunk_id", "token_count", F.col("window_text").alias("chunk_text"))
 
 
 def id_problems(chunks: DataFrame, chunk_id: str, doc: str, section: str) -> DataFrame:

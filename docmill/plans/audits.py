@@ -345,7 +345,30 @@ _PAIRS = f"""
           FROM s JOIN g ga ON ga.rtm_id = s.a JOIN g gb ON gb.rtm_id = s.b LEFT JOIN d ON d.a = s.a AND d.b = s.b WHERE score >= 0.55),
     k AS (SELECT * FROM j WHERE signalled OR duplicate OR apart)
 """
+_URL = r"https?://[^\s)>\]]+"
+_KNOWN_URL = r"(?i)^https?://[\w.-]*(?:hl7\.org|ecfr\.gov|hhs\.gov|healthit\.gov|usdoj\.gov|federalregister\.gov|nist\.gov)\b"
+_SCAN = " UNION ALL ".join(
+    f"SELECT doc_id, '{kind}' AS kind, '{level}' AS severity, unnest(regexp_extract_all(text, {_quote(p)})) AS m FROM documents" if kind != "unknown_url" else
+    f"SELECT doc_id, '{kind}', '{level}', unnest(list_filter(regexp_extract_all(text, {_quote('(?i)' + _URL)}), lambda u: NOT regexp_matches(u, {_quote(_KNOWN_URL)}))) FROM documents"
+    for p, kind, level in V.INJECTIONS
+)
 SQL = {
+    "injection_scan": f"SELECT doc_id, kind, severity, count(*) AS n FROM ({_SCAN}) WHERE m IS NOT NULL GROUP BY ALL",
+    "undefined_terms": f"""
+        WITH t AS (SELECT DISTINCT chunk_id, unnest(list_distinct(regexp_extract_all(coalesce(text, ''), '[\\w-]+'))) AS term FROM chunks)
+        SELECT chunk_id, term FROM t WHERE regexp_full_match(term, '[A-Z][A-Z0-9]+') AND upper(term) NOT IN ({", ".join(_quote(k.upper()) for k in V.GLOSSARY)})
+    """,
+    "conflict_signals": f"""
+        WITH n AS (SELECT req_id, arg_max(struct_pack(s := statement, c := acceptance_criteria), struct_pack(v := version, i := rtm_id)) AS x FROM rtm GROUP BY 1), c AS (SELECT DISTINCT conflict_id, req_a, req_b FROM conflicts),
+        m AS (SELECT conflict_id, a.x.s AS sa, b.x.s AS sb, concat_ws(' ', a.x.s, a.x.c) AS ta, concat_ws(' ', b.x.s, b.x.c) AS tb FROM c JOIN n a ON a.req_id = req_a JOIN n b ON b.req_id = req_b),
+        q AS (SELECT conflict_id, 'a' AS side, unnest(regexp_extract_all(ta, {_quote(V.QUANTITY)}, 1))::DOUBLE AS n, lower(unnest(regexp_extract_all(ta, {_quote(V.QUANTITY)}, 2))) AS u FROM m
+              UNION ALL SELECT conflict_id, 'b', unnest(regexp_extract_all(tb, {_quote(V.QUANTITY)}, 1))::DOUBLE, lower(unnest(regexp_extract_all(tb, {_quote(V.QUANTITY)}, 2))) FROM m),
+        e AS (SELECT conflict_id, side, coalesce({_UNIT}[u], u) AS u, list_sort(list(DISTINCT n)) AS n FROM q GROUP BY ALL),
+        d AS (SELECT y.conflict_id, list_sort(list('different values in ' || y.u)) AS l FROM e y JOIN e z ON y.conflict_id = z.conflict_id AND y.side = 'a' AND z.side = 'b' AND y.u = z.u AND y.n <> z.n GROUP BY 1)
+        SELECT conflict_id, list_concat(coalesce(l, []), list_filter([CASE WHEN coalesce(regexp_matches(sa, {_quote(V.NEGATION)}), false) <> coalesce(regexp_matches(sb, {_quote(V.NEGATION)}), false) THEN 'negation on one side only' END,
+            CASE WHEN (regexp_matches(ta, {_quote(V.AUTOMATION)}) AND regexp_matches(tb, {_quote(V.REVIEW)})) OR (regexp_matches(tb, {_quote(V.AUTOMATION)}) AND regexp_matches(ta, {_quote(V.REVIEW)})) THEN 'automation against review' END], lambda x: x IS NOT NULL)) AS found
+        FROM m LEFT JOIN d USING (conflict_id)
+    """,
     "near_duplicate_first": f"WITH {_R}, {_DUP} SELECT rtm_id, other FROM d",
     "unknown_chunk_ids": f"WITH {_R} SELECT rtm_id, id FROM u",
     "rule_scores_long": _SCORES + "SELECT rtm_id, attribute, rule_score FROM l",

@@ -35,8 +35,8 @@ def token_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 def chunk_build(spark: SparkSession, folder: str) -> DataFrame:
     """TXT-10, WIN-1, AGG-20."""
-    c = read_table(spark, folder, "chunks").distinct().withColumn("ord", F.col("chunk_id"))
-    return chunking.chunk_rows(c, "doc_id", "section", "ord", "text", 200, 40, 60, 20).select("doc_id", "section", "start", "chunk_no", F.col("chunk_id").alias("new_id"), "token_count")
+    c = read_table(spark, folder, "chunks").withColumn("ord", F.col("chunk_id"))
+    return chunking.chunk_numbers(c, "doc_id", "section", "ord", "text", 200, 40, 60, 20).select("doc_id", "section", "start", "chunk_no", F.col("chunk_id").alias("new_id"), "token_count")
 
 
 def chunk_totals(spark: SparkSession, folder: str) -> DataFrame:
@@ -159,6 +159,11 @@ _FUSED = """
     fused AS (SELECT query_id, facet, chunk_id, depth, row_number() OVER (PARTITION BY query_id ORDER BY depth, facet, chunk_id) AS rank_no FROM f WHERE n = 1 QUALIFY rank_no <= 16)
 """
 SQL = {
+    "sentence_counts": r"""
+        WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(coalesce(text, ''), '([.!?])[ \t\n\r\f\v]+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)),
+            lambda x: regexp_replace(x, '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g')), lambda x: x <> '') AS s FROM documents)
+        SELECT doc_id, len(s) AS n_sentences, coalesce(list_max(list_transform(s, lambda x: length(x))), 0) AS longest FROM s
+    """,
     "clean_text": r"""
         WITH c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(translate(text, chr(160) || chr(8209), ' -'), '[ \t]+', ' ', 'g'), '\n{3,}', e'\n\n', 'g'), '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g') AS c FROM documents)
         SELECT doc_id, length(c) AS n_clean, md5(c) AS clean_md5 FROM c

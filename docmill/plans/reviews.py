@@ -332,5 +332,17 @@ SQL = {
         SELECT rtm_id, CASE WHEN len(hits) > 0 THEN 'vague' ELSE 'incomplete' END AS issue, CASE WHEN len(hits) > 0 THEN 'vague wording: ' || array_to_string(hits[1:3], ', ') ELSE 'no figure where one is needed' END AS detail
         FROM h WHERE NOT regexp_matches(t, '{V.NO_ANSWER.replace("'", "''")}') AND (len(hits) > 0 OR (coalesce(q, false) AND NOT regexp_matches(t, '[0-9]')))
     """,
+    "merged_sources": f"""
+        WITH n AS (SELECT req_id, regexp_extract_all(coalesce(arg_max(coalesce(evidence_chunks, ''), struct_pack(v := version, i := rtm_id)), ''), '{_CITES}') AS ids FROM rtm GROUP BY 1),
+        c AS (SELECT DISTINCT conflict_id, req_a, req_b FROM conflicts WHERE relation = 'duplicate'), l AS (SELECT conflict_id, list_concat(coalesce(a.ids, []), coalesce(b.ids, [])) AS l FROM c LEFT JOIN n a ON a.req_id = req_a LEFT JOIN n b ON b.req_id = req_b)
+        SELECT conflict_id, coalesce(array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ';'), '') AS sources FROM l
+    """,
+    "explained_side": f"""
+        WITH n AS (SELECT req_id, arg_max(struct_pack(s := statement), struct_pack(v := version, i := rtm_id)).s AS s FROM rtm GROUP BY 1), c AS (SELECT DISTINCT conflict_id, req_a, req_b, explanation FROM conflicts),
+        w AS (SELECT conflict_id, {", ".join(f"list_filter(list_distinct(regexp_extract_all(lower(coalesce({x}, '')), '[a-z0-9]+')), lambda z: NOT list_contains([{_LIST(V.ANSWER_STOPS)}], z)) AS {y}" for x, y in (("explanation", "e"), ("a.s", "x"), ("b.s", "y")))}
+              FROM c JOIN n a ON a.req_id = req_a JOIN n b ON b.req_id = req_b),
+        q AS (SELECT conflict_id, len(e) AS n, len(list_intersect(e, x)) / greatest(len(x), 1) AS sx, len(list_intersect(e, y)) / greatest(len(y), 1) AS sy FROM w)
+        SELECT conflict_id, CASE WHEN n < 4 OR greatest(sx, sy) < 0.34 THEN NULL WHEN sx >= sy THEN 'a' ELSE 'b' END AS side FROM q
+    """,
     "pii_restored": "SELECT doc_id, md5(text) AS text_md5 FROM documents",
 }
