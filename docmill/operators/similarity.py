@@ -43,8 +43,9 @@ def jaccard_links(sets: DataFrame, key: str, tokens: str, threshold: float) -> D
     of their rarest tokens, so only those are joined on; candidates are checked before anything is built from them.
     Tokens are compared by 64-bit hashes. Frequent tokens are a bounded table (OFTEN times the mean size of a set); a
     token that many prefixes hold is dealt out, each part meeting every other one. Empty sets are similar to nothing.
+    The sets are read several times, so they should be a table or cut.
     """
-    rows = cut(sets.select(F.col(key).alias("k"), F.array_distinct(F.transform(tokens, lambda w: F.xxhash64(w))).alias("t")).where("k is not null and size(t) > 0"))
+    rows = sets.select(F.col(key).alias("k"), F.array_distinct(F.transform(tokens, lambda w: F.xxhash64(w))).alias("t")).where("k is not null and size(t) > 0")
     n = rows.count()
     often = rows.select(F.explode("t").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * OFTEN > n).collect()
     table = sorted((r["w"], r["n"]) for r in often)
@@ -63,11 +64,10 @@ def jaccard_links(sets: DataFrame, key: str, tokens: str, threshold: float) -> D
     b = right.select(*[F.col(c).alias(f"{c}_b") for c in prefix.columns], F.col("meet").alias("meet_b"))
     sized = (F.col("size_a") >= F.col("size_b") * threshold - 1e-9) & (F.col("size_b") >= F.col("size_a") * threshold - 1e-9)
     near = a.join(b, (F.col("w_a") == F.col("w_b")) & (F.col("meet_a") == F.col("meet_b")) & (F.col("k_a") < F.col("k_b")) & sized)
-    # what is left after the first shared token must still reach the threshold
+    # a pair is a candidate if what is left from one of the shared tokens on can still reach the threshold
     room = F.least(F.col("size_a") - F.col("p_a"), F.col("size_b") - F.col("p_b"))
     needed = (F.col("size_a") + F.col("size_b")) * (threshold / (1 + threshold)) - 1e-6
-    pairs = near.groupBy("k_a", "k_b").agg(F.max(room).alias("room"), F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b")).where(F.col("room") >= needed).select("k_a", "k_b")
-    pairs = cut(pairs)
+    pairs = cut(near.where(room >= needed).select("k_a", "k_b").distinct())
     met = lookup_join(lookup_join(pairs, rows.select(F.col("k").alias("k_a"), F.col("t").alias("t_a")), "k_a"), rows.select(F.col("k").alias("k_b"), F.col("t").alias("t_b")), "k_b", counted=pairs.select("k_b"))
     met = met.withColumn("n_shared", F.size(F.array_intersect("t_a", "t_b")))
     out = met.select(F.col("k_a").alias("a"), F.col("k_b").alias("b"), "n_shared", (F.size("t_a") + F.size("t_b") - F.col("n_shared")).alias("n_union"))
