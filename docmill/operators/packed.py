@@ -36,7 +36,7 @@ TRIM = re.compile(f"^[{BLANK}]+|[{BLANK}]+$")
 #: A value's form: digits, capitals and letters by kind, runs as one.
 FORM = ((re.compile(r"[0-9]+"), "9"), (re.compile(r"[A-ZÀ-Þ]+"), "A"), (re.compile(r"[a-zß-ÿ]+"), "a"))
 #: Weight of a value's form against its own frequency; rounds of expectation maximisation at most, and the change of the
-#: model (total variation of each field's forms and values) at which they end.
+#: model (total variation of each field's forms and values, against any model before) at which they end.
 FORM_WEIGHT, ROUNDS, SETTLED = 0.5, 30, 1e-3
 #: The model holds the values and forms of at least this share of a field's; so it has a bounded size, and a cell is read
 #: alike however many other values the column has.
@@ -230,12 +230,13 @@ def unpack(df: DataFrame, key: str, fields: list[str], rounds: int = ROUNDS) ->
     base = cut(every.where("not soft and text <> ''").select("field", "text", "n").mapInArrow(lambda it: _counted(it, lambda f, t: [t]), "field string, k string, n long").groupBy("field", "k").agg(F.sum("n").alias("n")))
     doubtful = every.where("soft").select("field", "text", "n").repartition(tasks, "text")
     doubtful = cut(doubtful)
-    models = _model(base)
+    models, before = _model(base), []
     for _ in range(rounds):
         last = models
+        before.append(last)
         read = doubtful.mapInArrow(lambda it, m=last: _counted(it, lambda f, t: _best(_loose(t), m.get(f, {}), wide[f])), "field string, k string, n long")
         models = _model(base.unionByName(read))
-        if _moved(last, models) < SETTLED:
+        if any(_moved(old, models) < SETTLED for old in before):  # settled, or come round to a model it had before
             break
     else:
         raise RuntimeError(f"the values of {fields} did not settle in {rounds} rounds; raise rounds")
