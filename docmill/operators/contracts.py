@@ -84,6 +84,14 @@ def list_error(answer: Column, name: str, least: int) -> Column:
     return F.when(raw.isNull() | ~F.ltrim(raw).startswith("["), F.lit(f"{name} is no list")).when(F.size(members(answer, name)) < least, short)
 
 
+def kept_links(df: DataFrame, key: str, links: Column, known: DataFrame, known_id: str) -> DataFrame:
+    """THR-1: key and kept, the links of each row that name a known record, in order and each once; empty where none does."""
+    rows = df.select(F.col(key).alias("k"), F.array_distinct(F.coalesce(links, F.array().cast("array<string>"))).alias("l")).where("k is not null").dropDuplicates(["k"])
+    there = known.select(F.col(known_id).alias("id")).where("id is not null").distinct().withColumn("there", F.lit(True))
+    found = lookup_join(rows.select("k", F.posexplode("l").alias("p", "id")), there, "id").where("there").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("p", "id"))).alias("f"))  # a row's few links
+    return rows.select("k").join(found, "k", "left").select(F.col("k").alias(key), F.coalesce(F.transform("f", lambda x: x["id"]), F.array().cast("array<string>")).alias("kept"))
+
+
 def filled_template(template: Column, fields: dict[str, Column]) -> Column:
     """FN-S13, SRC-12: a template with each {NAME} replaced by its field; nulls as empty, unknown names stay."""
     for name, value in fields.items():

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docmill.session import lookup_join
+
 
 def band(value: Column, steps: list[tuple[float, str]], lowest: str) -> Column:
     """RSK-1: the name of the first step (from high to low) that the value reaches, else the lowest; null for null."""
@@ -25,6 +27,12 @@ def worst(df: DataFrame, key: str, level: Column, order: list[str]) -> DataFrame
     return best.select(key, *[F.col(f"_r.`{c}`").alias(c) for c in rest])
 
 
+def worst_level(subjects: DataFrame, key: str, rated: DataFrame, level: Column, steps: list[tuple[float, str]], lowest: str, default: str = "Unassessed") -> DataFrame:
+    """RSK-1, RSK-2: key and level: the band of the worst of each subject's ratings, the default for those without any."""
+    worst_of = rated.groupBy(key).agg(F.max(level).alias("_w"))
+    return lookup_join(subjects, worst_of, key).withColumn("level", F.coalesce(band(F.col("_w"), steps, lowest), F.lit(default))).drop("_w")
+
+
 def uncovered(controls: DataFrame, covered: DataFrame, key: str) -> DataFrame:
     """CMP-4, JOIN-9: controls that no row covers."""
     return controls.join(covered.select(key).distinct(), key, "left_anti")

@@ -148,6 +148,17 @@ def lexical_topk(corpus: DataFrame, key: str, text: str, queries: DataFrame, que
     return ranked.where(F.col("rank_no") <= k).select(F.col("qkey").alias(query), F.col("ckey").alias(key), "overlap", "rank_no")
 
 
+def single_query(name: Column, description: Column, keywords: Column) -> Column:
+    """VEC-6: the one query of a functionality: name, description and keywords (an array), what is null or blank left out."""
+    parts = F.array(F.trim(name), F.trim(description), F.trim(F.array_join(keywords, " ")))
+    return F.array_join(F.filter(parts, lambda p: p != ""), " ")
+
+
+def applicable(controls: DataFrame, cases: str, case: str, doc: str, sources: list[str]) -> DataFrame:
+    """PRJ-9: controls that apply to a case (`cases` is an array) and come from one of its sources."""
+    return controls.where(F.array_contains(cases, case) & F.col(doc).isin(list(sources)))
+
+
 def excerpt(text: Column, anchor: Column, limit: int = 360, least: int = 20) -> Column:
     """VEC-10: the sentences of more than `least` characters that share most words with the anchor, until `limit` characters.
 

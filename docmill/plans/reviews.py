@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docmill.functions import text as T
 from docmill.functions import values as V
-from docmill.operators import contracts, evaluation as ev, intake, metrics, privacy, quality, retrieval
+from docmill.operators import conflicts, contracts, evaluation as ev, intake, metrics, privacy, quality, registers, retrieval
 from docmill.plans import audits, decision, rollups
 from docmill.session import cut, half_even, lookup_join, read_table
 
@@ -227,10 +227,56 @@ def pii_restored(spark: SparkSession, folder: str) -> DataFrame:
     return back.select("doc_id", F.md5(F.col("restored").cast("binary")).alias("text_md5"))
 
 
+def known_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """THR-1: the cited chunks of each row of rtm that exist, and whether it needs a proposal: none exists and it is no duty yet."""
+    r = _records(spark, folder)
+    kept = contracts.kept_links(r, "rtm_id", F.col("cites"), read_table(spark, folder, "chunks"), "chunk_id")
+    duty = r.select("rtm_id", F.coalesce(F.lower("statement").contains("shall"), F.lit(False)).alias("duty")).distinct()
+    return kept.join(duty, "rtm_id").select("rtm_id", F.array_join("kept", ";").alias("kept"), ((F.size("kept") == 0) & ~F.col("duty")).alias("proposed"))
+
+
+def risk_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """RSK-1, RSK-2: each row of rtm with the band of its requirement's highest similarity to a control, Unassessed without any."""
+    r = read_table(spark, folder, "rtm").select("rtm_id", "req_id").distinct()
+    c = read_table(spark, folder, "compliance").where("trim(req_id) <> ''").select("req_id", "similarity")
+    return registers.worst_level(r, "req_id", c, F.col("similarity"), [(0.75, "Critical"), (0.5, "High"), (0.25, "Medium")], "Low").select("rtm_id", "level")
+
+
+def best_attempts(spark: SparkSession, folder: str) -> DataFrame:
+    """LLM-8: of the scorings of each requirement and attribute that with the fewest failures, the last of them on ties."""
+    v = read_table(spark, folder, "validation_29148").select("req_id", "attribute", "score_id", "scored_at", (2 - F.coalesce("rule_score", F.lit(0)) - F.coalesce("llm_score", F.lit(0))).alias("errors"))
+    rows = v.where("req_id is not null").withColumn("turn", F.unix_micros("scored_at"))
+    best = rows.groupBy("req_id", "attribute").agg(F.min_by("score_id", F.struct("errors", -F.col("turn"), -F.col("score_id"))).alias("score_id"))
+    return best.select("req_id", "attribute", "score_id")
+
+
+def kept_adjudications(spark: SparkSession, folder: str) -> DataFrame:
+    """JOIN-14: the scorings of round 2 with what people had entered for the same requirement and attribute in earlier rounds."""
+    v = read_table(spark, folder, "validation_29148").select("score_id", "req_id", "attribute", "round_no", "human_adjudication").distinct()
+    old = v.where("round_no < 2").select("req_id", "attribute", "human_adjudication")
+    return ev.kept_verdicts(v.where("round_no = 2"), old, ["req_id", "attribute"], "human_adjudication").select("score_id", "human_adjudication")
+
+
+def statement_owners(spark: SparkSession, folder: str) -> DataFrame:
+    """CFL-2: the stakeholders behind each row of rtm, sorted."""
+    r = audits.requirements(spark, folder)
+    return r.select("rtm_id", F.array_join(F.array_sort(conflicts.stakeholders(F.col("sources"))), ";").alias("owners"))
+
+
+def duplicate_merges(spark: SparkSession, folder: str) -> DataFrame:
+    """CFL-4: of the 24 recorded duplicates to look at first, which requirement is merged into which."""
+    c = read_table(spark, folder, "conflicts").where("relation = 'duplicate'").dropDuplicates(["conflict_id"])
+    pairs = [(x["req_a"], x["req_b"]) for x in conflicts.ranked_pairs(c, F.size("signals") > 0, F.col("similarity") >= 0.86, "similarity", ["conflict_id"]).collect()]  # a report of 24
+    ids = {x for p in pairs for x in p}
+    n = audits.requirements(spark, folder).where(F.col("req_id").isin(list(ids))).groupBy("req_id").agg(F.max(F.size("sources")).alias("n")).collect()
+    into = conflicts.merge_duplicates(pairs, {x["req_id"]: x["n"] for x in n})
+    return spark.createDataFrame(sorted(into.items()), "req_id string, merged_into string")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        contract_errors, contract_repairs, list_errors, merged_scores, control_candidates, offered_mappings, missing_controls, queue_order, first_tests, chunk_lookup, merged_sources, decided_requirements, seeds_caught,
+        known_sources, risk_levels, best_attempts, kept_adjudications, statement_owners, duplicate_merges, contract_errors, contract_repairs, list_errors, merged_scores, control_candidates, offered_mappings, missing_controls, queue_order, first_tests, chunk_lookup, merged_sources, decided_requirements, seeds_caught,
         replayed_injections, top_choice, own_choice, origin_counts, metrics_summary, answer_issues, explained_side, intake_statements, intake_events, pii_restored,
     )
 }
@@ -256,6 +302,26 @@ _VAGUE = sorted(set(V.WEAK_WORDS + V.VAGUE_ANSWERS), key=lambda w: (-len(w), w))
 _WORD = lambda w: "'\\b" + audits._escape(w).replace("'", "''") + "\\b'"
 _HIGH = "|".join(f"(?:{p})" for p, _, level in V.INJECTIONS if level == "high")
 SQL = {
+    "known_sources": f"""
+        WITH o AS (SELECT DISTINCT rtm_id, statement, regexp_extract_all(coalesce(evidence_chunks, ''), '{_CITES}') AS l FROM rtm), e AS (SELECT rtm_id, unnest(l) AS c, unnest(range(len(l))) AS p FROM o),
+        f AS (SELECT rtm_id, c, min(p) AS p FROM e WHERE c IN (SELECT chunk_id FROM chunks WHERE chunk_id IS NOT NULL) GROUP BY 1, 2), k AS (SELECT rtm_id, string_agg(c, ';' ORDER BY p) AS kept FROM f GROUP BY 1)
+        SELECT o.rtm_id, coalesce(kept, '') AS kept, kept IS NULL AND NOT coalesce(contains(lower(statement), 'shall'), false) AS proposed FROM o LEFT JOIN k ON o.rtm_id = k.rtm_id
+    """,
+    "risk_levels": """
+        WITH w AS (SELECT req_id, max(similarity) AS w FROM compliance WHERE trim(req_id, ' ') <> '' GROUP BY 1), r AS (SELECT DISTINCT rtm_id, req_id FROM rtm)
+        SELECT rtm_id, CASE WHEN w >= 0.75 THEN 'Critical' WHEN w >= 0.5 THEN 'High' WHEN w >= 0.25 THEN 'Medium' WHEN w IS NOT NULL THEN 'Low' ELSE 'Unassessed' END AS level FROM r LEFT JOIN w ON r.req_id = w.req_id
+    """,
+    "best_attempts": """
+        SELECT req_id, attribute, score_id FROM (SELECT *, row_number() OVER (PARTITION BY req_id, attribute ORDER BY 2 - coalesce(rule_score, 0) - coalesce(llm_score, 0), scored_at DESC NULLS FIRST, score_id DESC) AS k
+            FROM (SELECT DISTINCT * FROM validation_29148 WHERE req_id IS NOT NULL)) WHERE k = 1
+    """,
+    "kept_adjudications": """
+        WITH v AS (SELECT DISTINCT score_id, req_id, attribute, round_no, human_adjudication FROM validation_29148), o AS (SELECT req_id, attribute, max(human_adjudication) AS h FROM v WHERE round_no < 2 GROUP BY 1, 2)
+        SELECT score_id, coalesce(h, '') AS human_adjudication FROM v LEFT JOIN o USING (req_id, attribute) WHERE round_no = 2
+    """,
+    "statement_owners": r"""
+        WITH r AS (SELECT DISTINCT rtm_id, regexp_extract_all(coalesce(stakeholder_statements, ''), 'S-[A-Z]+-\d+') AS s FROM rtm) SELECT rtm_id, coalesce(array_to_string(list_sort(list_distinct(list_transform(s, lambda x: split_part(x, '-', 2)))), ';'), '') AS owners FROM r
+    """,
     "contract_errors": f"""
         WITH {_RTM}, l AS (SELECT *, coalesce(nullif(trim(req_id, ' '), ''), '#' || rtm_id) AS label FROM r),
         f AS (SELECT version, req_id, min(rtm_id) AS first FROM r WHERE req_id IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1),

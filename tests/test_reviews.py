@@ -152,3 +152,18 @@ def test_snapshots_and_manifests(spark, tmp_path):
     know = spark.createDataFrame([("/a/k.yaml", "x")], "path string, content string")
     m = [configs.run_manifest(spark, {"s": 30.0, "t": 60.0}, {"x": t}, know).collect()[0] for t in (rows.unionByName(rows.withColumn("id", F.lit(2).cast("long"))), rows.withColumn("id", F.lit(2).cast("long")).unionByName(rows))]
     assert (m[0]["seconds"], m[0]["minutes"], m[0]["steps"]) == (90.0, 1.5, {"s": 30.0, "t": 60.0}) and m[0]["tables"] == m[1]["tables"] and m[0]["tables"][0]["n"] == 2
+
+
+def test_links_levels_and_queries(spark):
+    from docmill.operators import registers, retrieval
+
+    rows = spark.createDataFrame([(1, ["b", "x", "a", "b"]), (1, ["b", "x", "a", "b"]), (2, None), (3, ["x"]), (None, ["a"])], "k long, l array<string>").withColumn("there", F.lit(1))
+    known = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "id string")
+    assert {r["k"]: r["kept"] for r in C.kept_links(rows, "k", F.col("l"), known, "id").collect()} == {1: ["b", "a"], 2: [], 3: []}
+    rated = spark.createDataFrame([("a", 3), ("a", 16), ("b", 1), (None, 20)], "k string, n int")
+    levels = registers.worst_level(spark.createDataFrame([("a",), ("b",), ("c",)], "k string"), "k", rated, F.col("n"), [(15, "Critical"), (5, "Medium")], "Low")
+    assert {r["k"]: r["level"] for r in levels.collect()} == {"a": "Critical", "b": "Low", "c": "Unassessed"}
+    q = spark.createDataFrame([(" n ", None, ["x", "y"]), (None, "d", None)], "a string, b string, c array<string>").select(retrieval.single_query(F.col("a"), F.col("b"), F.col("c")).alias("q"))
+    assert [r["q"] for r in q.collect()] == ["n x y", "d"]
+    controls = spark.createDataFrame([("c1", ["e", "f"], "D1"), ("c2", ["e"], "D2"), ("c3", None, "D1")], "id string, cases array<string>, doc string")
+    assert [r["id"] for r in retrieval.applicable(controls, "cases", "e", "doc", ["D1"]).collect()] == ["c1"]
